@@ -91,12 +91,12 @@ def model_logits(spark, model: SequenceModel):
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = shared.value
         for batch in batches:
-            out = pd.Series([None] * len(batch), index=batch.index, dtype=object)
-            full = batch.notna()
-            if full.any():
-                x = np.stack(batch[full].to_numpy()).reshape(int(full.sum()), -1, m.w_input.shape[1])
-                out[full] = list(m.logits(x))
-            yield out
+            out, full = [None] * len(batch), np.flatnonzero(batch.notna())
+            if len(full):
+                x = np.stack(batch.iloc[full].to_numpy()).reshape(len(full), -1, m.w_input.shape[1])
+                for i, row in zip(full, m.logits(x)):
+                    out[i] = row
+            yield pd.Series(out, dtype=object)
     return score
 
 
@@ -149,7 +149,7 @@ def training_windows(samples: DataFrame, label: str = "manualLabel", size: int =
 
 def split_of(capture_id: Column, train: int = 8, val: int = 1) -> Column:
     """train / val / test by a hash of the capture, in tenths, so a capture is never divided."""
-    bucket = F.pmod(F.crc32(capture_id.cast("binary")), F.lit(10))
+    bucket = F.conv(F.substring(F.md5(capture_id), 1, 8), 16, 10).cast("long") % 10
     return F.when(bucket < train, "train").when(bucket < train + val, "val").otherwise("test")
 
 

@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from tidewatch.operators.ingest import with_event_date
 
 
-def write_by_date(events: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Parquet partitioned by event date, one shuffle so that a date does not get a file per task.
+def write_by_date(events: DataFrame, path: str, mode: str = "overwrite", spread: int | None = None) -> None:
+    """Parquet partitioned by event date.
 
-    Rows of one date spread over several tasks by session, which keeps a busy date parallel and a
-    session's rows together.
+    With ``spread`` the rows are shuffled first so that a date gets about that many files instead of
+    one per task; a hash of session and time keeps them even when one session dominates. Files are
+    sorted by session, which lets a session lookup skip most row groups.
     """
     dated = with_event_date(events) if "eventDate" not in events.columns else events
+    if spread is not None:
+        share = F.pmod(F.xxhash64("sessionId", "capturedAt"), F.lit(spread))
+        dated = dated.repartition("eventDate", share).sortWithinPartitions("eventDate", "sessionId")
     dated.write.mode(mode).partitionBy("eventDate").parquet(path)
 
 

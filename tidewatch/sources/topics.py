@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Topic names.
-SUMMARY_TOPIC, INFERENCE_TOPIC = "posture.summary", "posture.inference"
-
 
 def topic_options(servers: str, topic: str, *, starting: str = "earliest",
                   max_offsets: int | None = None) -> dict[str, str]:
@@ -18,7 +15,7 @@ def topic_options(servers: str, topic: str, *, starting: str = "earliest",
     return options
 
 
-def read_topic(spark: SparkSession, servers: str, topic: str = SUMMARY_TOPIC, **kwargs) -> DataFrame:
+def read_topic(spark: SparkSession, servers: str, topic: str, **kwargs) -> DataFrame:
     return spark.readStream.format("kafka").options(**topic_options(servers, topic, **kwargs)).load()
 
 
