@@ -54,14 +54,14 @@ ep AS (SELECT q2.sid, q2.uid, q2.seg, q2.run, q2.rs, q2.confirm, q2.goodms, coal
               CASE WHEN goodms IS NOT NULL THEN goodms
                    WHEN nextseg IS NOT NULL OR now - seglast >= $timeout THEN seglast END AS endms
        FROM q2 JOIN sg USING (sid, seg), nw WHERE q2.bad),
-al AS (SELECT sid, seg, run, endrun, 1 AS n, confirm AS at FROM ep
+al AS (SELECT sid, seg, run, endrun, 1 AS n, confirm AS ams FROM ep
        UNION ALL
        SELECT al.sid, al.seg, al.run, al.endrun, al.n + 1, min(b.ms)
        FROM al JOIN st b ON b.sid = al.sid AND b.seg = al.seg AND b.bad AND b.run >= al.run AND b.run < al.endrun
-            AND b.ms >= al.at + $realert
+            AND b.ms >= al.ams + $realert
        GROUP BY al.sid, al.seg, al.run, al.endrun, al.n),
 e AS (SELECT ep.*, na, la FROM ep JOIN
-      (SELECT sid, run, max(n) AS na, max(at) AS la FROM al GROUP BY sid, run) USING (sid, run))"""
+      (SELECT sid, run, max(n) AS na, max(ams) AS la FROM al GROUP BY sid, run) USING (sid, run))"""
 
 MAX_MS = "(SELECT epoch_us(max(ts)) // 1000 FROM events)"
 
@@ -69,12 +69,12 @@ STATES = EPISODES + """,
 x AS (SELECT st.*, e.run AS erun, e.rs AS ers, e.confirm AS econfirm FROM st LEFT JOIN e
       ON e.sid = st.sid AND e.seg = st.seg AND st.run >= e.run AND st.run <= e.endrun AND st.ms >= e.confirm
       AND (e.goodms IS NULL OR st.ms < e.goodms)),
-am AS (SELECT x.sid, x.seq, max(al.n) AS n, max(al.at) AS at FROM x JOIN al
-       ON al.sid = x.sid AND al.run = x.erun AND al.at <= x.ms GROUP BY x.sid, x.seq),
+am AS (SELECT x.sid, x.seq, max(al.n) AS n, max(al.ams) AS ams FROM x JOIN al
+       ON al.sid = x.sid AND al.run = x.erun AND al.ams <= x.ms GROUP BY x.sid, x.seq),
 y AS (SELECT x.sid, x.uid, x.seg, x.run, x.seg0, x.ts, x.seq, x.ms,
              CASE WHEN bad AND (erun IS NULL OR erun = run) THEN rs END AS cand,
              CASE WHEN NOT bad AND erun IS NOT NULL THEN rs END AS rec,
-             ers AS ep0, am.at AS lasta, coalesce(am.n, 0) AS na
+             ers AS ep0, am.ams AS lasta, coalesce(am.n, 0) AS na
       FROM x LEFT JOIN am USING (sid, seq)),
 z AS (SELECT *, CASE WHEN ep0 IS NOT NULL THEN CASE WHEN rec IS NOT NULL THEN 'RECOVERING' ELSE 'BAD' END
                      WHEN cand IS NOT NULL THEN 'SUSPECT' ELSE 'NORMAL' END AS state,
@@ -107,8 +107,8 @@ SELECT sid AS "sessionId", uid AS "userId", {at('rs')} AS "startedAt", {at('conf
 
 OUTCOME_ROWS = f"""
 SELECT CASE WHEN n = 1 THEN 'EVENT_STARTED' ELSE 'RE_ALERT' END AS type, sid AS "sessionId", e.uid AS "userId",
-       {at('e.rs')} AS "startedAt", {at('al.at')} AS at, CAST(NULL AS TIMESTAMP) AS "endedAt",
-       CAST(NULL AS DOUBLE) AS "durationSeconds", CAST(n AS INT) AS "alertCount", {at('al.at')} AS "lastAlertAt",
+       {at('e.rs')} AS "startedAt", {at('al.ams')} AS "at", CAST(NULL AS TIMESTAMP) AS "endedAt",
+       CAST(NULL AS DOUBLE) AS "durationSeconds", CAST(n AS INT) AS "alertCount", {at('al.ams')} AS "lastAlertAt",
        false AS recovered, true AS ongoing
 FROM al JOIN e USING (sid, run)
 UNION ALL
@@ -298,7 +298,7 @@ SELECT sid AS "sessionId", bad, {at('rs')} AS "startedAt", {at('lastms')} AS "la
     q["sample_gaps"] = runs + """ SELECT sid AS "sessionId", seq, greatest(0, ms - pms) AS "gapMs" FROM la"""
     q["sample_gaps"] = q["sample_gaps"].replace('greatest(0, ms - pms)', 'CASE WHEN pms IS NOT NULL THEN greatest(0, ms - pms) END')
     q["episode_alerts"] = ep + f"""
-SELECT sid AS "sessionId", e.uid AS "userId", {at('e.rs')} AS "startedAt", CAST(n AS INT) AS "alertNumber", {at('al.at')} AS "alertAt"
+SELECT sid AS "sessionId", e.uid AS "userId", {at('e.rs')} AS "startedAt", CAST(n AS INT) AS "alertNumber", {at('al.ams')} AS "alertAt"
 FROM al JOIN e USING (sid, run)"""
     q["episode_outcomes"] = ep + OUTCOME_ROWS
     q["episodes_active"] = ep + EPISODE_ROWS + " WHERE endms IS NULL"
@@ -314,7 +314,7 @@ FROM (SELECT sid, max(ms) AS lm FROM j GROUP BY sid) l LEFT JOIN e ON e.sid = l.
 WHERE (SELECT now FROM nw) - lm >= {FIXED['timeout']}"""
     q["state_changes"] = states_cte() + f"""
 SELECT sid AS "sessionId", uid AS "userId", {at('cand')} AS "candidateSince", {at('rec')} AS "recoverySince",
-       {at('ep0')} AS "episodeStartedAt", {at('lasta')} AS "lastAlertAt", CAST(na AS INT) AS "alertCount", {at('ms')} AS at,
+       {at('ep0')} AS "episodeStartedAt", {at('lasta')} AS "lastAlertAt", CAST(na AS INT) AS "alertCount", {at('ms')} AS "at",
        state, {at('since')} AS since FROM v WHERE changed"""
     q["session_state"] = states_cte(ttl="AND now - written < 86400000") + f"""
 SELECT uid AS "stateKey", {STATE_FIELDS} FROM live"""
@@ -332,7 +332,7 @@ SELECT isid AS "sessionId", iuid AS "stateKey", used AS restored, found AND NOT
        CASE WHEN used THEN CAST(b.na AS INT) END AS "alertCount" FROM h""")
     q["expired_state_keys"] = """
 WITH l AS (SELECT user_id, event_type, max(ts) AS last FROM events GROUP BY ALL),
-o AS (SELECT *, epoch_us((SELECT max(ts) FROM events)) // 1000 - epoch_us(last) // 1000 >= 432000000 AS stale FROM l)
+o AS (SELECT *, epoch_us((SELECT max(ts) FROM events)) // 1000 - epoch_us(last) // 1000 >= 86400000 AS stale FROM l)
 SELECT CAST(user_id AS VARCHAR) AS "stateKey" FROM o GROUP BY user_id HAVING bool_and(stale)"""
 
     q["sessions_rollup"] = ROLLUP + ", 'ACTIVE' AS status FROM events WHERE user_id % 11 <> 0 GROUP BY events.user_id"

@@ -339,7 +339,7 @@ def state_restore(spark, sf):
 
 @query
 def expired_state_keys(spark, sf):
-    return state_view.expired_state_keys(A.split_by_kind(spark, sf), 5 * A.DAY)
+    return state_view.expired_state_keys(A.split_by_kind(spark, sf), A.DAY)
 
 
 # --- tables -------------------------------------------------------------------------------------

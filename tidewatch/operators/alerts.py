@@ -27,7 +27,7 @@ def later_bad() -> Column:
     starts_here = ((F.col("run.us") == F.col("first_us")) & (F.col("run.seq") == F.col("first_seq"))
                    & (F.col("run.ms") == F.col("confirm_ms")))
     from_confirm = F.filter(times, lambda t: t >= F.col("confirm_ms"))
-    after = F.slice(from_confirm, F.lit(2) + starts_here.cast("int"), F.lit(2**31 - 1))
+    after = F.slice(from_confirm, F.lit(2) + starts_here.cast("int"), F.size("bad_ms"))
     return F.when(F.col("opens"), after).otherwise(times)
 
 

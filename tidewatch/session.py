@@ -9,13 +9,16 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.streaming.stateStore.providerClass":
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    STATE_STORE: ROCKSDB,
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -58,3 +61,8 @@ def durable(df):
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(scratch_path(spark, "checkpoint"))
     return df.checkpoint()
+
+
+def use_state_store(spark: SparkSession) -> None:
+    """Keyed state needs the RocksDB store; it also keeps large state off the heap."""
+    spark.conf.set(STATE_STORE, ROCKSDB)

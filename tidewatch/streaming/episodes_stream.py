@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tidewatch.functions import instants
 from tidewatch.operators.episodes import judged
 from tidewatch.schemas import EVENT_ENDED, EVENT_STARTED, RE_ALERT, EpisodeParams
+from tidewatch.session import use_state_store
 
 STATE = ("run_bad boolean, run_ms long, last_ms long, start_ms long, alert_ms long, alerts int, "
          "user string")
@@ -106,7 +107,8 @@ def outcome_stream(samples: DataFrame, params: EpisodeParams = EpisodeParams(),
     Samples later than ``delay`` behind the newest are dropped by the watermark; their number is in
     the query progress.
     """
-    rows = judged(samples.withWatermark("capturedAt", delay).withColumn("_at", F.col("capturedAt")))
+    use_state_store(samples.sparkSession)
+    rows = judged(samples.withWatermark("capturedAt", delay))
     x = rows.groupBy("session").transformWithState(
         EpisodeProcessor(params), OUTCOME, "Append", "EventTime")
     ended = F.col("type") == EVENT_ENDED

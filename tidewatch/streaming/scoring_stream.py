@@ -10,7 +10,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidewatch.functions import vectors
 from tidewatch.operators.scoring import WINDOW_SIZE, SequenceModel, choose_label
-from tidewatch.schemas import UNKNOWN_SESSION
+from tidewatch.schemas import UNKNOWN_SESSION, to_ms
+from tidewatch.session import use_state_store
 
 WINDOWED = ("windowKey string, sessionId string, userId string, seq long, capturedAt timestamp, "
             "serverReceivedAt timestamp, deviationScore double, ruleStatus string, windowed boolean, "
@@ -19,34 +20,55 @@ CARRIED = ["sessionId", "userId", "seq", "capturedAt", "serverReceivedAt", "devi
 
 
 class WindowProcessor(StatefulProcessor):
-    """Adds to each sample the last vectors of its session; sessions silent for the TTL are forgotten."""
+    """Adds to each sample the last vectors of its session."""
 
-    def __init__(self, size: int, ttl_ms: int):
-        self.size, self.ttl_ms = size, ttl_ms
+    def __init__(self, size: int, forget_ms: int | None):
+        self.size, self.forget_ms = size, forget_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getListState("recent", "vector array<double>", self.ttl_ms)
+        self.handle = handle
+        self.recent = handle.getListState("recent", "vector array<double>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         window = [list(v[0]) for v in self.recent.get()]
+        last = None
         for r in sorted(rows, key=lambda r: (r.capturedAt, r.seq)):
             if r.vector is not None:
                 window = [*window, list(r.vector)][-self.size:]
+            last = r.ms
             yield Row(windowKey=key[0], **{c: getattr(r, c) for c in CARRIED},
                       windowed=r.vector is not None, window=window)
-        self.recent.put([(v,) for v in window])
+        if window:
+            self.recent.put([(v,) for v in window])
+        if self.forget_ms is not None:
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(last + self.forget_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.recent.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
 def score_stream(samples: DataFrame, model: SequenceModel | None = None, *, size: int = WINDOW_SIZE,
-                 ttl_ms: int = 3_600_000) -> DataFrame:
-    """Summary samples with ``seq`` to scored samples, in the columns of the batch query."""
+                 forget_seconds: float | None = None, delay: str = "1 minute") -> DataFrame:
+    """Summary samples with ``seq`` to scored samples, in the columns of the batch query.
+
+    Windows are kept for ever, as in the batch query, unless ``forget_seconds`` is given: then a
+    session silent that long (by the watermark, ``delay`` behind the newest sample) starts afresh.
+    """
+    use_state_store(samples.sparkSession)
+    if forget_seconds is not None:
+        samples = samples.withWatermark("capturedAt", delay)
     keyed = samples.where(F.col("capturedAt").isNotNull()).select(
         F.coalesce(F.nullif("sessionId", F.lit("")), F.lit(UNKNOWN_SESSION)).alias("windowKey"),
-        *CARRIED, vectors.to_doubles(F.col("featureVector").cast("array<string>")).alias("vector"))
+        *CARRIED, F.unix_millis("capturedAt").alias("ms"),
+        vectors.to_doubles(F.col("featureVector").cast("array<string>")).alias("vector"))
+    processor = WindowProcessor(size, None if forget_seconds is None else to_ms(forget_seconds))
     x = keyed.groupBy("windowKey").transformWithState(
-        WindowProcessor(size, ttl_ms), WINDOWED, "Append", "ProcessingTime")
+        processor, WINDOWED, "Append", "None" if forget_seconds is None else "EventTime")
     x = x.withColumns({"windowBuffered": F.size("window"), "windowSize": F.lit(size)})
     return choose_label(x, model, size)
