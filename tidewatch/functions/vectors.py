@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 
 def to_doubles(elements: Column) -> Column:
-    """Array of text to array of doubles; null as soon as one element is not a number.
+    """Array of text (or numbers) to array of doubles; null as soon as one element is no number.
 
     A missing vector counts as an empty one.
     """
-    elements = F.coalesce(elements, F.array().cast("array<string>"))
-    numbers = F.transform(elements, lambda x: F.trim(x).try_cast("double"))
-    return F.when(~F.exists(numbers, lambda x: x.isNull()), numbers)
+    numbers = F.coalesce(elements.try_cast("array<double>"), F.array().cast("array<double>"))
+    # Wrapped in an array so that the cast is evaluated once for both the test and the result.
+    return F.get(F.filter(F.array(numbers), lambda v: ~F.exists(v, lambda x: x.isNull())), F.lit(0))
 
 
 def fit(vector: Column, size: int) -> Column:

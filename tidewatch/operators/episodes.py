@@ -67,10 +67,10 @@ def row_runs(rows: DataFrame, params: EpisodeParams, split: Split) -> DataFrame:
 
 
 def run_pieces(samples: DataFrame, params: EpisodeParams,
-               rows_per_part: int = ROWS_PER_PART) -> Pieces:
+               rows_per_part: int = ROWS_PER_PART, split: Split | None = None) -> Pieces:
     """Runs with their confirmation, and which of them open or close an episode."""
     rows = judged(samples)
-    split = split_sessions(rows, rows_per_part)
+    split = split_sessions(rows, rows_per_part) if split is None else split
     held_at = F.when(F.col("held"), F.struct("us", "seq"))
     pieces = row_runs(rows, params, split).groupBy(*split.keys, "run").agg(
         F.first("bad").alias("bad"),

@@ -9,6 +9,7 @@ from tidewatch.functions import instants
 from tidewatch.operators import episodes as ep
 from tidewatch.plans.ordered import ROWS_PER_PART
 from tidewatch.schemas import EpisodeParams
+from tidewatch.session import durable
 
 ACCURACY = 10_000
 BROADCAST_GROUPS = 10_000
@@ -113,6 +114,13 @@ def max_lag(summary: DataFrame) -> DataFrame:
     return summary.agg(F.max("totalLag").alias("maxLag"))
 
 
+def _same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join on keys where null equals null, as in grouping."""
+    same = [left[k].eqNullSafe(right[k]) for k in keys]
+    rest = [c for d in (left, right) for c in d.columns if c not in keys]
+    return left.join(right, same, how).select(*[F.coalesce(left[k], right[k]).alias(k) for k in keys], *rest)
+
+
 def period_stats(samples: DataFrame, params: EpisodeParams = EpisodeParams(), *, as_of=None,
                  rows_per_part: int = ROWS_PER_PART) -> DataFrame:
     """Per user and day: watched seconds, share of good time, episodes started, their durations.
@@ -129,23 +137,21 @@ def period_stats(samples: DataFrame, params: EpisodeParams = EpisodeParams(), *,
     watched = x.groupBy(F.col("prev.user").alias("userId"),
                         day(instants.from_millis(F.col("prev.ms"))).alias("periodStart")).agg(
         F.sum(gap).alias("validMs"), F.sum(F.when(~F.col("prev.bad"), gap).otherwise(0)).alias("goodMs"))
-    eps = ep.episodes(samples, params, as_of=as_of, rows_per_part=rows_per_part).withColumn(
-        "periodStart", day("startedAt"))
-    counts = eps.groupBy("userId", "periodStart").agg(
-        F.count(F.lit(1)).alias("n"), F.count("endedAt").alias("ended"),
-        F.sum(F.unix_millis("endedAt") - F.unix_millis("startedAt")).alias("endedMs"))
-    medians = exact_percentiles(eps, ["userId", "periodStart"], "durationSeconds", [0.5], rows_per_part)
-    # Null users are a group of their own, so the joins compare null-safely.
-    def same(a, b):
-        return a["userId"].eqNullSafe(b["userId"]) & (a["periodStart"] == b["periodStart"])
-    started = counts.join(medians, same(counts, medians), "left").select(
-        counts["userId"], counts["periodStart"], "n", "ended", "endedMs",
-        F.col("percentiles")[0].alias("median"))
-    j = watched.join(started, same(watched, started), "full_outer").select(
-        F.coalesce(watched["userId"], started["userId"]).alias("userId"),
-        F.coalesce(watched["periodStart"], started["periodStart"]).alias("periodStart"),
-        F.coalesce("validMs", F.lit(0).cast("long")).alias("validMs"), "goodMs",
-        F.coalesce("n", F.lit(0).cast("long")).alias("n"), "ended", "endedMs", "median")
+    pieces = ep.run_pieces(samples, params, rows_per_part, split)
+    eps = ep.finished(pieces, ep.as_of_ms(samples, as_of)).withColumn("periodStart", day("startedAt"))
+    totals = [F.count(F.lit(1)).alias("n"), F.count("endedAt").alias("ended"),
+              F.sum(F.unix_millis("endedAt") - F.unix_millis("startedAt")).alias("endedMs")]
+    keys = ["userId", "periodStart"]
+    # An episode has at least two samples, so users of ordinary size have ordinary groups.
+    if rows.groupBy("user").count().where(F.col("count") > rows_per_part).isEmpty():
+        started = eps.groupBy(*keys).agg(*totals, F.median("durationSeconds").alias("median"))
+    else:
+        eps = durable(eps)
+        started = _same_keys(eps.groupBy(*keys).agg(*totals), exact_percentiles(
+            eps, keys, "durationSeconds", [0.5], rows_per_part), keys, "left").withColumn(
+            "median", F.col("percentiles")[0])
+    j = _same_keys(watched, started, keys, "full_outer").withColumns({
+        "validMs": F.coalesce("validMs", F.lit(0).cast("long")), "n": F.coalesce("n", F.lit(0).cast("long"))})
     valid = F.col("validMs") / F.lit(1000.0)
     has_time = F.col("validMs") > 0
     return j.select(

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +27,14 @@ def label_by_rule(samples: DataFrame) -> DataFrame:
         "inferredStatus": label, "bad": labels.is_bad(label), "model": F.lit(labels.RULE_MODEL)})
 
 
-def feature_windows(samples: DataFrame, size: int = WINDOW_SIZE,
-                    rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+def numeric_vector(width: int | None) -> Column:
+    """The sample's vector as doubles, fitted to ``width`` once if a model will read it."""
+    vector = vectors.to_doubles(F.col("featureVector"))
+    return vector if width is None else vectors.fit(vector, width)
+
+
+def feature_windows(samples: DataFrame, size: int = WINDOW_SIZE, rows_per_part: int = ROWS_PER_PART,
+                    width: int | None = None) -> DataFrame:
     """Each sample with the last ``size`` valid vectors of its session, its own included.
 
     ``featureVector`` may hold doubles or text. A sample with a non-numeric element is not windowed
@@ -36,7 +42,7 @@ def feature_windows(samples: DataFrame, size: int = WINDOW_SIZE,
     """
     keyed = samples.where(F.col("capturedAt").isNotNull()).withColumns({
         "windowKey": F.coalesce(F.nullif("sessionId", F.lit("")), F.lit(UNKNOWN_SESSION)),
-        "vector": vectors.to_doubles(F.col("featureVector").cast("array<string>"))})
+        "vector": numeric_vector(width)})
     split = plan_split(keyed, "windowKey", ("capturedAt", "seq"), rows_per_part)
     windows = split.last_n(split.assign(keyed), "window", F.col("vector"), size)
     if split.hot:
@@ -82,42 +88,52 @@ class SequenceModel:
             hidden = sigmoid(o) * np.tanh(cell)
         return hidden @ self.w_class.T + self.b_class
 
+    def probabilities(self, windows: np.ndarray) -> np.ndarray:
+        logits = self.logits(windows)
+        powers = np.exp(logits - logits.max(axis=1, keepdims=True))
+        return powers / powers.sum(axis=1, keepdims=True)
 
-def model_logits(spark, model: SequenceModel):
-    """Column function: flat array of window numbers -> logits, in Arrow batches."""
+
+def class_scores(spark, model: SequenceModel):
+    """Column function: flat array of window numbers -> class probabilities, in Arrow batches."""
     shared = spark.sparkContext.broadcast(model)    # a few kilobytes of weights
 
-    @F.pandas_udf("array<double>")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         for batch in batches:
-            out, full = [None] * len(batch), np.flatnonzero(batch.notna())
-            if len(full):
-                x = np.stack(batch.iloc[full].to_numpy()).reshape(len(full), -1, m.w_input.shape[1])
-                for i, row in zip(full, m.logits(x)):
-                    out[i] = row
-            yield pd.Series(out, dtype=object)
+            full = batch.is_valid().to_numpy(zero_copy_only=False)
+            numbers = batch.drop_null().flatten().to_numpy(zero_copy_only=False)
+            n = int(full.sum())
+            p = m.probabilities(numbers.reshape(n, -1, m.w_input.shape[1])) if n else np.empty((0, 0))
+            ends = np.cumsum(np.where(full, len(m.b_class), 0))
+            yield pa.ListArray.from_arrays(
+                pa.array(np.append(0, ends), pa.int32()), pa.array(p.ravel()), mask=pa.array(~full))
     return score
 
 
 def score_samples(samples: DataFrame, model: SequenceModel | None = None, size: int = WINDOW_SIZE,
                   rows_per_part: int = ROWS_PER_PART) -> DataFrame:
     """Label by the model where a sample completes a full window, else by the rule."""
-    return choose_label(feature_windows(samples, size, rows_per_part), model, size)
+    return choose_label(feature_windows(samples, size, rows_per_part, width_of(model)), model, size)
+
+
+def width_of(model: SequenceModel | None) -> int | None:
+    return None if model is None else model.w_input.shape[1]
 
 
 def choose_label(windows: DataFrame, model: SequenceModel | None, size: int = WINDOW_SIZE) -> DataFrame:
-    """Score samples that carry their window; also used on the stream, where state builds windows."""
+    """Score samples that carry their window, of vectors fitted to the model if there is one.
+
+    Also used on the stream, where keyed state builds the windows.
+    """
     x = label_by_rule(windows)
-    classes = F.lit(None).cast("array<double>")
-    if model is not None:
-        width = model.w_input.shape[1]
-        flat = F.flatten(F.transform("window", lambda v: vectors.fit(v, width)))
+    if model is None:
+        x = x.withColumn("_p", F.lit(None).cast("array<double>"))
+    else:
         full = F.col("windowed") & (F.col("windowBuffered") == size)
-        score = model_logits(windows.sparkSession, model)
-        x = x.withColumn("_logits", score(F.when(full, flat)))
-        classes = F.when(F.col("_logits").isNotNull(), labels.softmax(F.col("_logits")))
-    x = x.withColumn("_p", classes)
+        score = class_scores(windows.sparkSession, model)
+        x = x.withColumn("_p", score(F.when(full, F.flatten("window"))))
     by_model = F.col("_p").isNotNull()
     return x.select(
         F.when(by_model, F.col("windowKey")).otherwise(F.col("sessionId")).alias("sessionId"),

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tidewatch.functions import vectors
-from tidewatch.operators.scoring import WINDOW_SIZE, SequenceModel, choose_label
+from tidewatch.operators.scoring import WINDOW_SIZE, SequenceModel, choose_label, numeric_vector, width_of
 from tidewatch.schemas import UNKNOWN_SESSION, to_ms
 from tidewatch.session import use_state_store
 
@@ -66,7 +65,7 @@ def score_stream(samples: DataFrame, model: SequenceModel | None = None, *, size
     keyed = samples.where(F.col("capturedAt").isNotNull()).select(
         F.coalesce(F.nullif("sessionId", F.lit("")), F.lit(UNKNOWN_SESSION)).alias("windowKey"),
         *CARRIED, F.unix_millis("capturedAt").alias("ms"),
-        vectors.to_doubles(F.col("featureVector").cast("array<string>")).alias("vector"))
+        numeric_vector(width_of(model)).alias("vector"))
     processor = WindowProcessor(size, None if forget_seconds is None else to_ms(forget_seconds))
     x = keyed.groupBy("windowKey").transformWithState(
         processor, WINDOWED, "Append", "None" if forget_seconds is None else "EventTime")
