@@ -169,3 +169,14 @@ def test_expiry_is_strict_in_the_table(spark):
     now = F.lit(BASE + timedelta(seconds=300.001))
     got = sessions.expire_sessions(table, now, 300).orderBy("session_id").collect()
     assert [r.status for r in got] == ["ENDED", "ACTIVE"]
+
+
+def test_late_samples(spark, tmp_path):
+    feed = Feed(spark, tmp_path, delay="10 seconds")
+    feed.add([("s", "W", 1000), ("s", "W", 1001)])
+    feed.add([("clock", "N", 1002)])
+    feed.add([("t", "W", 5), ("t", "W", 9), ("u", "W", 995), ("u", "W", 999)])
+    got = feed.run()
+    assert ("u", "EVENT_STARTED", 995, 999, 1, False) in got
+    # Far behind the clock: still judged, and closed at once because the session counts as silent.
+    assert [r[1:] for r in got if r[0] == "t"] == [("EVENT_STARTED", 5, 9, 1, False), ("EVENT_ENDED", 5, 9, 1, False)]

@@ -104,8 +104,9 @@ def outcome_stream(samples: DataFrame, params: EpisodeParams = EpisodeParams(),
                    delay: str = "1 minute") -> DataFrame:
     """Labelled samples (sessionId, userId, capturedAt, seq, inferredStatus) to outcomes.
 
-    Samples later than ``delay`` behind the newest are dropped by the watermark; their number is in
-    the query progress.
+    ``delay`` is how far the clock of the silence timers trails the newest sample. It drops nothing:
+    the rows no longer carry the watermark column when they reach the state, so a late sample is
+    judged when it arrives, by the time it carries.
     """
     use_state_store(samples.sparkSession)
     rows = judged(samples.withWatermark("capturedAt", delay))
