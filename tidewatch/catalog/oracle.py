@@ -142,7 +142,7 @@ er AS (SELECT seq, 'sessionId' AS field, 'must not be blank' AS message FROM rq
 # Samples as rows of a capture file, already typed.
 CAPTURES = SAMPLES + """,
 c AS (SELECT sid AS capture_id, 'P' || (user_id % 20) AS participant_code, TIMESTAMP '2024-01-01 00:00:00' AS started_at,
-             event_type AS activity, CASE WHEN event_type <> 'view' THEN 12.5 END AS target_sample_hz,
+             event_type AS activity, CASE WHEN event_type <> 'view' THEN 12.5::DOUBLE END AS target_sample_hz,
              CAST(user_id % 3 + 1 AS INT) AS repetition, user_id % 2 = 0 AS eligible, seq, ts,
              CAST(seq AS INT) AS sample_index, CAST(ms - epoch_us(TIMESTAMP '2024-01-01 00:00:00') // 1000 AS DOUBLE) AS elapsed_ms,
              's' || day(ts) AS segment_id, CASE WHEN value >= 50 THEN 'BAD' WHEN value >= 5 THEN 'NORMAL' END AS manual_label,
