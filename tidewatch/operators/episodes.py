@@ -84,7 +84,7 @@ def run_pieces(samples: DataFrame, params: EpisodeParams,
         F.collect_list(F.when(F.col("bad"), F.col("ms"))).alias("bad_ms"))
     pieces = pieces.select("*", F.col("first.us").alias("first_us"),
                            F.col("first.seq").alias("first_seq")).drop("first")
-    by_piece = Split(split.key, PIECE_ORDER, split.bounds)
+    by_piece = split.ordered_by(*PIECE_ORDER)
     if split.hot:
         pieces = durable(pieces)
 
@@ -106,7 +106,8 @@ def run_pieces(samples: DataFrame, params: EpisodeParams,
     x = x.withColumn("episode_before", F.col("marked_before.episode"))
     x = x.withColumn("episode", F.when(F.col("opens"), opened)
                      .when(~(F.col("cuts") | F.col("recovers")), F.col("episode_before")))
-    return Pieces(x.drop("marked_before"), by_piece, params)
+    x = x.drop("marked_before")
+    return Pieces(durable(x) if split.hot else x, by_piece, params)
 
 
 def label_runs(samples: DataFrame, params: EpisodeParams,
@@ -150,11 +151,13 @@ def episode_spans(pieces: Pieces) -> DataFrame:
         F.when(closed.isNotNull(), F.struct(closed.alias("e"), F.lit(False).alias("inside")))))))
     x = x.select("*", F.col("role.e").alias("e"), F.col("role.inside").alias("inside"))
     keys = ["session"] + ([PART] if pieces.split.hot else [])
-    return x.groupBy(*keys, "e").agg(
+    spans = x.groupBy(*keys, "e").agg(
         F.max(F.when(F.col("inside"), F.col("last_ms"))).alias("last_ms"),
         F.min(F.when(~F.col("inside") & F.col("recovers"), F.col("confirm_ms"))).alias("recovered_ms"),
         F.max(~F.col("inside") & F.col("cuts")).alias("cut"),
         F.flatten(F.collect_list(F.when(F.col("inside"), alerts.later_bad()))).alias("bad_ms"))
+    # With cut sessions several branches read the spans, and each step above reads its input twice.
+    return durable(spans) if pieces.split.hot else spans
 
 
 def episodes(samples: DataFrame, params: EpisodeParams = EpisodeParams(), *, as_of=None,

@@ -50,8 +50,8 @@ def _bracketed(df: DataFrame, keys: list[str], value: str, ps: list[float]) -> D
         few = stats.limit(BROADCAST_GROUPS + 1).collect()
         if len(few) <= BROADCAST_GROUPS:
             stats = F.broadcast(df.sparkSession.createDataFrame(few, stats.schema))
-        same = [x[k].eqNullSafe(stats[k]) for k in keys]
-        x = x.join(stats, same).select(*[x[k] for k in keys], "v", "brackets")
+        same = [F.col(f"x.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
+        x = x.alias("x").join(stats.alias("s"), same).select(*[F.col(f"x.{k}") for k in keys], "v", "brackets")
     else:
         x = x.withColumn("brackets", stats.scalar())
     x = x.select(*keys, "v", F.explode(F.filter("brackets", lambda b: F.col("v") <= b["hi"])).alias("b"))
@@ -116,9 +116,10 @@ def max_lag(summary: DataFrame) -> DataFrame:
 
 def _same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
     """Join on keys where null equals null, as in grouping."""
-    same = [left[k].eqNullSafe(right[k]) for k in keys]
-    rest = [c for d in (left, right) for c in d.columns if c not in keys]
-    return left.join(right, same, how).select(*[F.coalesce(left[k], right[k]).alias(k) for k in keys], *rest)
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    rest = [F.col(f"{side}.{c}") for side, d in (("l", left), ("r", right)) for c in d.columns if c not in keys]
+    return left.alias("l").join(right.alias("r"), same, how).select(
+        *[F.coalesce(f"l.{k}", f"r.{k}").alias(k) for k in keys], *rest)
 
 
 def period_stats(samples: DataFrame, params: EpisodeParams = EpisodeParams(), *, as_of=None,

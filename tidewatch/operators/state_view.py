@@ -9,7 +9,7 @@ from tidewatch.functions import instants
 from tidewatch.functions.labels import state_key
 from tidewatch.operators import alerts
 from tidewatch.operators import episodes as ep
-from tidewatch.plans.ordered import PART, ROWS_PER_PART, Split
+from tidewatch.plans.ordered import PART, ROWS_PER_PART
 from tidewatch.schemas import BAD, NORMAL, EpisodeParams
 
 SUSPECT, RECOVERING = "SUSPECT", "RECOVERING"
@@ -63,7 +63,7 @@ def _moments(samples: DataFrame, params: EpisodeParams, rows_per_part: int) -> D
                          F.lit(True).alias("changed"),
                          F.struct((F.col("alerts_before") + F.col("n") + 2).alias("n"), "ms").alias("alert"))
     x = x.unionByName(again, allowMissingColumns=True)
-    split = Split("session", ("ms", "rank"), pieces.split.bounds)
+    split = pieces.split.ordered_by("ms", "rank")
     x = split.last_before(x, "in_run", F.col("of"), inclusive=True)
     x = split.last_before(x, "begun_by", F.col("starter"), inclusive=True)
     raised = F.struct(F.col("e.us").alias("us"), F.col("e.seq").alias("seq"), "alert")

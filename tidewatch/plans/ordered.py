@@ -14,7 +14,7 @@ spread; every row is kept and results do not depend on where the cuts fall.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -34,6 +34,11 @@ class Split:
     key: str
     order: tuple[str, ...]
     bounds: DataFrame | None = field(default=None, compare=False)
+    most_cuts: int = 0
+
+    def ordered_by(self, *order: str) -> Split:
+        """The same parts for a frame derived from the first one, with order columns of its own."""
+        return replace(self, order=order)
 
     @property
     def hot(self) -> bool:
@@ -51,7 +56,7 @@ class Split:
         if not self.hot:
             return df
         position = F.struct(*self.order)
-        steps = F.array(*[F.lit(1 << b) for b in range(MAX_PARTS.bit_length() - 1, -1, -1)])
+        steps = F.array(*[F.lit(1 << b) for b in range(self.most_cuts.bit_length() - 1, -1, -1)])
         # Binary search: the number of cut points at or before this row.
         part = F.aggregate(
             steps, F.lit(0),
@@ -156,4 +161,4 @@ def plan_split(df: DataFrame, key: str, order: tuple[str, ...],
     rows = cuts.collect()
     if not rows:
         return Split(key, order)
-    return Split(key, order, spark.createDataFrame(rows, cuts.schema))
+    return Split(key, order, spark.createDataFrame(rows, cuts.schema), max(len(r["_bounds"]) for r in rows))
