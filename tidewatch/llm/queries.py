@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import exact_dedup, mixing, sharding
+from tidewatch.llm import exact_dedup, html_text, mixing, packing, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -19,6 +19,8 @@ def query(fn):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # Rows per Arrow batch: texts may be long, and a batch is held in memory.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -59,6 +61,27 @@ FROM runs
 """
 
 
+# --- op3: HTML extraction ---------------------------------------------------------------------------
+
+@query
+def op3_html_text(spark, sf):
+    return html_text.extract(table(spark, sf, "pages"))
+
+
+# --- op6: packing -----------------------------------------------------------------------------------
+
+@query
+def op6_pack_sequences(spark, sf):
+    return packing.pack(table(spark, sf, "documents"))
+
+
+# --- op7: quality rules -----------------------------------------------------------------------------
+
+@query
+def op7_tokeniser_fertility(spark, sf):
+    return quality.measure(table(spark, sf, "documents"))
+
+
 # --- op8: exact dedup -------------------------------------------------------------------------------
 
 @query
