@@ -69,3 +69,15 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: str = "text", most_by
             size += n or 0
         if batch.num_rows > start:
             yield batch.slice(start)
+
+
+def collapse_repeats(df: DataFrame, repeated: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """``df`` with one row for each id in ``repeated`` (column __id), which only rows that may stand for each other share."""
+    if repeated.isEmpty():
+        return df
+    names = df.columns
+    inner = [f"__c{i}" for i in range(len(names))]
+    rows = df.toDF(*inner).join(repeated.select(F.col("__id").alias("__twice"), F.lit(True).alias("__hit")).distinct(),
+                                F.col(inner[names.index(doc_id)]).eqNullSafe(F.col("__twice")), "left")
+    one = rows.filter("__hit").dropDuplicates(["__twice"])
+    return rows.filter("__hit is null").select(*inner).unionByName(one.select(*inner)).toDF(*names)

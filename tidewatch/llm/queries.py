@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import exact_dedup, html_text, mixing, packing, quality, sharding
+from tidewatch.llm import exact_dedup, html_text, mixing, near_dedup, packing, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -68,6 +68,14 @@ def op3_html_text(spark, sf):
     return html_text.extract(table(spark, sf, "pages"))
 
 
+# --- op5: near dedup --------------------------------------------------------------------------------
+
+@query
+def op5_near_dedup(spark, sf):
+    out = near_dedup.near_groups(table(spark, sf, "documents"), k=2)
+    return out.select(F.col("__id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 # --- op6: packing -----------------------------------------------------------------------------------
 
 @query
