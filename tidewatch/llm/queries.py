@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import exact_dedup, html_text, mixing, near_dedup, packing, quality, sharding
+from tidewatch.llm import exact_dedup, html_text, licenses, mixing, near_dedup, packing, quality, sharding, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -24,6 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# --- op1: substring dedup ---------------------------------------------------------------------------
+
+@query
+def op1_substring_dedup(spark, sf):
+    out = substring_dedup.repeated_spans(table(spark, sf, "documents"))
+    return out.select(F.col("id").alias("doc_id"), F.col("start").alias("start_char"), F.col("end").alias("end_char"), "n_chars", F.col("first_id").alias("first_doc_id"), "removed")
+
+
 # --- op2: mixing ------------------------------------------------------------------------------------
 
 @query
@@ -132,3 +140,41 @@ fits AS (
   WHERE shard_bytes <= 16777216 OR p.depth = 60)
 SELECT doc_id, n_bytes, depth, right(lpad(bin(prefix), 60, '0'), depth) AS shard, shard_bytes FROM fits WHERE turn = 1
 """
+
+
+# --- op10: license scan -----------------------------------------------------------------------------
+
+@query
+def op10_license_scan(spark, sf):
+    out = licenses.scan(table(spark, sf, "documents"))
+    return out.select(F.col("__id").alias("doc_id"), "license", "notices", F.col("sha").alias("canonical_sha256"))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical_sql(text: str) -> str:
+    out = f"regexp_replace(lower(coalesce({text}, '')), {_quoted(licenses.COPYRIGHT_LINE)}, ' ', 'g')"
+    for other, usual in licenses.SPELLINGS:
+        out = f"replace({out}, {_quoted(other)}, {_quoted(usual)})"
+    return f"sha256(trim(regexp_replace({out}, {_quoted(licenses.NOT_WORD)}, ' ', 'g')))"
+
+
+def _known_sql(rows) -> str:
+    values = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in rows)
+    return f"SELECT DISTINCT license, {_canonical_sql('t')} AS digest FROM (VALUES {values}) AS k(license, t)"
+
+
+SQL["op10_license_scan"] = f"""
+WITH whole AS ({_known_sql(licenses.TEXTS + licenses.NOTICES)}),
+notice AS ({_known_sql(licenses.NOTICES)}),
+docs AS (SELECT doc_id, text, {_canonical_sql('text')} AS canonical_sha256 FROM documents),
+lines AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line FROM documents),
+found AS (
+  SELECT doc_id, text, string_agg(DISTINCT license, ',' ORDER BY license) AS notices
+  FROM lines JOIN notice ON digest = {_canonical_sql('line')} GROUP BY doc_id, text)
+SELECT docs.doc_id, license, coalesce(notices, '') AS notices, canonical_sha256
+FROM docs LEFT JOIN whole ON digest = canonical_sha256
+LEFT JOIN found ON docs.doc_id IS NOT DISTINCT FROM found.doc_id AND docs.text = found.text
+"""
