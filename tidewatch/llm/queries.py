@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import exact_dedup, html_text, licenses, mixing, near_dedup, packing, quality, sharding, substring_dedup
+from tidewatch.llm import exact_dedup, html_text, language_model, licenses, mixing, near_dedup, packing, quality, sharding, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -76,6 +76,13 @@ def op3_html_text(spark, sf):
     return html_text.extract(table(spark, sf, "pages"))
 
 
+# --- op4: language-model scores ---------------------------------------------------------------------
+
+@query
+def op4_lm_scores(spark, sf):
+    return language_model.score(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
+
+
 # --- op5: near dedup --------------------------------------------------------------------------------
 
 @query
