@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of all operators: space and the control characters 9 to 13.
@@ -81,3 +81,8 @@ def collapse_repeats(df: DataFrame, repeated: DataFrame, doc_id: str = "doc_id")
                                 F.col(inner[names.index(doc_id)]).eqNullSafe(F.col("__twice")), "left")
     one = rows.filter("__hit").dropDuplicates(["__twice"])
     return rows.filter("__hit is null").select(*inner).unionByName(one.select(*inner)).toDF(*names)
+
+
+def bounded_batches(spark: SparkSession, rows: int = 4000) -> None:
+    """Rows per Arrow batch: a batch of whole texts is held in memory at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import SPACES, pick, row_key, without_rows
+from tidewatch.llm.common import BROADCAST_ROWS, SPACES, pick, row_key, without_rows
 from tidewatch.session import durable
 
 PREFIX_CHARS = 64
@@ -75,7 +75,7 @@ def drop_exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     body = pick(docs, id=doc_id, text=text)
     body = body.select(*row_key(F.col("id"), F.col("text")), "text")
     keys = left.select(F.col("__id").alias("i"), F.col("__raw").alias("r"), "points", "len").distinct()
-    if left.count() <= 1_000_000:
+    if left.count() <= BROADCAST_ROWS:
         keys = F.broadcast(keys)
     full = body.join(keys, F.col("__id").eqNullSafe(F.col("i")) & (F.col("__raw") == F.col("r")))
     full = durable(full.select("__id", "__raw", "points", "len", F.sha2(normalised(F.col("text")), 256).alias("sha")))
@@ -84,14 +84,14 @@ def drop_exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     stays = F.col("__id").eqNullSafe(F.col("keep_id")) & (F.col("points") == F.col("most"))
     out = without_rows(docs, marked.filter(~stays).select("__id", "__raw"), doc_id, text)
     # Rows that stay more than once repeat both id and normalised text; they are few, so only they are told apart by content.
-    again = durable(marked.filter(stays).groupBy("__id", "len", "sha").agg(F.count(F.lit(1)).alias("n"), F.min("__raw").alias("__raw"), F.max("__raw").alias("other")).filter("n > 1"))
+    again = durable(marked.filter(stays).groupBy("__id", "len", "sha").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     if again.isEmpty():
         return out
     names = out.columns
     inner = [f"__c{i}" for i in range(len(names))]
     i, t = names.index(doc_id), names.index(text)
-    hit = again.select(F.col("__id").alias("__gone"), "sha").distinct()
+    hit = again.select(F.col("__id").alias("__twice"), "sha").distinct()
     tagged = out.toDF(*inner).withColumn("__sha", F.sha2(normalised(F.col(f"__c{t}")), 256)).join(
-        hit, F.col(f"__c{i}").eqNullSafe(F.col("__gone")) & (F.col("sha") == F.col("__sha")), "left")
-    one = tagged.filter("sha is not null").dropDuplicates(["__gone", "sha"])
+        hit, F.col(f"__c{i}").eqNullSafe(F.col("__twice")) & (F.col("sha") == F.col("__sha")), "left")
+    one = tagged.filter("sha is not null").dropDuplicates(["__twice", "sha"])
     return tagged.filter("sha is null").select(*inner).unionByName(one.select(*inner)).toDF(*names)

@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import WORD, pick
+from tidewatch.llm.common import BROADCAST_ROWS, WORD, pick
 from tidewatch.session import durable
 
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -48,11 +48,11 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     order = Window.orderBy((F.col("most") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
     every = Window.partitionBy()
     below = order.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.select("source", "source_size", "weight", "most",
+    rows = rows.select("source", "source_size", "weight", "most", F.row_number().over(order).alias("place"),
                        ((F.lit(share) * F.sum("source_size").over(every) - F.coalesce(F.sum("most").over(below), F.lit(0)))
                         / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(below), F.lit(0.0)))).alias("level"))
-    able = F.when(F.col("level") <= F.col("most") / F.col("weight"), F.col("level"))
-    rows = rows.withColumn("level", F.min(able).over(every))
+    able = F.when(F.col("level") <= F.col("most") / F.col("weight"), F.col("place"))
+    rows = rows.withColumn("level", F.min_by("level", able).over(every))
     target = F.least(F.col("most").cast("double"), F.col("weight") * F.coalesce("level", F.lit(0.0)))
     return rows.select("source", "source_size", target.alias("target"))
 
@@ -70,7 +70,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     goal = targets(sources.select(F.when(~F.col("no_s"), F.col("s")).alias("source"), "source_size"), weights, share, most_epochs)
     goal = goal.select(F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("no_s"), "target")
     goal = sources.join(goal, ["s", "no_s"]).select("*", F.ceil(F.col("n") / rows_per_slice).cast("long").alias("slices"))
-    # One row per source: joined by shuffle or, if Spark knows it to be small, by broadcast.
+    goal = durable(goal)  # one row per source: broadcast if a count shows that there are few
+    if goal.count() <= BROADCAST_ROWS:
+        goal = F.broadcast(goal)
     place = F.conv(F.substring("key", 1, 7), 16, 10).cast("long")  # 28 bits
     rows = rows.join(goal.drop("n"), ["s", "no_s"]).withColumn("slice", F.floor(place * F.col("slices") / F.lit(float(1 << 28))))
     part = ["s", "no_s", "slice"]
@@ -101,8 +103,11 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     i, t = inner[names.index(doc_id)], inner[names.index(text)]
     # Rows that repeat id and text share a key: their counts are added up and dealt out evenly over them.
     times = times.groupBy("__mix_id", "__mix_raw").agg(F.sum("__times").alias("__times"), F.count(F.lit(1)).alias("__rows"))
+    times = durable(times.filter("__times > 0"))
     plain, rare = times.filter("__rows = 1"), times.filter("__rows > 1")
     key = F.col(i).eqNullSafe(F.col("__mix_id")) & (F.xxhash64(F.coalesce(F.col(t), F.lit(""))) == F.col("__mix_raw"))
+    if times.count() <= BROADCAST_ROWS:
+        plain = F.broadcast(plain)
     out = body.join(plain, key).select(*inner, "__times")
     if not rare.isEmpty():
         out = out.unionByName(body.join(rare, key).dropDuplicates(["__mix_id", "__mix_raw"]).select(*inner, "__times"))

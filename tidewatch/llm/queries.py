@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import exact_dedup, html_text, language_model, licenses, mixing, near_dedup, packing, quality, sharding, substring_dedup
+from tidewatch.llm.common import bounded_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -19,8 +20,7 @@ def query(fn):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # Rows per Arrow batch: texts may be long, and a batch is held in memory.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -50,13 +50,13 @@ sources AS (
          [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INT] AS weight
   FROM docs GROUP BY source),
 steps AS (
-  SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(2 * source_size) OVER below, 0))
+  SELECT *, row_number() OVER (ORDER BY 2 * source_size / weight, source ASC NULLS LAST) AS place, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(2 * source_size) OVER below, 0))
             / (sum(weight) OVER () - coalesce(sum(weight) OVER below, 0)) AS level
   FROM sources
   WINDOW below AS (ORDER BY 2 * source_size / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 goals AS (
   SELECT source, source_size,
-         least((2 * source_size)::DOUBLE, weight * coalesce((SELECT min(level) FROM steps WHERE level <= 2 * source_size / weight), 0)) AS target
+         least((2 * source_size)::DOUBLE, weight * coalesce((SELECT arg_min(level, place) FROM steps WHERE level <= 2 * source_size / weight), 0)) AS target
   FROM steps),
 runs AS (
   SELECT doc_id, size, source_size, target,
