@@ -9,7 +9,7 @@ import xxhash
 
 from tidewatch.llm.tokens import words
 
-COORDINATES = 64
+COORDINATES = 96
 _MIX, _MORE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _RNG = np.random.default_rng(20240601)
 _FACTORS = (_RNG.integers(0, 1 << 32, COORDINATES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -37,7 +37,8 @@ def shingle_hashes(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
     # Shingles that would cross into the next text are computed and left out.
     whole = np.zeros(len(h), np.uint64)
     for i in range(k):
-        whole[:len(h) - i] = mix(whole[:len(h) - i] * _MIX + h[i:] + np.uint64(k))
+        m = max(0, len(h) - i)
+        whole[:m] = mix(whole[:m] * _MIX + h[i:] + np.uint64(k))
     owner = np.repeat(np.arange(len(n)), n)
     inside = np.arange(len(h)) - found.offsets[:-1][owner] < counts[owner]
     long = (n >= k)[owner] & inside

@@ -77,26 +77,41 @@ def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, digest long, start int, end int")
 
 
-def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row per span that also stands elsewhere: id, start, end (characters), n_chars, first_id (where it is kept), removed."""
+def repeated_chunks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Chunks that stand more than once: id, start, end, first_id, removed (kept by another document, or earlier in this one)."""
     every = chunks(docs, doc_id, text)
     again = every.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")).filter("n > 1").drop("n")
     hits = every.join(durable(again), "digest")
     turn = F.row_number().over(Window.partitionBy("id", "digest").orderBy("start"))
     here = F.col("id").eqNullSafe(F.col("first_id"))
-    hits = hits.select("id", "start", "end", "first_id", (~here | (F.col("id").isNotNull() & (turn > 1))).alias("removed"))
+    return hits.select("id", "start", "end", "first_id", (~here | (F.col("id").isNotNull() & (turn > 1))).alias("removed"))
+
+
+def spans_of(hits: DataFrame, min_chars: int, alike: bool) -> DataFrame:
+    """Runs of neighbouring chunks of a document of at least ``min_chars``; with ``alike``, all removed or all kept."""
     order = Window.partitionBy("id").orderBy("start", "end")
-    fresh = (F.lag("end").over(order) != F.col("start")) | (F.lag("removed").over(order) != F.col("removed"))
+    fresh = F.lag("end").over(order) != F.col("start")
+    if alike:
+        fresh = fresh | (F.lag("removed").over(order) != F.col("removed"))
     runs = hits.withColumn("fresh", F.coalesce(fresh, F.lit(True)).cast("int"))
     runs = runs.withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = runs.groupBy("id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_id").alias("first_id"), F.first("removed").alias("removed"))
-    spans = spans.withColumn("n_chars", F.col("end") - F.col("start"))
-    return spans.filter(F.col("n_chars") >= min_chars).select("id", "start", "end", "n_chars", "first_id", "removed")
+    lost = F.sum(F.when(F.col("removed"), F.col("end") - F.col("start")).otherwise(F.lit(0)))
+    spans = runs.groupBy("id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_id").alias("first_id"), lost.alias("n_removed"))
+    spans = spans.withColumn("n_chars", F.col("end") - F.col("start")).filter(F.col("n_chars") >= min_chars)
+    return spans.select("id", "start", "end", "n_chars", "first_id", (2 * F.col("n_removed") > F.col("n_chars")).alias("removed"))
+
+
+def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """One row per span that also stands elsewhere: id, start, end (characters), n_chars, first_id, removed.
+
+    first_id is the smallest document that keeps some of it; removed: most of its characters are kept in another place.
+    """
+    return spans_of(repeated_chunks(docs, doc_id, text), min_chars, alike=False)
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with the removed spans cut out of the text column; other columns and all rows stay."""
-    spans = repeated_spans(docs, doc_id, text, min_chars).filter("removed and id is not null")
+    """``docs`` without runs of chunks that are all kept elsewhere; other columns and all rows stay."""
+    spans = spans_of(repeated_chunks(docs, doc_id, text), min_chars, alike=True).filter("removed and id is not null")
     spans = spans.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__cut"))
     names = docs.columns
     inner = [f"__c{i}" for i in range(len(names))]
