@@ -135,7 +135,7 @@ def test_partition_pruning_and_pushdown(spark, tmp_path):
     df = frame(spark, parse("s1 W0 W3.5 N4 N7.5")).unionByName(
         frame(spark, [("s2", "N", 90_000)]))
     path = str(tmp_path / "landed")
-    files.write_by_date(df, path, spread=2)
+    files.write_by_date(df, path, rebalance=True)
     back = files.read_by_date(spark, path, first="2026-01-02")
     assert back.count() == 1
     plan = files.session_lookup(back, "s2")._jdf.queryExecution().executedPlan().toString()

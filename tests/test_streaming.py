@@ -157,11 +157,31 @@ def test_sessions_table_by_batches(spark, tmp_path):
     assert state() == want
     expected = sessions.upsert_sessions(sessions.sessions_rollup(first), second).orderBy("session_id").collect()
     assert [tuple(r) for r in expected] == [tuple(r[c] for c in expected[0].asDict()) for r in table.read().orderBy("session_id").collect()]
-    table.compact()
-    assert state() == want
-    tables.record_expiry(table, table.read().where("session_id = 'b'"), 2)
-    write(frame(spark, [("b", "N", 20)]), 3)
+    tables.record_expiry(table, table.read().where("session_id = 'b'"), 1)    # an id that the samples have used
+    write(frame(spark, [("b", "N", 20)]), 2)
     assert state()[1] == ("b", "u-b", 1, 20, 2, "ENDED")    # never back to ACTIVE
+    assert state()[0] == want[0] and state()[2] == want[2]
+
+
+def test_a_batch_between_read_and_commit_is_not_lost(spark, tmp_path):
+    path = str(tmp_path / "sessions")
+    one, two = tables.sessions_table(spark, path), tables.sessions_table(spark, path)
+    tables.record_samples(one)(frame(spark, [("a", "N", 0)]), 0)
+    turns = []
+
+    def slow(old):
+        if not turns:    # another writer commits while this one works on the old snapshot
+            tables.record_samples(two, "other")(frame(spark, [("a", "N", 5), ("b", "N", 6)]), 0)
+        turns.append(1)
+        return sessions.upsert_sessions(old, frame(spark, [("a", "N", 9)]))
+
+    one.update("samples", 1, slow)
+    assert len(turns) == 2
+    assert {r.session_id: r.sample_count for r in one.read().collect()} == {"a": 3, "b": 1}
+    for i in range(2, 7):
+        tables.record_samples(one)(frame(spark, [("a", "N", 10 + i)]), i)
+    assert one.read().where("session_id = 'a'").first().sample_count == 8
+    assert len(list((tmp_path / "sessions" / "snapshots").iterdir())) == 2
 
 
 def test_expiry_is_strict_in_the_table(spark):

@@ -360,10 +360,10 @@ SELECT l_returnflag, count(*) AS n, max(l_extendedprice) AS max, count(*) / 60.0
     q["status_totals"] = """SELECT count(*) FILTER (l_returnflag = 'N') AS ok, count(*) FILTER (l_returnflag <> 'N') AS failed FROM lineitem"""
     m = "WITH " + METRICS
     q["lag_summary"] = m + """
-SELECT h AS "sampledAt", CAST(sum(lag) AS BIGINT) AS "totalLag", CAST(sum(consumed) AS BIGINT) AS "totalConsumed",
-       count(*) FILTER (member) AS members FROM lg WHERE event_type IN ('click', 'view', 'error') AND lag IS NOT NULL GROUP BY h"""
+SELECT h AS "sampledAt", CAST(coalesce(sum(lag), 0) AS BIGINT) AS "totalLag", CAST(coalesce(sum(consumed), 0) AS BIGINT) AS "totalConsumed",
+       count(*) FILTER (member) AS members FROM lg WHERE event_type IN ('click', 'view', 'error') GROUP BY h"""
     q["max_lag"] = m + """
-SELECT CAST(max(t) AS BIGINT) AS "maxLag" FROM (SELECT sum(lag) AS t FROM lg GROUP BY h)"""
+SELECT CAST(max(t) AS BIGINT) AS "maxLag" FROM (SELECT coalesce(sum(lag), 0) AS t FROM lg GROUP BY h)"""
     q["period_stats"] = ep + f""",
 wt AS (SELECT puid AS uid, date_trunc('day', {at('pms')}) AS d, CAST(sum(ms - pms) AS BIGINT) AS v,
               CAST(coalesce(sum(ms - pms) FILTER (NOT pbad), 0) AS BIGINT) AS g

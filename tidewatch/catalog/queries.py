@@ -391,7 +391,7 @@ def session_lookup(spark, sf):
 def parquet_roundtrip(spark, sf):
     path = scratch_path(spark, "landed")
     x = A.samples(spark, sf).select("sessionId", "userId", "capturedAt", "seq", "deviationScore", "ruleStatus")
-    files.write_by_date(x, path, spread=4)
+    files.write_by_date(x, path, rebalance=True)
     back = files.read_by_date(spark, path)
     files.check_roundtrip(ingest.with_event_date(x), back)
     lowest = back.groupBy("eventDate").agg(F.count(F.lit(1)).alias("rows"), F.min("deviationScore").alias("lowest"))
@@ -490,11 +490,10 @@ def scored_stream(spark, sf):
 
 @query
 def tables_stream(spark, sf):
-    """Outcomes written to the episodes table by micro-batches, read back and compacted."""
+    """Outcomes upserted into the episodes table by micro-batches and read back."""
     path = scratch_path(spark, "tables")
     target = tables.episodes_table(spark, path + "/episodes")
     labelled = scoring.label_by_rule(stream_of_events(spark, sf))
     (outcome_stream(labelled, PARAMS, delay="0 seconds").writeStream.foreachBatch(tables.record_outcomes(target))
      .option("checkpointLocation", path + "/checkpoint").trigger(availableNow=True).start().awaitTermination())
-    target.compact()
     return target.read()

@@ -9,6 +9,8 @@ the last alert the part would then end with.
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -32,17 +34,23 @@ def later_bad() -> Column:
 
 
 def alert_times(times: Column, last_alert: Column, interval_ms: int) -> Column:
-    """Fold sorted ``times`` into the alerts raised after ``last_alert``."""
+    """The alerts that sorted ``times`` raise after ``last_alert``: from each alert, jump to the first time an interval later."""
     if interval_ms <= 0:
         return times
-    start = F.struct(last_alert.alias("last"), F.array().cast("array<bigint>").alias("alerts"))
-    return F.aggregate(
-        times, start,
-        lambda acc, t: F.when(
-            t - acc["last"] >= interval_ms,
-            F.struct(t.alias("last"), F.array_append(acc["alerts"], t).alias("alerts"))
-        ).otherwise(acc),
-        lambda acc: acc["alerts"])
+
+    @F.pandas_udf("array<bigint>")
+    def walk(times: pd.Series, last: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else _walk(np.asarray(t).tolist(), int(a), interval_ms) for t, a in zip(times, last)])
+
+    return walk(times, F.coalesce(last_alert, F.lit(0).cast("long")))
+
+
+def _walk(times: list[int], last: int, interval: int) -> list[int]:
+    out, at = [], bisect.bisect_left(times, last + interval)
+    while at < len(times):
+        out.append(times[at])
+        at = bisect.bisect_left(times, times[at] + interval, at + 1)
+    return out
 
 
 def with_alerts(spans: DataFrame, pieces) -> DataFrame:

@@ -101,12 +101,12 @@ def ok_totals(df: DataFrame, status: str, ok) -> DataFrame:
 def lag_summary(metrics: DataFrame, topic_pattern: str) -> DataFrame:
     """Per sampling time: total lag, total consumed and members, over rows of matching topics.
 
-    ``lag`` and ``consumed`` are text; rows whose lag is no whole number are headers or idle members.
+    ``lag`` and ``consumed`` are text and each counts where it is a whole number; a row counts as a member where it names one.
     """
-    rows = metrics.where(F.col("topic").rlike(topic_pattern) & F.col("lag").rlike(r"^[0-9]+$"))
-    return rows.groupBy("sampledAt").agg(
-        F.sum(F.col("lag").cast("long")).alias("totalLag"),
-        F.sum(F.col("consumed").try_cast("long")).alias("totalConsumed"),
+    def whole(c):
+        return F.coalesce(F.sum(F.when(F.col(c).rlike(r"^[0-9]+$"), F.col(c).try_cast("long"))), F.lit(0).cast("long"))
+    return metrics.where(F.col("topic").rlike(topic_pattern)).groupBy("sampledAt").agg(
+        whole("lag").alias("totalLag"), whole("consumed").alias("totalConsumed"),
         F.count_if(F.col("member") != "-").alias("members"))
 
 

@@ -38,9 +38,10 @@ def feature_windows(samples: DataFrame, size: int = WINDOW_SIZE, rows_per_part:
     """Each sample with the last ``size`` valid vectors of its session, its own included.
 
     ``featureVector`` may hold doubles or text. A sample with a non-numeric element is not windowed
-    (``windowed`` false) and does not enter later windows; an empty vector does.
+    (``windowed`` false) and does not enter later windows; an empty vector does. Samples without a time come before those
+    with one, in order of ``seq``; only the episode rules leave them out.
     """
-    keyed = samples.where(F.col("capturedAt").isNotNull()).withColumns({
+    keyed = samples.withColumns({
         "windowKey": F.coalesce(F.nullif("sessionId", F.lit("")), F.lit(UNKNOWN_SESSION)),
         "vector": numeric_vector(width)})
     split = plan_split(keyed, "windowKey", ("capturedAt", "seq"), rows_per_part)

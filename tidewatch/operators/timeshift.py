@@ -63,7 +63,7 @@ def noise(seed: int, width: float, *parts: Column) -> Column:
 
 
 def replicate_sessions(template: DataFrame, n: int, participants: list[str], *, jitter: float = 0.01,
-                       gap_seconds: float = 120.0, seed: int = 42, block: int = 1000) -> DataFrame:
+                       gap_seconds: float = 120.0, seed: int = 42, block: int = 100) -> DataFrame:
     """``n`` copies of a template session: new ids, participants in turn, starts ``gap_seconds`` apart.
 
     ``template`` has text columns and a ``seq``. Copies are numbered in two steps, blocks and copies
@@ -71,8 +71,7 @@ def replicate_sessions(template: DataFrame, n: int, participants: list[str], *,
     """
     blocks = -(-n // block)
     x = template.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    if blocks > 1:
-        x = x.repartition("_block", "seq")
+    x = x.repartition("_block", "seq")
     first = F.col("_block") * block
     x = x.withColumn("copy", F.explode(F.sequence(first, F.least(first + block, F.lit(n)) - 1)))
     base = template.agg(F.min_by("started_at", "seq")).scalar()

@@ -19,12 +19,13 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidewatch.session import durable
+
 PART = "_part"
 
 ROWS_PER_PART = 2_000_000
-MAX_HOT_KEYS = 4096        # a key past this rank holds under 1/4096 of the rows
-MAX_PARTS = 8192           # parts over all hot keys; bounds what is collected and broadcast
 SAMPLES_PER_PART = 32
+BROADCAST_ROWS = 100_000   # rows of a written summary that a join may broadcast; others are shuffled
 
 
 @dataclass(frozen=True)
@@ -62,7 +63,7 @@ class Split:
             steps, F.lit(0),
             lambda found, step: F.when(
                 F.get("_bounds", found + step - 1) <= position, found + step).otherwise(found))
-        return (df.join(F.broadcast(self.bounds), self.key, "left")
+        return (df.join(self.bounds, self.key, "left")
                   .withColumn(PART, F.when(F.col("_bounds").isNotNull(), part))
                   .drop("_bounds"))
 
@@ -79,12 +80,12 @@ class Split:
         tails = (df.where(F.col(PART).isNotNull())
                    .groupBy(*self.keys).agg(F.max_by("_v", at).alias("_tail")))
         return (df.withColumn("_near", near)
-                  .join(F.broadcast(self._earlier(tails)), self.keys, "left")
+                  .join(self._earlier(tails), self.keys, "left")
                   .withColumn(out, F.coalesce("_near", "_carry"))
                   .drop("_v", "_near", "_carry"))
 
     def _earlier(self, tails: DataFrame) -> DataFrame:
-        """Per part, the last tail among the earlier parts of its key (at most MAX_PARTS rows)."""
+        """Per part, the last tail among the earlier parts of its key ."""
         w = Window.partitionBy(self.key).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
         return tails.select(
             *self.keys, F.last("_tail", ignorenulls=True).over(w).alias("_carry"))
@@ -102,7 +103,7 @@ class Split:
         w_parts = Window.partitionBy(self.key).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
         carry = totals.select(*self.keys, F.sum("_total").over(w_parts).alias("_carry"))
         return (df.withColumn("_near", near)
-                  .join(F.broadcast(carry), self.keys, "left")
+                  .join(carry, self.keys, "left")
                   .withColumn(out, F.col("_near") + F.coalesce("_carry", F.lit(0).cast("long")))
                   .drop("_hit", "_near", "_carry"))
 
@@ -133,7 +134,7 @@ class Split:
                  .withColumn("_upto", F.flatten(F.collect_list("_tail").over(last_tails)))
                  .select(*self.keys, F.lag("_upto").over(w_parts).alias("_earlier")))
         joined = F.when(F.col("_earlier").isNull(), F.col(out)).otherwise(F.concat("_earlier", out))
-        return (df.join(F.broadcast(carry), self.keys, "left")
+        return (df.join(carry, self.keys, "left")
                   .withColumn(out, F.when(F.size(joined) > n, F.slice(joined, -n, n)).otherwise(joined))
                   .drop("_v", "_nth", "_earlier"))
 
@@ -141,24 +142,23 @@ class Split:
 def plan_split(df: DataFrame, key: str, order: tuple[str, ...],
                rows_per_part: int = ROWS_PER_PART) -> Split:
     """Measure the keys of ``df`` and decide whether any has to be cut."""
-    hot = (df.groupBy(key).count().where(F.col("count") > rows_per_part)
-             .orderBy(F.desc("count")).limit(MAX_HOT_KEYS).collect())
-    if not hot:
+    hot = durable(df.groupBy(key).count().where(F.col("count") > rows_per_part).select(key))
+    if hot.isEmpty():
         return Split(key, order)
-    target = max(rows_per_part, -(-2 * sum(r["count"] for r in hot) // MAX_PARTS))
-    spark = df.sparkSession
-    key_type = df.schema[key].dataType.simpleString()
-    rates = spark.createDataFrame(
-        [(r[key], max(1, target // SAMPLES_PER_PART)) for r in hot], f"{key} {key_type}, _every long")
-    sampled = (df.join(F.broadcast(rates), key)
-                 .where(F.pmod(F.xxhash64(key, *order), F.col("_every")) == 0)
+    every = max(1, rows_per_part // SAMPLES_PER_PART)
+    sampled = (df.join(checked(hot), key)
+                 .where(F.pmod(F.xxhash64(key, *order), F.lit(every)) == 0)
                  .select(key, F.struct(*order).alias("_at")).distinct())
     w = Window.partitionBy(key).orderBy("_at")
-    # At most MAX_PARTS cut points leave the cluster.
-    cuts = (sampled.withColumn("_n", F.row_number().over(w))
-                   .where(F.col("_n") % SAMPLES_PER_PART == 0)
-                   .groupBy(key).agg(F.sort_array(F.collect_list("_at")).alias("_bounds")))
-    rows = cuts.collect()
-    if not rows:
+    cuts = durable(sampled.withColumn("_n", F.row_number().over(w))
+                          .where(F.col("_n") % SAMPLES_PER_PART == 0)
+                          .groupBy(key).agg(F.sort_array(F.collect_list("_at")).alias("_bounds")))
+    most, total = cuts.agg(F.max(F.size("_bounds")), F.sum(F.size("_bounds"))).first()
+    if not most:
         return Split(key, order)
-    return Split(key, order, spark.createDataFrame(rows, cuts.schema), max(len(r["_bounds"]) for r in rows))
+    return Split(key, order, F.broadcast(cuts) if total <= BROADCAST_ROWS else cuts, most)
+
+
+def checked(df: DataFrame) -> DataFrame:
+    """A written frame, to be broadcast if it is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

@@ -8,17 +8,16 @@ from pyspark.sql import functions as F
 from tidewatch.operators.ingest import with_event_date
 
 
-def write_by_date(events: DataFrame, path: str, mode: str = "overwrite", spread: int | None = None) -> None:
+def write_by_date(events: DataFrame, path: str, mode: str = "overwrite", rebalance: bool = False) -> None:
     """Parquet partitioned by event date.
 
-    With ``spread`` the rows are shuffled first so that a date gets about that many files instead of
-    one per task; a hash of session and time keeps them even when one session dominates. Files are
-    sorted by session, which lets a session lookup skip most row groups.
+    With ``rebalance`` the rows are shuffled by date first, so that files have about
+    ``spark.sql.adaptive.advisoryPartitionSizeInBytes``: large dates are split, small ones put together. Files are sorted
+    by session, which lets a session lookup skip most row groups.
     """
     dated = with_event_date(events) if "eventDate" not in events.columns else events
-    if spread is not None:
-        share = F.pmod(F.xxhash64("sessionId", "capturedAt"), F.lit(spread))
-        dated = dated.repartition("eventDate", share).sortWithinPartitions("eventDate", "sessionId")
+    if rebalance:
+        dated = dated.hint("rebalance", "eventDate").sortWithinPartitions("eventDate", "sessionId")
     dated.write.mode(mode).partitionBy("eventDate").parquet(path)
 
 
@@ -59,13 +58,14 @@ def file_order() -> Column:
                     F.col("_metadata.file_block_start").alias("block"), in_task.alias("row"))
 
 
-def read_captures(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_captures(spark: SparkSession, paths: str | list[str], *, multi_line: bool = False) -> DataFrame:
     """Capture CSV files with a header, all text, plus ``seq`` in file order.
 
-    Quotes inside a field are doubled; a UTF-8 byte order mark is skipped.
+    Quotes inside a field are doubled; a UTF-8 byte order mark is skipped. Fields that hold newlines need ``multi_line``,
+    which reads each file in one task. Without it, a row of the wrong width (such as half a row) is an error.
     """
     rows = (spark.read.option("header", True).option("escape", '"').option("enforceSchema", False)
-            .option("emptyValue", "").option("nullValue", "").csv(paths))
+            .option("multiLine", multi_line).option("mode", "FAILFAST").option("emptyValue", "").option("nullValue", "").csv(paths))
     return rows.select("*", file_order().alias("seq"))
 
 
@@ -76,6 +76,7 @@ def write_captures(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def write_jdbc(df: DataFrame, url: str, table: str, properties: dict[str, str], *,
                batch_rows: int = 200, mode: str = "append"):
-    """Append to a database table, one commit per ``batch_rows`` rows of a task."""
+    """Append to a database table in statements of ``batch_rows`` rows. A task that is retried appends its rows again, so the
+    table needs a key, or the caller a staging table."""
     return (df.write.mode(mode).option("batchsize", batch_rows).option("isolationLevel", "NONE")
             .jdbc(url, table, properties=properties))

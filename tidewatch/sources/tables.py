@@ -1,93 +1,132 @@
-"""Keyed tables built up by micro-batches without a table format that has MERGE.
+"""Sessions and episodes tables that micro-batches upsert, as whole snapshots with an atomic switch.
 
-Each batch appends its own rows under ``delta/batch=<id>`` (a retried batch overwrites just that
-folder), reading puts the rows of a key together, and ``compact`` writes the merged rows as a new
-base so that reads stay short. No batch rewrites the table.
+An update reads the newest snapshot, applies the batch to it (full outer join on the key), writes the result to a folder of
+its own and then creates the next commit file. Creating it fails if another writer was first; the update is then applied to
+that writer's snapshot instead. A commit names the last batch of each writer it contains, so a retried batch does nothing,
+and batch ids of different writers do not meet. Readers see the snapshot of the newest commit; the one before stays for
+those still reading it, older ones are removed.
 """
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.operators.sessions import last_outcomes, sessions_rollup
+from tidewatch.operators.sessions import upsert_episodes, upsert_sessions
 from tidewatch.schemas import ENDED, EPISODES_TABLE, SESSIONS_TABLE
 
+ATTEMPTS = 20
+STALE_SECONDS = 600
 
-class KeyedTable:
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType,
-                 merge: Callable[[DataFrame], DataFrame]):
-        self.spark, self.path, self.schema, self.merge = spark, path.rstrip("/"), schema, merge
 
-    def append(self, rows: DataFrame, batch_id: int) -> None:
-        rows.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.path}/delta/batch={batch_id}")
+class SnapshotTable:
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+        jvm = spark.sparkContext._jvm
+        self._new_path = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._new_path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _load(self, folder: str, partition: str) -> DataFrame:
-        schema = T.StructType([*self.schema.fields, T.StructField(partition, T.LongType())])
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{folder}")
-        except AnalysisException:    # nothing written yet
-            return self.spark.createDataFrame([], schema)
-
-    def read(self) -> DataFrame:
-        base, delta = self._load("base", "upto"), self._load("delta", "batch")
-        newest = base.agg(F.max("upto")).first()[0]
-        if newest is None:
-            return self.merge(delta)
-        rows = base.where(F.col("upto") == newest).withColumnRenamed("upto", "batch")
-        return self.merge(rows.unionByName(delta.where(F.col("batch") > newest)))
-
-    def compact(self) -> None:
-        upto = self._load("delta", "batch").agg(F.max("batch")).first()[0]
-        if upto is not None:
-            self.read().write.mode("overwrite").parquet(f"{self.path}/base/upto={upto}")
-
-
-def _merge_sessions(rows: DataFrame) -> DataFrame:
-    seen = F.when(F.col("sample_count") > 0, F.col("batch"))
-    return rows.groupBy("session_id").agg(
-        F.min_by("user_id", seen).alias("user_id"), F.min_by("started_at", seen).alias("started_at"),
-        F.max_by("last_seen_at", seen).alias("last_seen_at"),
-        F.sum("sample_count").alias("sample_count"), F.max("status").alias("status"))
-
-
-def _merge_episodes(rows: DataFrame) -> DataFrame:
-    names = ["ended_at", "duration_seconds", "alert_count", "last_alert_at", "recovered", "ongoing"]
-    return rows.groupBy("session_id", "started_at").agg(
-        F.min_by("user_id", "batch").alias("user_id"), F.max_by(F.struct(*names), "batch").alias("r")
-    ).select("session_id", "user_id", "started_at", "r.*")
+    def _commit_path(self, n: int):
+        return self._new_path(f"{self.path}/commits/{n:012}.json")
 
+    def _commits(self) -> list[int]:
+        folder = self._new_path(f"{self.path}/commits")
+        if not self._fs.exists(folder):
+            return []
+        names = (s.getPath().getName() for s in self._fs.listStatus(folder))
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
 
-def sessions_table(spark: SparkSession, path: str) -> KeyedTable:
-    return KeyedTable(spark, path, SESSIONS_TABLE, _merge_sessions)
-
-
-def episodes_table(spark: SparkSession, path: str) -> KeyedTable:
-    return KeyedTable(spark, path, EPISODES_TABLE, _merge_episodes)
-
-
-def record_samples(table: KeyedTable):
-    """``foreachBatch`` writer: the batch's samples as one row per session."""
+    def _commit(self, n: int) -> dict:
+        if n == 0:
+            return {"folder": None, "applied": {}}
+        stream = self._fs.open(self._commit_path(n))
+        try:
+            return json.loads(bytes(stream.readAllBytes()))
+        finally:
+            stream.close()
+
+    def _create(self, n: int, commit: dict) -> bool:
+        """Whether this writer is the one that creates commit ``n``; the file is complete once it has its name."""
+        draft = self._new_path(f"{self.path}/drafts/{uuid.uuid4().hex}")
+        out = self._fs.create(draft, False)
+        out.write(bytearray(json.dumps(commit).encode()))
+        out.close()
+        self._fs.mkdirs(self._new_path(f"{self.path}/commits"))
+        claim = self._new_path(f"{self.path}/claims/{n:012}")
+        try:  # an empty claim is created exclusively; only its owner renames the draft
+            self._fs.create(claim, False).close()
+        except Py4JJavaError:
+            self._fs.delete(draft, False)
+            if time.time() - self._fs.getFileStatus(claim).getModificationTime() / 1000 > STALE_SECONDS and n not in self._commits():
+                self._fs.delete(claim, False)  # its owner was lost before the commit
+            return False
+        return bool(self._fs.rename(draft, self._commit_path(n)))
+
+    def version(self) -> int:
+        return max(self._commits(), default=0)
+
+    def read(self, version: int | None = None) -> DataFrame:
+        folder = self._commit(self.version() if version is None else version)["folder"]
+        if folder is None:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/snapshots/{folder}")
+
+    def update(self, writer: str, batch_id: int, change: Callable[[DataFrame], DataFrame]) -> None:
+        """Apply ``change`` to the table once for this batch of this writer; a writer's ids grow."""
+        for _ in range(ATTEMPTS):
+            n = self.version()
+            applied = self._commit(n)["applied"]
+            if applied.get(writer, -1) >= batch_id:
+                return
+            folder = uuid.uuid4().hex
+            change(self.read(n)).select(*self.schema.names).write.parquet(f"{self.path}/snapshots/{folder}")
+            if self._create(n + 1, {"folder": folder, "applied": applied | {writer: batch_id}}):
+                self._forget(n - 1)
+                return
+            self._fs.delete(self._new_path(f"{self.path}/snapshots/{folder}"), True)
+        raise RuntimeError(f"batch {batch_id} of {writer} lost {ATTEMPTS} times to other writers")
+
+    def _forget(self, n: int) -> None:
+        if n > 0 and self._fs.exists(self._commit_path(n)):
+            self._fs.delete(self._new_path(f"{self.path}/snapshots/{self._commit(n)['folder']}"), True)
+            self._fs.delete(self._commit_path(n), False)
+
+
+def sessions_table(spark: SparkSession, path: str) -> SnapshotTable:
+    return SnapshotTable(spark, path, SESSIONS_TABLE)
+
+
+def episodes_table(spark: SparkSession, path: str) -> SnapshotTable:
+    return SnapshotTable(spark, path, EPISODES_TABLE)
+
+
+def record_samples(table: SnapshotTable, writer: str = "samples"):
+    """``foreachBatch`` writer: the batch's samples added to their sessions."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        table.append(sessions_rollup(batch), batch_id)
+        table.update(writer, batch_id, lambda old: upsert_sessions(old, batch))
     return write
 
 
-def record_outcomes(table: KeyedTable):
+def record_outcomes(table: SnapshotTable, writer: str = "outcomes"):
     """``foreachBatch`` writer: the last outcome of each episode in the batch."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        table.append(last_outcomes(batch), batch_id)
+        table.update(writer, batch_id, lambda old: upsert_episodes(old, batch))
     return write
 
 
-def record_expiry(table: KeyedTable, expired: DataFrame, batch_id: int) -> None:
+def record_expiry(table: SnapshotTable, expired: DataFrame, batch_id: int, writer: str = "expiry") -> None:
     """Mark sessions ENDED; a later sample does not make them ACTIVE again."""
-    marks = expired.select("session_id", F.lit(None).cast("string").alias("user_id"),
-                           F.lit(None).cast("timestamp").alias("started_at"),
-                           F.lit(None).cast("timestamp").alias("last_seen_at"),
-                           F.lit(0).cast("long").alias("sample_count"), F.lit(ENDED).alias("status"))
-    table.append(marks, batch_id)
+    gone = expired.select("session_id", F.lit(True).alias("_gone")).distinct()
+
+    def mark(old: DataFrame) -> DataFrame:
+        status = F.when(F.col("_gone"), F.lit(ENDED)).otherwise(F.col("status"))
+        return old.join(gone, "session_id", "left").withColumn("status", status)
+
+    table.update(writer, batch_id, mark)

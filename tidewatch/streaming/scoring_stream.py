@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from tidewatch.session import use_state_store
 WINDOWED = ("windowKey string, sessionId string, userId string, seq long, capturedAt timestamp, "
             "serverReceivedAt timestamp, deviationScore double, ruleStatus string, windowed boolean, "
             "window array<array<double>>")
+EARLIEST = datetime.min    # only compared with itself
 CARRIED = ["sessionId", "userId", "seq", "capturedAt", "serverReceivedAt", "deviationScore", "ruleStatus"]
 
 
@@ -31,10 +33,11 @@ class WindowProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         window = [list(v[0]) for v in self.recent.get()]
         last = None
-        for r in sorted(rows, key=lambda r: (r.capturedAt, r.seq)):
+        # Samples without a time come first, as in the batch query.
+        for r in sorted(rows, key=lambda r: (r.ms is not None, r.capturedAt or EARLIEST, r.seq)):
             if r.vector is not None:
                 window = [*window, list(r.vector)][-self.size:]
-            last = r.ms
+            last = r.ms if r.ms is not None else last
             yield Row(windowKey=key[0], **{c: getattr(r, c) for c in CARRIED},
                       windowed=r.vector is not None, window=window)
         if window:
@@ -42,7 +45,8 @@ class WindowProcessor(StatefulProcessor):
         if self.forget_ms is not None:
             for timer in self.handle.listTimers():
                 self.handle.deleteTimer(timer)
-            self.handle.registerTimer(last + self.forget_ms)
+            if last is not None:
+                self.handle.registerTimer(last + self.forget_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.recent.clear()
@@ -62,7 +66,7 @@ def score_stream(samples: DataFrame, model: SequenceModel | None = None, *, size
     use_state_store(samples.sparkSession)
     if forget_seconds is not None:
         samples = samples.withWatermark("capturedAt", delay)
-    keyed = samples.where(F.col("capturedAt").isNotNull()).select(
+    keyed = samples.select(
         F.coalesce(F.nullif("sessionId", F.lit("")), F.lit(UNKNOWN_SESSION)).alias("windowKey"),
         *CARRIED, F.unix_millis("capturedAt").alias("ms"),
         numeric_vector(width_of(model)).alias("vector"))
