@@ -251,6 +251,12 @@ SELECT seq, capture_id AS "sessionId", participant_code AS "userId", {at('(epoch
        coalesce(target_sample_hz, 10.0)::DOUBLE AS "sampleRateHz", delta_offset AS f1 FROM c"""
     q["orphan_samples"] = """SELECT 'u' || user_id AS capture_id, count(*) AS rows FROM events
 WHERE user_id NOT IN (SELECT s_suppkey FROM supplier) GROUP BY user_id"""
+    q["orphan_captures"] = c + """ SELECT participant_code, count(DISTINCT capture_id) AS rows FROM c
+WHERE participant_code NOT IN (SELECT 'P' || n_nationkey FROM nation WHERE n_regionkey <> 1) GROUP BY participant_code"""
+    q["pilot_sessions_upsert"] = c + """, n AS (
+  SELECT capture_id, any_value(participant_code) AS participant_code, count(*) FILTER (seq % 2 = 1) AS odd,
+         count(*) FILTER (seq % 2 = 0) AS even FROM c GROUP BY capture_id)
+SELECT capture_id, participant_code, CASE WHEN odd > 0 THEN odd ELSE even END AS sample_count FROM n"""
     q["first_sessions"] = """SELECT 'u' || user_id AS capture_id, event_id AS seq FROM events WHERE user_id IN
 (SELECT user_id FROM events GROUP BY user_id ORDER BY min(event_id) LIMIT 12)"""
     q["session_sequences"] = s + """
@@ -291,6 +297,11 @@ SELECT event_type, count(*) AS samples, avg(CAST(label = truth AS INT)) AS "metr
 FROM (SELECT event_type, {LABEL} AS label, CASE WHEN k >= 50 THEN 'BAD' WHEN k >= 5 THEN 'NORMAL' END AS truth FROM s)
 WHERE truth IS NOT NULL GROUP BY event_type"""
 
+    q["label_accuracy_by_version"] = s + f"""
+SELECT 'v' || (seq % 3) AS "modelVersion", count(*) AS samples, avg(CAST(label = truth AS INT)) AS "metricValue", 'accuracy' AS "metricName"
+FROM (SELECT seq, {LABEL} AS label, CASE WHEN k >= 50 THEN 'BAD' WHEN k >= 5 THEN 'NORMAL' END AS truth FROM s)
+WHERE truth IS NOT NULL GROUP BY 1"""
+
     q["episodes"] = ep + EPISODE_ROWS
     q["label_runs"] = runs + f"""
 SELECT sid AS "sessionId", bad, {at('rs')} AS "startedAt", {at('lastms')} AS "lastAt", n AS samples, seg0 AS "segmentStart",

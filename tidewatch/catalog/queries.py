@@ -165,6 +165,22 @@ def orphan_samples(spark, sf):
     return sessions.orphans(pilot.pilot_samples(A.captures(spark, sf)), known, "capture_id")
 
 
+@query
+def orphan_captures(spark, sf):
+    """Captures whose participant is not on the list, here one of the nations outside region 1."""
+    listed = A.table(spark, sf, "nation").where("n_regionkey <> 1").select(F.concat(F.lit("P"), "n_nationkey").alias("participant_code"))
+    return sessions.orphans(pilot.pilot_sessions(A.captures(spark, sf)), listed, "participant_code")
+
+
+@query
+def pilot_sessions_upsert(spark, sf):
+    """Capture sessions of even samples replaced by those of odd ones, where a session has any."""
+    rows = A.captures(spark, sf)
+    odd = F.col("seq") % 2 == 1
+    before, after = pilot.pilot_sessions(rows.where(~odd)), pilot.pilot_sessions(rows.where(odd))
+    return pilot.replace_rows(before, after, "capture_id").select("capture_id", "participant_code", "sample_count")
+
+
 @query
 def first_sessions(spark, sf):
     return pilot.first_sessions(A.captures(spark, sf), 12).select("capture_id", "seq")
@@ -253,6 +269,14 @@ def label_accuracy(spark, sf):
     return scoring.label_accuracy(x, "inferredStatus", "manualLabel", ["event_type"])
 
 
+@query
+def label_accuracy_by_version(spark, sf):
+    x = A.labelled(spark, sf).withColumns({
+        "modelVersion": F.concat(F.lit("v"), F.col("seq") % 3),
+        "manualLabel": F.when(F.col("k") >= 50, "BAD").when(F.col("k") >= 5, "NORMAL")})
+    return scoring.label_accuracy(x, "inferredStatus", "manualLabel", ["modelVersion"])
+
+
 # --- episodes -----------------------------------------------------------------------------------
 
 @query
