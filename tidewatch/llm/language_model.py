@@ -39,7 +39,7 @@ from tidewatch.llm.elias_fano import PROBABILITY, Trie, quantise
 from tidewatch.llm.tokens import words
 from tidewatch.session import durable
 
-BLOCK_TOKENS = 1 << 22
+BLOCK_TOKENS = 1 << 20
 SHARD_TOKENS = 1 << 22
 DISCOUNT = 0.75
 ADDED = 0.1
