@@ -44,9 +44,9 @@ N = shingles.COORDINATES
 
 
 def least_matches(per_cent: int) -> int:
-    """Equal minwise values below which a pair is not confirmed: 4.5 standard deviations under the threshold's mean."""
+    """Equal minwise values below which a pair is not confirmed: 4 standard deviations under the threshold's mean."""
     p = per_cent / 100
-    return max(1, int(N * p - 4.5 * (N * p * (1 - p)) ** 0.5))
+    return max(1, int(N * p - 4 * (N * p * (1 - p)) ** 0.5))
 
 
 # --- sets and classes -------------------------------------------------------------------------------
@@ -58,14 +58,14 @@ def hashed(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
     names = ["__id", "__raw", "n_shingles", "digest", "sig"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, most_bytes=4 << 20):
             h, starts = shingles.shingle_hashes(texts(batch), k)
             some = np.flatnonzero(np.diff(starts))
             sigs = shingles.signatures(h, np.append(starts[some], starts[-1])) if len(some) else np.zeros((0, N), np.uint16)
             counts, digests, sig = [0] * batch.num_rows, [None] * batch.num_rows, [None] * batch.num_rows
             for row, i in zip(sigs, some.tolist(), strict=True):
                 own = np.unique(h[starts[i]:starts[i + 1]])
-                counts[i], digests[i], sig[i] = len(own), xxhash.xxh3_128_digest(own.tobytes()), row.tobytes()
+                counts[i], digests[i], sig[i] = len(own), xxhash.xxh3_128_digest(own.tobytes()), row.tobytes() + len(own).to_bytes(4, "little")
             yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__raw"), pa.array(counts, pa.int64()),
                                               pa.array(digests, pa.binary()), pa.array(sig, pa.binary())], names)
 
@@ -95,7 +95,12 @@ def children(node: np.ndarray, sig: np.ndarray) -> list[np.ndarray]:
 
 
 def signature_rows(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, N)
+    """N minwise values and, in the last two columns, the size of the set."""
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, N + 2)
+
+
+def sizes(sig: np.ndarray) -> np.ndarray:
+    return sig[:, N] + (sig[:, N + 1].astype(np.int64) << 16)
 
 
 def branch(batches: Iterator[pa.RecordBatch], roots: bool) -> Iterator[pa.RecordBatch]:
@@ -164,27 +169,32 @@ class Forest:
         return i != j
 
 
-def matches(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Equal minwise values of every row of a with every row of b."""
-    out = np.zeros((len(a), len(b)), np.int16)
-    for i in range(N):
-        out += a[:, i, None] == b[None, :, i]
-    return out
+def matches(a: np.ndarray, b: np.ndarray, per_cent: int) -> np.ndarray:
+    """Equal minwise values of every row of a with every row of b; 0 where the sizes alone rule out that they are similar."""
+    if len(a) * len(b) <= 2048:
+        out = (a[:, None, :N] == b[None, :, :N]).sum(2, dtype=np.int16)
+    else:
+        out = np.zeros((len(a), len(b)), np.int16)
+        for i in range(N):
+            out += a[:, i, None] == b[None, :, i]
+    n, m = sizes(a)[:, None], sizes(b)[None]
+    return np.where(100 * np.minimum(n, m) >= per_cent * np.maximum(n, m), out, 0)
 
 
-def likely_forest(sig: np.ndarray, comp: np.ndarray, least: int, seed: int) -> list[tuple[int, int]]:
-    """A spanning forest of likely links between components, the likeliest first. Large nodes: links to random pivots."""
-    forest, m = Forest(comp), len(sig)
+def likely_forest(sig: np.ndarray, comp: np.ndarray, per_cent: int, seed: int) -> np.ndarray:
+    """A spanning forest of likely links (rows of two members) between components, the likeliest first. Large nodes: to random pivots."""
+    forest, m, least = Forest(comp), len(sig), least_matches(per_cent)
+    out: list[tuple[int, int]] = []
     if m <= LEAF:
-        est = matches(sig, sig)
-        i, j = np.nonzero(np.triu(est >= least, 1))
+        est = np.triu(matches(sig, sig, per_cent), 1)
+        i, j = np.nonzero(est >= least)
         order = np.argsort(-est[i, j], kind="stable")
-        return [(a, b) for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True) if forest.join(a, b)]
-    out: list[tuple[int, int]] = []
+        out = [(a, b) for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True) if forest.join(a, b)]
+        return np.array(out, np.int64).reshape(-1, 2)
     rng, left = np.random.default_rng(seed), np.arange(m)
     while len(left) > 1:
         pivots = rng.choice(left, min(PIVOTS, len(left)), replace=False)
-        est = matches(sig[left], sig[pivots])
+        est = matches(sig[left], sig[pivots], per_cent)
         est[left[:, None] == pivots[None]] = -1
         i, j = np.nonzero(est >= least)
         order = np.argsort(-est[i, j], kind="stable")
@@ -193,22 +203,20 @@ def likely_forest(sig: np.ndarray, comp: np.ndarray, least: int, seed: int) -> l
                 out.append((a, b))
         rest = left[(est < least).all(1) & ~np.isin(left, pivots)]
         left = rest if len(rest) < len(left) else rest[:0]
-    return out
+    return np.array(out, np.int64).reshape(-1, 2)
 
 
-def open_pairs(sig: np.ndarray, comp: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """All likely links between members of different components; at least one member is outside the largest one."""
-    names, sizes = np.unique(comp, return_counts=True)
+def open_pairs(sig: np.ndarray, comp: np.ndarray, per_cent: int) -> Iterator[np.ndarray]:
+    """All likely links between members of different components, in parts; one member at least is outside the largest one."""
+    names, counts = np.unique(comp, return_counts=True)
     if len(names) < 2:
-        return []
-    rest = np.flatnonzero(comp != names[np.argmax(sizes)])
-    out = []
+        return
+    rest = np.flatnonzero(comp != names[np.argmax(counts)])
     for start in range(0, len(rest), 256):
         part = rest[start:start + 256]
-        est = matches(sig[part], sig)
-        i, j = np.nonzero((est >= least) & (comp[part][:, None] != comp[None]))
-        out += zip(part[i].tolist(), j.tolist(), strict=True)
-    return out
+        est = matches(sig[part], sig, per_cent)
+        i, j = np.nonzero((est >= least_matches(per_cent)) & (comp[part][:, None] != comp[None]))
+        yield np.stack([part[i], j], 1)
 
 
 def small_nodes(node: int, sig: np.ndarray, at: np.ndarray, depth: int = 0) -> Iterator[np.ndarray]:
@@ -258,39 +266,47 @@ def nodes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarra
 
 
 PAIRS = "a long, b long, node long, sig binary"
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("node", pa.int64()), ("sig", pa.binary())])
 
 
-def compare(batches: Iterator[pa.RecordBatch], least: int, split: bool, last: bool, seed: int) -> Iterator[pa.RecordBatch]:
+def pair_rows(pairs: list[np.ndarray]) -> pa.RecordBatch:
+    """Each pair once, the smaller number first."""
+    both = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.nulls(len(both), pa.int64()), pa.nulls(len(both), pa.binary())], schema=_PAIRS)
+
+
+def member_rows(c: np.ndarray, node: int, sig: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c), pa.nulls(len(c), pa.int64()), pa.array(np.full(len(c), node)), pa.array([x.tobytes() for x in sig], pa.binary())], schema=_PAIRS)
+
+
+def compare(batches: Iterator[pa.RecordBatch], per_cent: int, split: bool, last: bool, seed: int) -> Iterator[pa.RecordBatch]:
     """Likely links (a, b) of the nodes in a partition; with ``split`` also the members (a, node, sig) of nodes that may hold more."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("node", pa.int64()), ("sig", pa.binary())])
-    out: list[tuple] = []
+    held, n = [], 0
     for node, at, table in nodes_of(batches):
-        c = table.column("c").to_numpy()
-        if (c[at] == c[at[0]]).all():
+        own = table.column("c").to_numpy()[at]
+        if (own == own[0]).all():
             continue
         rows = table.slice(at[0], len(at))
-        sig, own = signature_rows(rows.column("sig")), c[at]
-        comp = rows.column("comp").to_numpy() if not split else own
-        name = np.uint64(node % (1 << 64))
-        every = np.arange(len(at))
+        sig = signature_rows(rows.column("sig"))
+        comp = own if split else rows.column("comp").to_numpy()
+        name, every = np.uint64(node % (1 << 64)), np.arange(len(at))
         for number, part in enumerate(small_nodes(name, sig, every) if split else [every]):
-            _, one = np.unique(own[part], return_index=True)
-            part = part[one]
-            if last:
-                found = open_pairs(sig[part], comp[part], least)
-            else:
-                found = likely_forest(sig[part], comp[part], least, seed)
-            ids = own[part]
-            out += [(min(ids[i], ids[j]), max(ids[i], ids[j]), None, None) for i, j in found]
-            if split and len(found) > 1:  # a component of three may hold links that the forest leaves out
-                hit = np.unique(np.array(found))
-                inner = int(shingles.mix(np.array([name + np.uint64(number)], np.uint64)).view(np.int64)[0])
-                out += [(int(ids[i]), None, inner, sig[part[i]].tobytes()) for i in hit.tolist()]
-        if len(out) > 20_000:
-            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema)
-            out = []
-    if out:
-        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema)
+            part = part[np.unique(own[part], return_index=True)[1]]
+            found = open_pairs(sig[part], comp[part], per_cent) if last else [likely_forest(sig[part], comp[part], per_cent, seed)]
+            for pairs in found:
+                if not len(pairs):
+                    continue
+                held.append(own[part][pairs])
+                n += len(pairs)
+                if split and len(pairs) > 1:  # a component of three may hold links that the forest leaves out
+                    hit = part[np.unique(pairs)]
+                    inner = int(shingles.mix(np.array([name + np.uint64(number)], np.uint64)).view(np.int64)[0])
+                    yield member_rows(own[hit], inner, sig[hit])
+                if n > 50_000:
+                    yield pair_rows(held)
+                    held, n = [], 0
+    if held:
+        yield pair_rows(held)
 
 
 def dealt(members: DataFrame) -> DataFrame:
@@ -328,12 +344,11 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str
 
 def links(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, k: int, per_cent: int) -> tuple[DataFrame, DataFrame]:
     """Confirmed links that connect all similar classes (not all links), and the components they form (c, root)."""
-    least = least_matches(per_cent)
     members, dense = leaves(classes)
     if dense is not None:  # round 1: the chunks of a dense node share a few pivots
         pivots = dense.groupBy("node", F.pmod(F.xxhash64("c"), F.lit(PIVOTS))).agg(F.min("c").alias("c")).select("node", "c")
         members = members.unionByName(chunked(dense, pivots))
-    first = durable(dealt(members).mapInArrow(partial(compare, least=least, split=True, last=False, seed=0), PAIRS))
+    first = durable(dealt(members).mapInArrow(partial(compare, per_cent=per_cent, split=True, last=False, seed=0), PAIRS))
     tried = first.filter("b is not null").select("a", "b")
     found = confirmed(tried, classes, docs, doc_id, text, k, per_cent)
     rest = first.filter("b is null").select("node", F.col("a").alias("c"), "sig")
@@ -344,13 +359,13 @@ def links(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, k: int, p
         members = named.join(several, "node", "left_semi")
         if dense is not None:
             own = durable(dense.join(comps, "c", "left").select("node", "c", "sig", "n", F.coalesce("root", "c").alias("comp")))
-            sizes = own.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("k"))
-            main = sizes.groupBy("node").agg(F.max_by("comp", "k").alias("main"))
+            held = own.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("k"))
+            main = held.groupBy("node").agg(F.max_by("comp", "k").alias("main"))
             outside = own.join(main, "node").filter("comp <> main").select("node", "c")
             parts = chunked(own, outside).join(own.select("c", "comp").distinct(), "c").select("node", "c", "sig", "comp")
             members = members.unionByName(parts)
         last = turn == FOREST_ROUNDS
-        more = durable(dealt(members).mapInArrow(partial(compare, least=least, split=False, last=last, seed=turn), PAIRS).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+        more = durable(dealt(members).mapInArrow(partial(compare, per_cent=per_cent, split=False, last=last, seed=turn), PAIRS).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
         if more.isEmpty():
             continue
         tried = tried.unionByName(more)
