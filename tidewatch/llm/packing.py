@@ -34,9 +34,9 @@ from tidewatch.session import durable
 CAPACITY = 2048
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"
-#: Work of the search: fillings looked at for one bin, and alternatives tried beyond the first over the whole search.
+#: Work of the search: fillings looked at for one bin, and bins completed before it goes on with no further open node.
 FILLINGS = 24
-BRANCHES = 400
+STEPS = 4000
 
 
 # --- pieces -----------------------------------------------------------------------------------------
@@ -85,9 +85,6 @@ class Histogram:
         self.counts = {n: c for n, c in counts.items() if c > 0}
         self.lengths = sorted(self.counts)
 
-    def copy(self) -> Histogram:
-        return Histogram(self.counts)
-
     def take(self, filling: Filling, times: int) -> None:
         for n in filling:
             left = self.counts[n] - times
@@ -196,44 +193,65 @@ def greedy(left: Histogram, capacity: int) -> Packing:
     return out
 
 
+def least_bins(counts: dict[int, int], capacity: int) -> int:
+    """Sequences that no packing can do without. For every size a: pieces above capacity - a stand alone, other pieces above
+    half stand apart, and pieces from a to half fill the room those leave before they need sequences of their own."""
+    n = np.zeros(capacity + 1, np.int64)
+    for length, count in counts.items():
+        n[length] = count
+    number, size = np.cumsum(n), np.cumsum(n * np.arange(capacity + 1))
+    half = capacity // 2
+    a = np.arange(half + 1)
+    room = (number[capacity - a] - number[half]) * capacity - (size[capacity - a] - size[half])
+    small = size[half] - np.where(a > 0, size[a - 1], 0)
+    return int((number[capacity] - number[half] + np.maximum(0, -((room - small) // capacity))).max())
+
+
 def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY) -> Packing:
-    """Bin completion, depth first with a bounded number of branches; best-fit decreasing is the first incumbent."""
+    """Bin completion, depth first within STEPS completed bins; best-fit decreasing is the first incumbent.
+
+    An open node is only its path from the root: (filling, times, path before) or None, and the waste so far. What is left
+    there is found again by taking the path from the counts.
+    """
     total = sum(n * c for n, c in counts.items())
-    least = -(-total // capacity)
+    least = least_bins(counts, capacity)
     best = greedy(Histogram(counts), capacity)
-    branches = BRANCHES
-    # Open nodes: what is left, the fillings chosen so far, their waste.
-    stack: list[tuple[Histogram, Packing, int]] = [(Histogram(counts), [], 0)]
-    while stack and bins(best) > least:
-        left, chosen, waste = stack.pop()
-        while left.lengths:
-            allowed = (bins(best) - 1) * capacity - total - waste  # what a better packing may still waste
-            if allowed < 0:
-                break
+    steps, stack = 0, [(None, 0)]
+    while stack and bins(best) > least and steps < STEPS:
+        path, waste = stack.pop()
+        most = (bins(best) - 1) * capacity - total  # what a better packing may waste
+        if waste > most:
+            continue
+        left, steps = Histogram(counts), steps + 1
+        for whole, times in unwound(path):
+            left.take(whole, times)
+        while left.lengths and waste <= most:
+            steps += 1
             longest = left.lengths[-1]
-            options = fillings(left, longest, capacity - longest, allowed)
+            options = [(longest, *f) for f in fillings(left, longest, capacity - longest, most - waste)]
             if not options:
                 break
-            for other in reversed(options[1:3]):
-                if branches > 0:
-                    branches -= 1
-                    node = left.copy()
-                    node.take((longest, *other), 1)
-                    stack.append((node, [*chosen, ((longest, *other), 1)], waste + capacity - longest - sum(other)))
-            whole = (longest, *options[0])
+            stack.extend(((other, 1, path), waste + capacity - sum(other)) for other in reversed(options[1:3]))
+            whole = options[0]
             lost = capacity - sum(whole)
             times = times_possible(left.counts, whole)
             if lost:
-                times = min(times, max(1, allowed // lost))
+                times = min(times, max(1, (most - waste) // lost))
             left.take(whole, times)
-            chosen = [*chosen, (whole, times)]
-            waste += times * lost
-        else:
-            if bins(chosen) < bins(best):
-                best = chosen
+            path, waste = (whole, times, path), waste + times * lost
+        if not left.lengths and waste <= most:
+            best = unwound(path)
     return best
 
 
+def unwound(path: tuple | None) -> Packing:
+    out: Packing = []
+    while path:
+        whole, times, path = path
+        out.append((whole, times))
+    return out[::-1]
+
+
 # --- placing ----------------------------------------------------------------------------------------
 
 def slots(packing: Packing, capacity: int) -> np.ndarray:
