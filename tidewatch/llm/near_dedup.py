@@ -1,7 +1,7 @@
 """Near-duplicate detection by a chosen-path set similarity join.
 
 1. Every document's shingle set is hashed from its whole text. Documents with equal sets form a class; only classes go on.
-2. A class gets minwise values (its smallest token under each of 64 hash functions). In each tree a node chooses a few of
+2. A class gets minwise values (its smallest token under each of 96 hash functions). In each tree a node chooses a few of
    the functions, and every member goes to the child of its smallest token under each chosen function, so similar sets keep
    meeting and others part. Nodes that are small are compared exhaustively; larger ones branch again. A pair at the
    threshold is lost in one tree with probability at most 1/16 (two choices, 0.8); TREES independent trees make that 1/65536.
@@ -369,8 +369,10 @@ def links(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, k: int, p
         if more.isEmpty():
             continue
         tried = tried.unionByName(more)
-        found = found.unionByName(confirmed(more, classes, docs, doc_id, text, k, per_cent))
-        comps = components(found)
+        new = confirmed(more, classes, docs, doc_id, text, k, per_cent)
+        found = found.unionByName(new)
+        # What is known of components stands for the links that formed them.
+        comps = components(comps.select(F.col("c").alias("a"), F.col("root").alias("b")).unionByName(new))
     return found, comps
 
 
