@@ -120,6 +120,27 @@ def test_scores(spark, monkeypatch, block, shard):
     assert sum(a for a, _ in out) > sum(b for _, b in out)
 
 
+def test_scores_of_many_shards_equal_the_plain_model(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "BLOCK_TOKENS", 300)
+    monkeypatch.setattr(language_model, "SHARD_TOKENS", 500)
+    # The words of a large group of copies are frequent contexts with fewer successors than there are shards.
+    rows = [*awkward(), *((100 + i, f"{LONG} {prose(i, 8)} {LONG if i % 3 else ' '.join(reversed(LONG.split()))}", None, None, 1) for i in range(90))]
+    rows += [(i, " ".join(f"{w} {rare}" for w, rare in zip(LONG.split(), prose(i, 40).split(), strict=False)), None, None, 1) for i in range(200, 400) if zlib.crc32(str(i).encode()) % 10 == 0]
+    got = {r.id: r.score for r in language_model.score(frame(spark, rows)).collect() if r.id is not None and r.id >= 100}
+    tokens = [(i, ["^", *(w.encode().lower() for w in WORD.findall(t or "")), None]) for i, t, *_ in rows]
+    train = [t for i, t in tokens if zlib.crc32(b"" if i is None else str(i).encode()) % 10]
+    c, pairs = Counter(w for t in train for w in t[1:]), Counter(p for t in train for p in zip(t, t[1:], strict=False))
+    n, v, kinds, seen = c.total(), len(c), Counter(a for a, _ in pairs), Counter(a for t in train for a in t[:-1])
+
+    def p(a, b):
+        one = (c[b] - 0.75) / n if c[b] else 0.75 * v / n
+        return one if not seen[a] else max(pairs[a, b] - 0.75, 0) / seen[a] + 0.75 * kinds[a] / seen[a] * one
+
+    for i, t in tokens:
+        if i in got:
+            assert abs(got[i] - sum(math.log10(p(a, b)) for a, b in zip(t, t[1:], strict=False))) < 0.02 * len(t)
+
+
 def test_scores_of_nothing(spark):
     assert language_model.score(frame(spark, [])).count() == 0
 

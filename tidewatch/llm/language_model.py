@@ -9,11 +9,12 @@ t(h) being the number of different words after h, and p(w) = (c(w) - D) / N, or
    and answers each block's words with them; answers and questions are in the same order, so only counts travel back.
 3. Likewise for the distinct bigrams of a block. A shard builds the trie of its contexts from the counts, with quantised
    probabilities, and answers by search in it. Contexts that are frequent everywhere are divided among all shards by the
-   word that follows; their c(h) is the unigram count, their t(h) is the shard's own count times the number of shards.
+   word that follows; their c(h) is the unigram count. Each shard reports how many different words follow them there, and
+   the sum over the shards is their exact t(h), which blocks use for every such context, whichever shard was asked.
 4. Blocks meet their answers and add up the scores of their documents.
 
 Questions are distinct per block, so a word or bigram that a third of all tokens are costs one entry per block. Nothing of
-the model is sent to all tasks but the list of frequent contexts, at most 4 per shard. The number of shards follows the
+the model is sent to all tasks but the list of frequent contexts and their t(h), at most 4 per shard. The number of shards follows the
 number of tokens, so what a shard holds stays the same.
 
 Null and empty texts have one token, the end. A null id counts as the empty string when training rows are chosen. Rows that
@@ -196,8 +197,10 @@ class Frequent(NamedTuple):
     words: np.ndarray
     counts: np.ndarray
 
-    def has(self, h: np.ndarray) -> np.ndarray:
-        return np.isin(h, self.words)
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each hash in the list, and whether it is there."""
+        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+        return at, self.words[at] == h
 
 
 def distinct_bigrams(b: Block, shards: int, frequent: Frequent) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -206,7 +209,7 @@ def distinct_bigrams(b: Block, shards: int, frequent: Frequent) -> tuple[np.ndar
     counts = np.bincount(back[b.train], minlength=len(number)).astype("<u4")
     hashes = np.append(b.words, START)
     before, word = number >> 32, number & 0xFFFFFFFF
-    hot = frequent.has(hashes)[before]
+    hot = frequent.find(hashes)[1][before]
     shard = np.where(hot, shard_of(hashes, shards)[word], shard_of(hashes, shards)[before])
     below = hashes << (np.uint64(64) - shard_bits(shards) if shards > 1 else np.uint64(0))
     successor = np.where(hot, below[word], hashes[word]) >> np.uint64(64 - SUCCESSOR_BITS)
@@ -227,23 +230,25 @@ def ask_bigrams(batches: Iterator[pa.RecordBatch], shards: int, frequent: Freque
         yield from table(out, _QUESTION).to_batches()
 
 
-def build(context: np.ndarray, successor: np.ndarray, counts: np.ndarray, shards: int, frequent: Frequent) -> Trie:
-    """The trie of one shard from its distinct bigrams in order; those that training has not seen are left out."""
+def build(context: np.ndarray, successor: np.ndarray, counts: np.ndarray, frequent: Frequent) -> Trie:
+    """The trie of one shard from its distinct bigrams in order; those that training has not seen are left out.
+
+    Frequent contexts get no backoff here, since the shard holds only some of their successors.
+    """
     seen = counts > 0
     context, successor, counts = context[seen], successor[seen], counts[seen].astype(np.float64)
     names, first = np.unique(context, return_index=True)
     kinds = np.diff(np.append(first, len(context)))
     total = np.add.reduceat(counts, first) if len(first) else np.zeros(0)
     if len(frequent.words):
-        at = np.minimum(np.searchsorted(frequent.words, names), len(frequent.words) - 1)
-        hot = frequent.words[at] == names
+        at, hot = frequent.find(names)
         total = np.where(hot, frequent.counts[at], total)
-        kinds = np.where(hot, np.minimum(kinds * shards, total), kinds)
+        kinds = np.where(hot, 0, kinds)
     values = quantise((counts - DISCOUNT) / np.repeat(total, np.diff(np.append(first, len(context)))))
     return Trie.build(context, successor.astype(np.uint64), values, quantise(DISCOUNT * kinds / total), 1 << SUCCESSOR_BITS)
 
 
-def answer_bigrams(key: tuple, rows: pa.Table, shards: int, frequent: Frequent) -> pa.Table:
+def answer_bigrams(key: tuple, rows: pa.Table, frequent: Frequent) -> pa.Table:
     heads = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in rows.column("part_a").to_pylist()]
     context = np.concatenate([np.repeat(h[0], h[1].astype(np.int64)) for h in heads])
     tails = [np.frombuffer(x, "<u4") for x in rows.column("part_b").to_pylist()]
@@ -252,18 +257,36 @@ def answer_bigrams(key: tuple, rows: pa.Table, shards: int, frequent: Frequent)
     pair, back = np.unique((rank.astype(np.uint64) << np.uint64(32)) + np.concatenate(tails), return_inverse=True)
     total = np.bincount(back, counts, len(pair))
     names, successor = names[(pair >> np.uint64(32)).astype(np.int64)], pair & np.uint64(0xFFFFFFFF)
-    trie = Trie.from_buffer(build(names, successor, total, shards, frequent).to_bytes())
+    followed, kinds = np.unique(names[total > 0], return_counts=True)
+    hot = frequent.find(followed)[1]
+    side = np.stack([followed[hot], kinds[hot].astype(np.uint64)]).tobytes()
+    trie = Trie.from_buffer(build(names, successor, total, frequent).to_bytes())
     value, backoff = trie.search(names, successor)
     value, backoff = value[back], backoff[back]
     ends = np.cumsum([len(x) for x in tails]).tolist()
-    out = [(block, 2, int(key[0].as_py()), value[e - len(x):e].tobytes(), backoff[e - len(x):e].tobytes(), 0, None)
-           for block, x, e in zip(rows.column("block").to_pylist(), tails, ends, strict=True)]
+    out = [(block, 2, int(key[0].as_py()), value[e - len(x):e].tobytes(), backoff[e - len(x):e].tobytes(), 0, side if i == 0 else None)
+           for i, (block, x, e) in enumerate(zip(rows.column("block").to_pylist(), tails, ends, strict=True))]
     return table(out, _ANSWER)
 
 
+def frequent_kinds(pairs: DataFrame, frequent: Frequent) -> np.ndarray:
+    """t(h) of every frequent context: its different successors in training, added up over the shards, which share none."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column("frequent").to_pylist():
+                side = np.frombuffer(x, np.int64).reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(side[0]), pa.array(side[1])], ["h", "t"])
+
+    # One row per frequent context, at most 4 per shard.
+    sums = pairs.filter("frequent is not null").select("frequent").mapInArrow(run, "h long, t long").groupBy("h").agg(F.sum("t").alias("t")).collect()
+    out = np.zeros(len(frequent.words))
+    out[frequent.find(np.array([r.h for r in sums], np.int64).view(np.uint64))[0]] = [r.t for r in sums]
+    return out
+
+
 # --- scores -----------------------------------------------------------------------------------------
 
-def score_block(left: pa.Table, right: pa.Table, shards: int, frequent: Frequent, n: int, v: int, kind: pa.DataType) -> pa.Table:
+def score_block(left: pa.Table, right: pa.Table, shards: int, frequent: Frequent, kinds: np.ndarray, n: int, v: int, kind: pa.DataType) -> pa.Table:
     x = left.to_pylist()[0]
     b = Block.read(x["words"], x["tokens"], x["held_out"], x["lengths"])
     levels: dict[int, list[dict]] = {1: [], 2: []}
@@ -272,9 +295,11 @@ def score_block(left: pa.Table, right: pa.Table, shards: int, frequent: Frequent
     ordered = {k: sorted(rows, key=lambda r: r["shard"]) for k, rows in levels.items()}
     counts = np.frombuffer(b"".join(r["part_a"] for r in ordered[1]), "<i8")
     p1 = np.where(counts > 0, (counts - DISCOUNT) / max(n, 1), DISCOUNT * v / max(n, 1)) if n else np.ones(len(counts))
-    number, _, _, _, _ = distinct_bigrams(b, shards, frequent)
+    number, _, _, context, _ = distinct_bigrams(b, shards, frequent)
     value = PROBABILITY[np.frombuffer(b"".join(r["part_a"] for r in ordered[2]), np.uint8)]
     backoff = np.frombuffer(b"".join(r["part_b"] for r in ordered[2]), np.uint8)
+    place, hot = frequent.find(context)
+    backoff = np.where(hot, quantise(DISCOUNT * kinds / frequent.counts)[place], backoff)
     share = np.where(backoff > 0, PROBABILITY[backoff], 1.0)  # an unseen context leaves all to the unigrams
     log_p = np.log10(value + share * p1[number & 0xFFFFFFFF])
     order = np.argsort(number)
@@ -306,12 +331,13 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     hot = hot[:, np.argsort(hot[0])]
     frequent = Frequent(hot[0], hot[1].astype(np.float64))
     asked = parts.mapInArrow(partial(ask_bigrams, shards=shards, frequent=frequent), QUESTION)
-    pairs = durable(asked.groupBy("shard").applyInArrow(per_shard(answer_bigrams, shards=shards, frequent=frequent), ANSWER))
+    pairs = durable(asked.groupBy("shard").applyInArrow(per_shard(answer_bigrams, frequent=frequent), ANSWER))
+    kinds = frequent_kinds(pairs, frequent)
     answers = words_.unionByName(pairs).drop("n_words", "frequent")
     kind = pa.from_numpy_dtype(np.int64) if id_kind == "bigint" else None
 
     def run(left, right):
-        return score_block(left, right, shards, frequent, n, v, kind or left.schema.field("ids").type.value_type)
+        return score_block(left, right, shards, frequent, kinds, n, v, kind or left.schema.field("ids").type.value_type)
 
     return parts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, result)
 
