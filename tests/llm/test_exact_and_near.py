@@ -2,6 +2,8 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.fixtures import awkward, clashing, frame, prose
@@ -92,6 +94,28 @@ def test_dense_nodes_in_chunks(spark, monkeypatch):
     assert Counter(tuple(r) for r in got.select("__id", "n_shingles", "component_id").collect()) == brute(rows, 2)
 
 
+def test_link_of_a_member_that_matches_no_pivot():
+    """A node that does not part: 120 near copies of a text, u similar to them in part, and v similar to u only."""
+    r = np.random.default_rng(5)
+    copies = np.tile(r.integers(0, 1 << 16, near_dedup.N), (122, 1))
+    u, v = 120, 121
+    copies[u, 65:] = r.integers(0, 1 << 16, near_dedup.N - 65)
+    copies[v] = copies[u]
+    copies[v, 55:65] = r.integers(0, 1 << 16, 10)
+    sig = [row.astype("<u2").tobytes() + (100).to_bytes(4, "little") for row in copies]
+    for node in range(40):
+        batch = pa.RecordBatch.from_arrays([pa.array(np.full(122, node)), pa.array(np.arange(122)), pa.array(sig, pa.binary())], ["node", "c", "sig"])
+        first = pa.Table.from_batches(near_dedup.compare(iter([batch]), 80, split=True, last=False, seed=node)).to_pylist()
+        pairs = {(x["a"], x["b"]) for x in first if x["b"] is not None}
+        members = sorted((x["node"], x["a"], x["sig"]) for x in first if x["b"] is None)
+        # The links to the copies are likely ones that the whole sets do not confirm, so u and v stay alone.
+        comp = [x[1] if x[1] in (u, v) else 0 for x in members]
+        again = pa.RecordBatch.from_arrays([*map(pa.array, zip(*members, strict=True)), pa.array(comp)], ["node", "c", "sig", "comp"])
+        for x in near_dedup.compare(iter([again]), 80, split=False, last=True, seed=1):
+            pairs |= {(a, b) for a, b, *_ in zip(*x.to_pydict().values(), strict=True)}
+        assert (u, v) in pairs, node
+
+
 def test_near_filter_keeps_one_of_a_group(spark):
     df = clashing(spark)
     out = near_dedup.keep_one(df, k=2)

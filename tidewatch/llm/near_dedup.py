@@ -12,7 +12,9 @@
    all pairs. Links are confirmed on the full sets, made again from both whole texts. Then components are formed, and what is
    left to compare in a node are members of different components; those pairs are confirmed in a last round.
 
-Members outside a dense node's largest component are compared with all its chunks, so no link is lost to chunking.
+Members outside a dense node's largest component are compared with all its chunks, so no link is lost to chunking. A node over
+LEAF that does not part gives all its members to the later rounds, also those that match no pivot, and the last round compares
+each of them outside the node's largest component with all of the node.
 
 Documents without words (null, empty, blank) have no set and are linked with nothing. Null ids come after all others.
 Rows that repeat id and text are in one class.
@@ -294,14 +296,15 @@ def compare(batches: Iterator[pa.RecordBatch], per_cent: int, split: bool, last:
             part = part[np.unique(own[part], return_index=True)[1]]
             found = open_pairs(sig[part], comp[part], per_cent) if last else [likely_forest(sig[part], comp[part], per_cent, seed)]
             for pairs in found:
+                # A component of three may hold links that the forest leaves out; of a part compared only with pivots, any two members may.
+                if split and (len(part) > LEAF or len(pairs) > 1):
+                    more = part if len(part) > LEAF else part[np.unique(pairs)]
+                    inner = int(shingles.mix(np.array([name + np.uint64(number)], np.uint64)).view(np.int64)[0])
+                    yield member_rows(own[more], inner, sig[more])
                 if not len(pairs):
                     continue
                 held.append(own[part][pairs])
                 n += len(pairs)
-                if split and len(pairs) > 1:  # a component of three may hold links that the forest leaves out
-                    hit = part[np.unique(pairs)]
-                    inner = int(shingles.mix(np.array([name + np.uint64(number)], np.uint64)).view(np.int64)[0])
-                    yield member_rows(own[hit], inner, sig[hit])
                 if n > 50_000:
                     yield pair_rows(held)
                     held, n = [], 0
