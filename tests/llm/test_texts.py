@@ -1,5 +1,8 @@
+import base64
 import math
+import random
 import re
+import string
 import zlib
 from collections import Counter
 
@@ -65,6 +68,25 @@ def test_bands_reject_what_tokenises_badly(spark):
     assert kept[3][0] and not kept[2][0] and kept[2][1] > 0.5
 
 
+def test_bands_reject_random_strings_and_keep_prose(spark):
+    r = random.Random(4)
+    strings = lambda kind, n: " ".join("".join(r.choice(kind) for _ in range(r.randint(3, 9))) for _ in range(n))
+    junk = [strings(string.ascii_lowercase, 150), strings("bcdfghjklmnpqrstvwxz", 150), strings(string.punctuation, 150),
+            " ".join(base64.b64encode(r.randbytes(45)).decode() for _ in range(15))]
+    prose_of = {
+        "en": LONG, "de": "Als sich der Ausschuss im Frühjahr wieder traf, hatten die meisten Mitglieder bereits beschlossen, dass die alte Brücke ersetzt werden müsse.",
+        "fr": "Lorsque le comité s'est réuni de nouveau au printemps, la plupart de ses membres avaient déjà décidé que le vieux pont devait être remplacé.",
+        "es": "Cuando el comité volvió a reunirse en primavera, la mayoría de sus miembros ya había decidido que el viejo puente debía ser reemplazado.",
+        "it": "Quando il comitato si riunì di nuovo in primavera, la maggior parte dei suoi membri aveva già deciso che il vecchio ponte doveva essere sostituito.",
+        "vi": "Khi ủy ban họp lại vào mùa xuân, hầu hết các thành viên đã quyết định rằng cây cầu cũ sẽ phải được thay thế.",
+        "ru": "Когда комитет снова собрался весной, большинство его членов уже решили, что старый мост придётся заменить, хотя никто не мог сказать, когда.",
+        "am": "ኮሚቴው በፀደይ ወቅት እንደገና ሲሰበሰብ አብዛኞቹ አባላቱ አሮጌው ድልድይ መተካት እንዳለበት አስቀድመው ወስነው ነበር"}
+    rows = [(i * 10 + j, text, lang, "a", 1) for i, text in enumerate(junk) for j, lang in enumerate(["en", "de", "fr", "es", None])]
+    rows += [(100 + i, text, lang, "a", 1) for i, (lang, text) in enumerate(prose_of.items())]
+    got = {x.doc_id: (x.base_failed, x.kept) for x in quality.measure(frame(spark, rows)).collect()}
+    assert all(got[i] == (False, i >= 100) for i in got)
+
+
 def test_quality_filter_keeps_columns(spark):
     df = clashing(spark)
     out = quality.keep_good(df)
