@@ -31,6 +31,24 @@ def test_main_text(page, want):
     assert html_text.main_text(page) == want
 
 
+@pytest.mark.parametrize("paragraph", [
+    LONG,  # 70 to 200 characters
+    "Когда комитет снова собрался весной, большинство его членов уже решили, что старый мост придётся заменить. " * 2,
+    "Quando il comitato si riunì di nuovo in primavera, la maggior parte dei membri aveva già deciso di sostituire il ponte. " * 2,
+    "委員会が春に再び開かれたとき、大半の委員はすでに古い橋を架け替えなければならないと決めていた。"])
+def test_main_text_of_unmarked_pages(paragraph):
+    menu, end = "<nav><a href=x>Home</a> and more</nav>", f"<div class=footer>{paragraph}</div>"
+    for first, last in (("", ""), (menu, end)):
+        text = html_text.main_text(f"{first}<h1>Title</h1><p>{paragraph}</p><p>{paragraph}</p><p>Short.</p>{last}")
+        # The short block is as near to the footer as to good text, and good comes first.
+        assert text == f"Title {paragraph.strip()} {paragraph.strip()} Short."
+
+
+def test_near_good_blocks_between_bad_ones_are_dropped():
+    page = f"<p>{LONG} {LONG}</p><p>{LONG}</p><div class=ad>x</div><p>{LONG} No!</p><div class=ad>y</div>"
+    assert html_text.main_text(page) == f"{LONG} {LONG} {LONG}"
+
+
 def test_odd_markup_takes_no_time():
     for page in ("<" * 20_000, "<a '" * 5_000, "<p a=\"" * 5_000, "<!--" * 5_000, "<script" * 5_000, "&" * 20_000):
         html_text.main_text(page)

@@ -2,8 +2,11 @@
 
 A page is cut into blocks at block-level tags. Pass one decides blocks by what they are made of: blocks inside menus, page
 headers, footers, sidebars, notices, adverts, forms and reader comments are bad, so are blocks with many linked characters;
-long blocks are good when enough of their words are stop words, and bad when too few are; short blocks stay open. If a page
+long blocks are good when enough of their words are stop words, and bad when too few are; blocks of middling length or density
+are near-good; short blocks stay open. Stop words are those of English, German, French and Spanish: a page whose longer blocks hold
+few of them is taken to be in another language, and its blocks are judged by length and links alone. If a page
 marks its article (<article> or <main>), blocks outside it are bad, and long blocks inside need no stop words. Pass two
+makes near-good blocks bad between two bad ones, but keeps them all on a page without a good block, and then
 gives each open block the label of the nearest decided block (a heading: of the next one); in a marked article without a
 decided block the open ones are good.
 
@@ -48,6 +51,9 @@ también me hasta hay donde quien desde todo nos durante es no se del""".split()
 
 SHORT, LONG = 70, 200
 MOST_LINKED, STOP_LOW, STOP_HIGH = 0.2, 0.15, 0.25
+#: Stop words of a page's longer blocks below which its language is none of the four.
+STOP_COVERED = 0.2
+UNSPACED = 3  # Chinese and Japanese characters count as so many
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -56,15 +62,16 @@ _TOKEN = re.compile(
     r"|<[!?/][^>]*+(?:>|\Z)", re.S | re.I)
 _MARKS = re.compile(r"\b(?:class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))", re.I)
 _PARTS = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
+_UNSPACED = re.compile("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\U00020000-\U0003ffff]")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=>/]|$)|display\s*+:\s*+none", re.I)
 
 
 class Block:
-    __slots__ = ("pieces", "linked", "bad", "main", "heading", "label", "text")
+    __slots__ = ("pieces", "linked", "bad", "main", "heading", "label", "near", "text")
 
     def __init__(self, bad: bool, main: bool, heading: bool):
         self.pieces, self.linked, self.bad, self.main, self.heading = [], 0, bad, main, heading
-        self.label, self.text = None, ""
+        self.label, self.near, self.text = None, False, ""
 
 
 def marked_bad(attrs: str) -> bool:
@@ -130,17 +137,42 @@ def stop_density(text: str) -> float:
     return sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / max(1, len(words))
 
 
-def decide(block: Block, marked: bool) -> None:
+def length(text: str) -> int:
+    return len(text) if text.isascii() else len(text) + (UNSPACED - 1) * len(_UNSPACED.findall(text))
+
+
+def covered(found: list[Block]) -> bool:
+    """Whether the longer blocks that may be text hold enough stop words for one of their languages."""
+    return stop_density(" ".join(b.text for b in found if not b.bad and b.linked <= MOST_LINKED * len(b.text) and length(b.text) >= SHORT)) >= STOP_COVERED
+
+
+def decide(block: Block, marked: bool, by_words: bool) -> None:
     n = len(block.text)
     if block.bad or (marked and not block.main) or block.linked > MOST_LINKED * n:
         block.label = False
     elif marked:
         block.label = True if n >= SHORT else None
-    elif n < SHORT:
+    elif length(block.text) < SHORT:
         block.label = False if block.linked else None
     else:
-        density = stop_density(block.text)
-        block.label = True if density >= STOP_HIGH and n > LONG else None if density >= STOP_LOW else False
+        density = stop_density(block.text) if by_words else 1.0
+        block.label = False if density < STOP_LOW else True if density >= STOP_HIGH and length(block.text) > LONG else None
+        block.near = block.label is None
+
+
+def settle(found: list[Block]) -> None:
+    """Near-good blocks are good, but between two bad ones bad, if the page has any good block."""
+    some = any(b.label for b in found)
+    before, last = [], None
+    for b in found:
+        before.append(last)
+        last = last if b.label is None else b.label
+    last = None
+    for b, left in zip(reversed(found), reversed(before), strict=True):
+        if b.near:
+            b.label = not (some and left is False and last is False)
+        elif b.label is not None:
+            last = b.label
 
 
 def inherit(found: list[Block], marked: bool) -> None:
@@ -167,8 +199,10 @@ def main_text(page: str | None) -> str:
         return ""
     found = list(blocks(page))
     marked = any(b.main and not b.bad for b in found)
+    by_words = marked or covered(found)
     for b in found:
-        decide(b, marked)
+        decide(b, marked, by_words)
+    settle(found)
     inherit(found, marked)
     return " ".join(b.text for b in found if b.text and b.label is not False)
 
