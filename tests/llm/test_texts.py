@@ -1,8 +1,10 @@
 import base64
 import math
+import pathlib
 import random
 import re
 import string
+import textwrap
 import zlib
 from collections import Counter
 
@@ -193,3 +195,18 @@ def test_licenses(spark):
     got = {r["__id"]: (r.license, r.notices) for r in licenses.scan(df).collect()}
     assert got == {1: ("MIT", ""), 2: ("MIT", ""), 3: (None, ""), 4: (None, "CC-BY-4.0,MIT"), 5: (None, ""), None: (None, ""), 6: ("MIT", "MIT")}
     assert licenses.scan(df.limit(0)).count() == 0 and licenses.scan(clashing(spark)).count() == len(awkward())
+
+
+def test_licenses_by_other_wrapping_wording_and_longer_texts(spark):
+    lines = lambda text, width: "\n".join(textwrap.wrap(text, width))
+    bsd = dict(licenses.TEXTS)["BSD-3-Clause"].replace("COPYRIGHT HOLDER OR", "COPYRIGHT OWNER OR")
+    rows = [(i, "Copyright (c) 2020 A. Body\n" + lines(bsd, width), "BSD-3-Clause", "") for i, width in enumerate(range(40, 90))]
+    rows += [(100, "# SPDX-License-Identifier: Apache-2.0", None, "Apache-2.0"), (101, "x\n// SPDX-License-Identifier: (MIT OR GPL-2.0-only)\ny", None, "GPL-2.0-only,MIT"),
+             (102, 'y\n * Licensed under the Apache License, Version 2.0 (the "License");\n * you may not', None, "Apache-2.0")]
+    for i, (name, file) in enumerate([("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3.0", "LGPL-3"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")]):
+        path = pathlib.Path("/usr/share/common-licenses", file)
+        if path.exists():
+            rows.append((200 + i, path.read_text().replace("\n", " \n  "), name, None))
+    got = {r["__id"]: (r.license, r.notices) for r in licenses.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    for i, _, name, notices in rows:
+        assert got[i][0] == name and notices in (None, got[i][1]), (i, got[i])
