@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import exact_dedup, html_text, language_model, licenses, mixing, near_dedup, packing, quality, sharding, substring_dedup
+from tidewatch.llm import exact_dedup, html_text, language_model, licenses, merkle, mixing, near_dedup, packing, quality, sharding, substring_dedup
 from tidewatch.llm.common import bounded_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -185,3 +185,57 @@ SELECT docs.doc_id, license, coalesce(notices, '') AS notices, canonical_sha256
 FROM docs LEFT JOIN whole ON digest = canonical_sha256
 LEFT JOIN found ON docs.doc_id IS NOT DISTINCT FROM found.doc_id AND docs.text = found.text
 """
+
+
+# --- op11: Merkle manifest --------------------------------------------------------------------------
+
+@query
+def op11_merkle_manifest(spark, sf):
+    out = merkle.proofs_of_documents(table(spark, sf, "documents"))
+    return out.select(F.col("id").alias("doc_id"), F.col("digest").alias("leaf"), "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def _leaf_sql(*columns: str) -> str:
+    fields = (f"coalesce(strlen(({c})::VARCHAR)::VARCHAR || ':' || ({c})::VARCHAR, '-')" for c in columns)
+    return f"sha256({' || '.join(fields)})"
+
+
+# crc32 bit by bit: DuckDB has no such function.
+_CRC = ("xor(list_reduce([4294967295::BIGINT] || list_transform(string_split({0}::VARCHAR, ''), lambda x: ord(x)::BIGINT), lambda a, b: "
+        "xor(a >> 8, list_reduce([xor(a, b) & 255] || range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))), 4294967295)")
+
+SQL["op11_merkle_manifest"] = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, lang, {_leaf_sql('doc_id', 'source', 'lang', 'n_chars', 'text')} AS leaf,
+         CASE WHEN {_CRC.format('doc_id')} % 7 = 0 THEN {_leaf_sql('doc_id', 'source', 'lang', 'n_chars + 1', 'text')} END AS changed
+  FROM documents),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+         dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM leaves),
+own(tree, level, pos, h, size) AS (
+  SELECT tree, 0, pos, leaf, count(*) OVER (PARTITION BY tree) FROM placed
+  UNION ALL
+  SELECT tree, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(size) + 1) // 2 FROM own WHERE size > 1 GROUP BY tree, level, pos // 2),
+above(level, pos, h, size) AS (
+  SELECT 0, tree, h, count(*) OVER () FROM own WHERE size = 1
+  UNION ALL
+  SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(size) + 1) // 2 FROM above WHERE size > 1 GROUP BY level, pos // 2),
+walk(doc_id, leaf, tree, pos, level, h, proof) AS (
+  SELECT doc_id, leaf, tree, pos, 0, coalesce(changed, leaf), '' FROM placed
+  UNION ALL
+  SELECT doc_id, leaf, walk.tree, walk.pos // 2, walk.level + 1,
+         sha256(CASE WHEN s.h IS NULL THEN walk.h WHEN walk.pos % 2 = 1 THEN s.h || walk.h ELSE walk.h || s.h END), proof || coalesce(s.h, '')
+  FROM walk JOIN own n ON n.tree = walk.tree AND n.level = walk.level AND n.pos = walk.pos AND n.size > 1
+  LEFT JOIN own s ON s.tree = walk.tree AND s.level = walk.level AND s.pos = xor(walk.pos, 1)),
+high(doc_id, leaf, tree, pos, level, h, proof) AS (
+  SELECT doc_id, leaf, walk.tree, walk.tree, 0, walk.h, proof
+  FROM walk JOIN own n ON n.tree = walk.tree AND n.level = walk.level AND n.pos = walk.pos AND n.size = 1
+  UNION ALL
+  SELECT doc_id, leaf, tree, high.pos // 2, high.level + 1,
+         sha256(CASE WHEN s.h IS NULL THEN high.h WHEN high.pos % 2 = 1 THEN s.h || high.h ELSE high.h || s.h END), proof || coalesce(s.h, '')
+  FROM high JOIN above n ON n.level = high.level AND n.pos = high.pos AND n.size > 1
+  LEFT JOIN above s ON s.level = high.level AND s.pos = xor(high.pos, 1))
+SELECT doc_id, leaf, top.h AS subroot, root.h AS root, sha256(proof) AS proof_sha256, high.h AS folded_root, high.h = root.h AS verified
+FROM high JOIN above root ON root.size = 1 AND high.level = root.level
+JOIN own top ON top.size = 1 AND top.tree = high.tree
+"""
