@@ -83,6 +83,7 @@ def collapse_repeats(df: DataFrame, repeated: DataFrame, doc_id: str = "doc_id")
     return rows.filter("__hit is null").select(*inner).unionByName(one.select(*inner)).toDF(*names)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 4000) -> None:
-    """Rows per Arrow batch: a batch of whole texts is held in memory at once."""
+def bounded_batches(spark: SparkSession, rows: int = 4000, most_bytes: int = 4 << 20) -> None:
+    """Rows and bytes per Arrow batch (or one row): a batch of whole texts is held in memory at once, on both sides."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most_bytes))
