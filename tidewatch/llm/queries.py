@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import exact_dedup, html_text, language_model, licenses, merkle, mixing, near_dedup, packing, quality, sharding, substring_dedup
+from tidewatch.llm import exact_dedup, html_text, language_model, licenses, merkle, mixing, near_dedup, packing, pii, quality, sharding, substring_dedup
 from tidewatch.llm.common import bounded_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -239,3 +239,18 @@ SELECT doc_id, leaf, top.h AS subroot, root.h AS root, sha256(proof) AS proof_sh
 FROM high JOIN above root ON root.size = 1 AND high.level = root.level
 JOIN own top ON top.size = 1 AND top.tree = high.tree
 """
+
+
+# --- op12: personal data ----------------------------------------------------------------------------
+
+@query
+def op12_private_spans(spark, sf):
+    out = pii.scan(table(spark, sf, "documents"))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x.kind, x.start.cast("string"), x.end.cast("string"))), ",")
+
+    plain = F.filter("found", lambda x: x.plain)
+    counts = (F.size(F.filter(plain, lambda x, k=k: x.kind == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS)
+    return out.select(F.col("__id").alias("doc_id"), *counts, F.sha2(joined(plain), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"),
+                      F.size(F.filter("found", lambda x: ~x.plain)).cast("long").alias("n_added"))
