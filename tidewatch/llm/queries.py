@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import exact_dedup, html_text, language_model, licenses, merkle, mixing, near_dedup, packing, pii, quality, sharding, substring_dedup
+from tidewatch.llm import exact_dedup, html_text, language_model, lexical_search, licenses, merkle, mixing, near_dedup, packing, pii, quality, sharding, substring_dedup
 from tidewatch.llm.common import bounded_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -254,3 +254,28 @@ def op12_private_spans(spark, sf):
     counts = (F.size(F.filter(plain, lambda x, k=k: x.kind == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS)
     return out.select(F.col("__id").alias("doc_id"), *counts, F.sha2(joined(plain), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"),
                       F.size(F.filter("found", lambda x: ~x.plain)).cast("long").alias("n_added"))
+
+
+# --- op13: ranked lexical search --------------------------------------------------------------------
+
+@query
+def op13_lexical_search(spark, sf):
+    return lexical_search.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+_TERMS = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
+
+SQL["op13_lexical_search"] = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS terms FROM documents),
+totals AS (SELECT count(*) FILTER (len(terms) > 0) AS n_docs, sum(len(terms))::BIGINT AS total FROM docs),
+items AS (SELECT DISTINCT item_id, text FROM benchmark),
+wanted AS (SELECT q, item_id, term, count(*) AS times FROM (SELECT row_number() OVER () AS q, item_id, unnest({_TERMS}) AS term FROM items) GROUP BY q, item_id, term),
+postings AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(terms) AS n, unnest(terms) AS term FROM docs) GROUP BY r, doc_id, n, term),
+weights AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM postings, totals GROUP BY term),
+scores AS (
+  SELECT q, item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // total))))::BIGINT AS score
+  FROM wanted JOIN weights USING (term) JOIN postings USING (term), totals GROUP BY q, item_id, r, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id ASC NULLS LAST)::INT AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
