@@ -176,8 +176,11 @@ _LABEL = r"[A-Za-z0-9]++(?:-(?!dot-|at-)[A-Za-z0-9]++)*+"
 _ENTITY = re.compile(r"&(?:#0{0,5}64|#[xX]0{0,5}40|commat);|%40|&(?:#0{0,5}46|#[xX]0{0,5}2[eE]|period);")
 _BRACKET_AT = re.compile(rf"(?<=[A-Za-z0-9._%+-])\s{{0,3}}{_OPEN}\s{{0,2}}(?:{_AT}|a|@)\s{{0,2}}{_SHUT}\s{{0,3}}(?={_LABEL}{_DOTTED}[A-Za-z0-9])", re.IGNORECASE)
 _BRACKET_DOT = re.compile(rf"(?<=[A-Za-z0-9])\s{{0,3}}{_OPEN}\s{{0,2}}(?:{_DOT}|\.)\s{{0,2}}{_SHUT}\s{{0,3}}(?=[A-Za-z0-9])", re.IGNORECASE)
+# Words that no host's name begins with after a bare "at".
+ARTICLES = ("the", "a", "an", "this", "that", "each", "every", "any", "le", "la", "les", "un", "une", "der", "die", "das", "dem", "den", "el", "los", "las")
+_NOT_HOST = rf"(?!(?:{'|'.join(ARTICLES)})\b)"
 # Bare words: "at" counts where the domain has a spelled dot, or where the name before it looks like one of an address.
-_BARE_AT = re.compile(rf"(?<=[A-Za-z0-9])(?:\s{{1,3}}|[-_])(?:{_AT})(?:\s{{1,3}}|[-_])(?={_LABEL}(?:\.{_LABEL})*+{_SPELLED}[A-Za-z])", re.IGNORECASE)
+_BARE_AT = re.compile(rf"(?<=[A-Za-z0-9])(?:\s{{1,3}}|[-_])(?:{_AT})(?:\s{{1,3}}|[-_])(?={_NOT_HOST}{_LABEL}(?:\.{_LABEL})*+{_SPELLED}[A-Za-z])", re.IGNORECASE)
 _NAMED_AT = re.compile(rf"(?<=[A-Za-z0-9])\s{{1,3}}(?:{_AT})\s{{1,3}}(?={_LABEL}\.[A-Za-z])", re.IGNORECASE)
 _NAME = re.compile(r"[A-Za-z0-9][A-Za-z0-9%+-]*[._+][A-Za-z0-9._%+-]*[A-Za-z0-9]\Z")
 _SPACED_AT = re.compile(rf"(?<=[A-Za-z0-9])(?:\s{{1,3}}@\s{{0,3}}|@\s{{1,3}})(?={_LABEL}{_DOTTED}[A-Za-z])", re.IGNORECASE)
