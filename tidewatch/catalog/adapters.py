@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions import instants
 from tidewatch.operators.pilot import ALL_COLUMNS
-from tidewatch.operators.scoring import label_by_rule
+from tidewatch.operators.scoring import SequenceModel, label_by_rule
 from tidewatch.schemas import EpisodeParams
 
 HOUR, DAY = 3600.0, 86400.0
@@ -150,3 +151,9 @@ def instant_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def split_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples with a session per user and event type, so a user has several sessions."""
     return samples(spark, sf_dir).withColumn("sessionId", F.concat_ws("-", "sessionId", "event_type"))
+
+
+def fixed_model(hidden: int = 16, seed: int = 7) -> SequenceModel:
+    """Small repeatable weights; trained ones come from a file."""
+    r = np.random.default_rng(seed)
+    return SequenceModel("fixed-lstm", r.normal(size=(4 * hidden, 3)), r.normal(size=(4 * hidden, hidden)) / 4, r.normal(size=4 * hidden) / 4, r.normal(size=(3, hidden)), np.zeros(3))

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import string
 
+from tidewatch.catalog.adapters import fixed_model
+
 HOUR = 3_600_000
 FIXED = {"persist": 6 * HOUR, "recovery": 6 * HOUR, "realert": 12 * HOUR, "timeout": 48 * HOUR,
          "mid": "TIMESTAMP '2024-01-16 00:00:00'"}
@@ -27,9 +29,11 @@ s AS (SELECT 'u' || user_id AS sid, CAST(user_id AS VARCHAR) AS uid, ts, epoch_u
 
 LABEL = "CASE WHEN score >= 0.7 THEN 'BAD' WHEN score >= 0.4 THEN 'WARNING' ELSE 'NORMAL' END"
 
+JUDGED = "SELECT sid, uid, seq, ts, ms, score >= 0.4 AS bad FROM s"
+
 # Runs of equal labels inside segments, numbered per session.
 RUNS = SAMPLES + """,
-j AS (SELECT sid, uid, seq, ts, ms, score >= 0.4 AS bad FROM s $where),
+j AS (""" + JUDGED + """ $where),
 la AS (SELECT *, lag(ms) OVER w AS pms, lag(bad) OVER w AS pbad, lag(uid) OVER w AS puid FROM j
        WINDOW w AS (PARTITION BY sid ORDER BY ts, seq)),
 fl AS (SELECT *, (pms IS NULL OR ms - pms >= $timeout) AS seg0 FROM la),
@@ -168,6 +172,26 @@ lg AS (SELECT date_trunc('hour', ts) AS h, event_type, CASE WHEN value >= 10 THE
               CAST(k AS BIGINT) AS consumed, user_id % 4 <> 0 AS member FROM s)"""
 
 
+def two_unit_model(steps: int = 10) -> str:
+    """CTEs from ``full`` (seq and the lists x0, x1, x2 of its window) to ``pr``: class probabilities of a recurrent model of two units."""
+    m = fixed_model(2)
+
+    def gate(row: int, step: int) -> str:
+        terms = [f"({float(w)!r}::DOUBLE) * x{i}[{step}]" for i, w in enumerate(m.w_input[row])]
+        return " + ".join([*terms, *(f"({float(w)!r}::DOUBLE) * h{i}" for i, w in enumerate(m.w_hidden[row])), f"({float(m.bias[row])!r}::DOUBLE)"])
+
+    out, before = [], "(SELECT *, 0.0::DOUBLE AS h0, 0.0::DOUBLE AS h1, 0.0::DOUBLE AS c0, 0.0::DOUBLE AS c1 FROM full)"
+    for step in range(1, steps + 1):
+        # Rows of the weights: input, forget, cell and output gates of both units.
+        cells = ", ".join(f"c{u} / (1 + exp(-({gate(2 + u, step)}))) + tanh({gate(4 + u, step)}) / (1 + exp(-({gate(u, step)}))) AS n{u}, {gate(6 + u, step)} AS o{u}" for u in (0, 1))
+        out.append(f"""s{step} AS (SELECT seq, x0, x1, x2, n0 AS c0, n1 AS c1, tanh(n0) / (1 + exp(-o0)) AS h0, tanh(n1) / (1 + exp(-o1)) AS h1
+  FROM (SELECT seq, x0, x1, x2, {cells} FROM {before}))""")
+        before = f"s{step}"
+    logits = [" + ".join(f"({float(w)!r}::DOUBLE) * h{i}" for i, w in enumerate(row)) for row in m.w_class]
+    out.append(f"pr AS (SELECT seq, a / (a + b + c) AS a, b / (a + b + c) AS b, c / (a + b + c) AS c FROM (SELECT seq, exp({logits[0]}) AS a, exp({logits[1]}) AS b, exp({logits[2]}) AS c FROM s{steps}))")
+    return ",\n".join(out)
+
+
 def uuid(text: str) -> str:
     h = f"sha256({text})"
     return " || '-' || ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
@@ -249,6 +273,9 @@ SELECT seq, capture_id AS "sessionId", participant_code AS "userId", {at('(epoch
        round(least(1.0, coalesce(rule_score, 0.0)), 6) AS "deviationScore",
        CASE WHEN rule_prediction = 'deviation' THEN 'COLLAPSED' ELSE 'NORMAL' END AS "ruleStatus",
        coalesce(target_sample_hz, 10.0)::DOUBLE AS "sampleRateHz", delta_offset AS f1 FROM c"""
+    captured = episodes_cte().replace(JUDGED, """SELECT sid, 'P' || (user_id % 20) AS uid, seq, ts, ms,
+      round(least(1.0, coalesce(CASE WHEN event_type <> 'signup' THEN value / 80 END, 0.0)), 6) >= 0.4 AS bad FROM s""")
+    q["capture_episodes"] = captured + EPISODE_ROWS
     q["orphan_samples"] = """SELECT 'u' || user_id AS capture_id, count(*) AS rows FROM events
 WHERE user_id NOT IN (SELECT s_suppkey FROM supplier) GROUP BY user_id"""
     q["orphan_captures"] = c + """ SELECT participant_code, count(DISTINCT capture_id) AS rows FROM c
@@ -279,6 +306,15 @@ FROM (SELECT seq, exp(f0 - t) AS a, exp(k / 100 - t) AS b, exp(f2 - t) AS c FROM
     q["scored_samples"] = w + f"""
 SELECT seq, {scored}, uid AS "userId", rule AS "receivedRuleStatus", score AS "deviationScore",
        CAST(least(10, c) AS INT) AS "windowBuffered", CAST(10 AS INT) AS "windowSize" FROM cnt"""
+    parts = ", ".join(f"list(CASE WHEN empty THEN 0.0::DOUBLE ELSE {f} END) OVER w AS x{i}" for i, f in enumerate(("f0", "k / 100", "f2")))
+    q["model_scored_samples"] = w + f""",
+wd AS (SELECT seq, {parts} FROM cnt WHERE ok WINDOW w AS (PARTITION BY sid ORDER BY ts, seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
+full AS (SELECT * FROM wd WHERE len(x0) = 10),
+{two_unit_model()}
+SELECT cnt.seq, sid AS "sessionId", CASE WHEN a IS NULL THEN {LABEL} WHEN a >= b AND a >= c_ THEN 'NORMAL' WHEN b >= c_ THEN 'WARNING' ELSE 'BAD' END AS "inferredStatus",
+       CASE WHEN a IS NULL THEN 'rule-based-skeleton-v0' ELSE 'fixed-lstm' END AS model, CASE WHEN a IS NULL THEN CAST(least(10, cnt.c) AS INT) END AS "windowBuffered",
+       round(a, 4) AS "pNormal", round(b, 4) AS "pWarning", round(c_, 4) AS "pBad"
+FROM cnt LEFT JOIN (SELECT seq, a, b, c AS c_ FROM pr) USING (seq)"""
     position = "row_number() OVER (PARTITION BY sid ORDER BY ts, seq)"
     q["scored_stream"] = s + f"""
 SELECT seq, {scored}, CAST(least(10, {position}) AS INT) AS "windowBuffered", CAST(10 AS INT) AS "windowSize" FROM s"""
@@ -403,4 +439,7 @@ FROM c, (SELECT unnest([0, 1, 2]) AS copy)"""
        count(*) FILTER (event_type <> 'error') AS scores FROM events WHERE event_type <> 'signup' GROUP BY 1"""
     q["episodes_stream"] = q["episode_outcomes"]
     q["tables_stream"] = q["episodes_upsert"]
+    # Signups do not decode, and errors have no number as score, so their status is the label.
+    arrived = episodes_cte("WHERE event_type <> 'signup'", MAX_MS.replace("FROM events", "FROM events WHERE event_type <> 'signup'"))
+    q["live_path"] = arrived.replace("score >= 0.4 AS bad", "event_type = 'error' OR score >= 0.4 AS bad") + OUTCOME_ROWS
     return q

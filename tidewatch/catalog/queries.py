@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.catalog import adapters as A
-from tidewatch.catalog.adapters import MID, PARAMS
+from tidewatch.catalog.adapters import MID, PARAMS, fixed_model
 from tidewatch.functions import instants
 from tidewatch.operators import episodes as E
 from tidewatch.operators import ingest, marts, pilot, scoring, sessions, state_view, timeshift
@@ -17,6 +16,7 @@ from tidewatch.session import scratch_path
 from tidewatch.sources import files, tables
 from tidewatch.streaming.episodes_stream import outcome_stream
 from tidewatch.streaming.landing import land
+from tidewatch.streaming.live import live_outcomes
 from tidewatch.streaming.scoring_stream import score_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -159,6 +159,14 @@ def pilot_to_summary(spark, sf):
                     F.col("featureVector")[1].alias("f1"))
 
 
+@query
+def capture_episodes(spark, sf):
+    """A capture file from reading to episodes: summaries in file order, scored and judged."""
+    path = scratch_path(spark, "capture")
+    files.write_captures(A.captures(spark, sf), path)
+    return E.episodes(scoring.score_samples(pilot.pilot_to_summary(files.read_captures(spark, path))), PARAMS)
+
+
 @query
 def orphan_samples(spark, sf):
     known = A.table(spark, sf, "supplier").select(F.concat(F.lit("u"), F.col("s_suppkey")).alias("capture_id"))
@@ -227,25 +235,16 @@ def scored_samples(spark, sf):
                     "model", "windowBuffered", "windowSize")
 
 
-def fixed_model(hidden: int = 16, seed: int = 7) -> scoring.SequenceModel:
-    """Small repeatable weights; trained ones come from a file."""
-    r = np.random.default_rng(seed)
-    return scoring.SequenceModel(
-        "fixed-lstm", r.normal(size=(4 * hidden, 3)), r.normal(size=(4 * hidden, hidden)) / 4,
-        r.normal(size=4 * hidden) / 4, r.normal(size=(3, hidden)), np.zeros(3))
-
-
 @query
 def model_scored_samples(spark, sf):
-    x = scoring.score_samples(A.mixed_vectors(spark, sf), fixed_model())
+    x = scoring.score_samples(A.mixed_vectors(spark, sf), fixed_model(2))
     return x.select("seq", "sessionId", "inferredStatus", "model", "windowBuffered",
                     *[F.col("probabilities")[c].alias("p" + c.title()) for c in scoring.CLASS_NAMES])
 
 
 @query
 def inference_recent(spark, sf):
-    x = scoring.score_samples(A.samples(spark, sf))
-    return scoring.inference_recent(x, 80).select("seq", "sessionId", "inferredStatus", "windowBuffered")
+    return scoring.inference_recent(A.samples(spark, sf), 80).select("seq", "sessionId", "inferredStatus", "windowBuffered")
 
 
 @query
@@ -506,6 +505,20 @@ def episodes_stream(spark, sf):
     return run_to_files(outcome_stream(labelled, PARAMS, delay="0 seconds"), "outcomes")
 
 
+@query
+def live_path(spark, sf):
+    """Messages decoded, scored and judged in one stream; each of five spans of time is a micro-batch and a restart."""
+    path, x = scratch_path(spark, "live"), A.samples(spark, sf)
+    week = F.least(F.lit(4), F.floor((F.dayofmonth("capturedAt") - 1) / 7))
+    for k in range(5):
+        A.messages(x.where(week == k)).write.mode("append").parquet(path + "/in")
+        arrived = spark.readStream.schema("seq long, value binary").parquet(path + "/in")
+        out = live_outcomes(arrived, PARAMS, delay="0 seconds")
+        (out.writeStream.format("parquet").option("path", path + "/rows").option("checkpointLocation", path + "/checkpoint")
+         .trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema(out.schema).parquet(path + "/rows")
+
+
 @query
 def scored_stream(spark, sf):
     x = score_stream(stream_of_events(spark, sf).withColumn("featureVector", F.col("featureVector").cast("array<string>")))

@@ -39,13 +39,13 @@ class Pieces:
 
 
 def judged(samples: DataFrame) -> DataFrame:
-    """The columns the episode rules read: session, user, us, ms, seq, bad."""
+    """The columns the episode rules read: session, user, us, ms, seq, bad. ``seq`` may be of any type that can be ordered."""
     return samples.where(F.col("capturedAt").isNotNull()).select(
         F.coalesce("sessionId", F.lit(UNKNOWN_SESSION)).alias("session"),
         F.col("userId").alias("user"),
         F.unix_micros("capturedAt").alias("us"),
         F.unix_millis("capturedAt").alias("ms"),
-        F.col("seq").cast("long").alias("seq"),
+        F.col("seq"),
         is_bad(F.col("inferredStatus")).alias("bad"))
 
 
@@ -99,7 +99,8 @@ def run_pieces(samples: DataFrame, params: EpisodeParams,
     x = x.withColumn("recovers", confirmed & ~F.col("bad") & ~F.col("segment_start") & was_open)
     opened = F.struct("run.us", "run.seq", F.col("run.ms").alias("start_ms"), "confirm_ms",
                       F.col("confirm_user").alias("user"))
-    nothing = F.lit(None).cast("struct<us:bigint,seq:bigint,start_ms:bigint,confirm_ms:bigint,user:string>")
+    seq = pieces.schema["first_seq"].dataType.simpleString()
+    nothing = F.lit(None).cast(f"struct<us:bigint,seq:{seq},start_ms:bigint,confirm_ms:bigint,user:string>")
     mark = (F.when(F.col("opens"), F.struct(opened.alias("episode")))
              .when(F.col("cuts") | F.col("recovers"), F.struct(nothing.alias("episode"))))
     x = by_piece.last_before(x, "marked_before", mark)

@@ -87,11 +87,12 @@ def first_sessions(rows: DataFrame, n: int, session: str = "capture_id") -> Data
     return rows.join(first.select(session), session, "left_semi")
 
 
-def pilot_to_summary(rows: DataFrame) -> DataFrame:
+def pilot_to_summary(rows: DataFrame, received_at: Column | None = None) -> DataFrame:
     """Capture rows as summary events.
 
     The capture time is the session start plus the elapsed milliseconds, kept to the millisecond as
-    the message carries it. A missing prediction is normal, a missing score 0.
+    the message carries it. A missing prediction is normal, a missing score 0. Events count as received when they were
+    captured, unless ``received_at`` says otherwise (the current time, for a replay).
     """
     started = instants.parse_lenient(F.col("started_at"))
     elapsed_us = F.bround(F.col("elapsed_ms").try_cast("double") * 1000).cast("long")
@@ -101,6 +102,7 @@ def pilot_to_summary(rows: DataFrame) -> DataFrame:
     return rows.select(
         F.col("capture_id").alias("sessionId"), F.col("participant_code").alias("userId"),
         instants.from_millis(F.unix_millis(at)).alias("capturedAt"),
+        (instants.from_millis(F.unix_millis(at)) if received_at is None else received_at).alias("serverReceivedAt"),
         F.array(*[F.col(c).try_cast("double") for c in ("delta_head_gap", "delta_offset", "delta_tilt")])
          .alias("featureVector"),
         F.bround(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)), 6).alias("deviationScore"),

@@ -18,6 +18,7 @@ from tidewatch.functions import instants
 from tidewatch.operators.episodes import judged
 from tidewatch.schemas import EVENT_ENDED, EVENT_STARTED, RE_ALERT, EpisodeParams
 from tidewatch.session import use_state_store
+from tidewatch.streaming.scoring_stream import CLOCK, OrderColumns
 
 STATE = ("run_bad boolean, run_ms long, last_ms long, start_ms long, alert_ms long, alerts int, "
          "user string")
@@ -66,15 +67,16 @@ class SessionJudge:
 
 
 class EpisodeProcessor(StatefulProcessor):
-    def __init__(self, params: EpisodeParams):
-        self.params = params
+    def __init__(self, params: EpisodeParams, order: list[str]):
+        self.params, self.order = params, order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.judgment = handle.getValueState("judgment", STATE)
 
     def _load(self) -> SessionJudge:
-        return SessionJudge(self.params, tuple(self.judgment.get()) if self.judgment.exists() else None)
+        state = self.judgment.get()
+        return SessionJudge(self.params, tuple(state) if state else None)
 
     @staticmethod
     def _rows(key, events) -> Iterator[Row]:
@@ -84,11 +86,14 @@ class EpisodeProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         judge = self._load()
-        for _, _, ms, bad, user in sorted((r.us, r.seq, r.ms, r.bad, r.user) for r in rows):
-            yield from self._rows(key, judge.sample(ms, bad, user))
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(judge.last_ms + self.params.timeout_ms)
+        before = judge.last_ms
+        for r in sorted(rows, key=lambda r: (r.us, *(r[c] for c in self.order))):
+            yield from self._rows(key, judge.sample(r.ms, r.bad, r.user))
+        # The only timer of a session stands at its last sample plus the timeout.
+        if before != judge.last_ms:
+            if before is not None:
+                self.handle.deleteTimer(before + self.params.timeout_ms)
+            self.handle.registerTimer(judge.last_ms + self.params.timeout_ms)
         self.judgment.update(judge.state())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
@@ -106,12 +111,13 @@ def outcome_stream(samples: DataFrame, params: EpisodeParams = EpisodeParams(),
 
     ``delay`` is how far the clock of the silence timers trails the newest sample. It drops nothing:
     the rows no longer carry the watermark column when they reach the state, so a late sample is
-    judged when it arrives, by the time it carries.
+    judged when it arrives, by the time it carries. Samples of ``score_stream(clocked=True)`` bring their clock with them.
     """
     use_state_store(samples.sparkSession)
-    rows = judged(samples.withWatermark("capturedAt", delay))
-    x = rows.groupBy("session").transformWithState(
-        EpisodeProcessor(params), OUTCOME, "Append", "EventTime")
+    rows = judged(samples if CLOCK in samples.columns else samples.withWatermark("capturedAt", delay))
+    order = OrderColumns(rows)
+    x = rows.select("session", "user", "us", "ms", "bad", *order.flat).groupBy("session").transformWithState(
+        EpisodeProcessor(params, order.names), OUTCOME, "Append", "EventTime")
     ended = F.col("type") == EVENT_ENDED
     return x.select(
         "type", F.col("session").alias("sessionId"), F.col("user").alias("userId"),

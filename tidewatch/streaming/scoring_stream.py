@@ -1,55 +1,82 @@
-"""Scoring on a stream: the last vectors of each session in keyed state, scored in Arrow batches."""
+"""Scoring on a stream: the last vectors of each session in keyed state, a session's batch scored at once."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime
 
-from pyspark.sql import DataFrame, Row
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tidewatch.operators.scoring import WINDOW_SIZE, SequenceModel, choose_label, numeric_vector, width_of
-from tidewatch.schemas import UNKNOWN_SESSION, to_ms
+from tidewatch.operators.scoring import WINDOW_SIZE, SequenceModel, WindowScorer, choose_label, numeric_vector, width_of, window_key
+from tidewatch.schemas import to_ms
 from tidewatch.session import use_state_store
 
-WINDOWED = ("windowKey string, sessionId string, userId string, seq long, capturedAt timestamp, "
-            "serverReceivedAt timestamp, deviationScore double, ruleStatus string, windowed boolean, "
-            "window array<array<double>>")
-EARLIEST = datetime.min    # only compared with itself
-CARRIED = ["sessionId", "userId", "seq", "capturedAt", "serverReceivedAt", "deviationScore", "ruleStatus"]
+CARRIED = ["sessionId", "userId", "capturedAt", "serverReceivedAt", "deviationScore", "ruleStatus"]
+CLOCK = "_clock"
+
+
+class OrderColumns:
+    """``seq`` as plain columns (seq0, ...) while rows are in keyed state: a number as it is, a struct by its fields."""
+
+    def __init__(self, df: DataFrame):
+        kind = df.schema["seq"].dataType
+        fields = getattr(kind, "fields", None)
+        self.names = [f"seq{i}" for i in range(len(fields) if fields else 1)]
+        self.flat = ([F.col(f"seq.{f.name}").alias(n) for f, n in zip(fields, self.names, strict=True)] if fields
+                     else [F.col("seq").alias(self.names[0])])
+        self.whole = (F.struct(*(F.col(n).alias(f.name) for f, n in zip(fields, self.names, strict=True))) if fields
+                      else F.col(self.names[0])).alias("seq")
 
 
 class WindowProcessor(StatefulProcessor):
-    """Adds to each sample the last vectors of its session."""
+    """Adds to each sample how many vectors its session's window holds and, with a model, its class probabilities.
+
+    Without a model the state is one number per session. Rows of a micro-batch come as pandas frames; how many there can be is
+    the source's limit per trigger.
+    """
 
-    def __init__(self, size: int, forget_ms: int | None):
-        self.size, self.forget_ms = size, forget_ms
+    def __init__(self, model: SequenceModel | None, size: int, order: list[str], forget_ms: int | None, clocked: bool):
+        self.model, self.size, self.order, self.forget_ms, self.clocked = model, size, order, forget_ms, clocked
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
+        self.held = handle.getValueState("held", "n int")
         self.recent = handle.getListState("recent", "vector array<double>")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        window = [list(v[0]) for v in self.recent.get()]
-        last = None
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        x = pd.concat(list(rows), ignore_index=True)
         # Samples without a time come first, as in the batch query.
-        for r in sorted(rows, key=lambda r: (r.ms is not None, r.capturedAt or EARLIEST, r.seq)):
-            if r.vector is not None:
-                window = [*window, list(r.vector)][-self.size:]
-            last = r.ms if r.ms is not None else last
-            yield Row(windowKey=key[0], **{c: getattr(r, c) for c in CARRIED},
-                      windowed=r.vector is not None, window=window)
-        if window:
-            self.recent.put([(v,) for v in window])
-        if self.forget_ms is not None:
+        x = x.assign(_timed=x["ms"].notna()).sort_values(["_timed", "us", *self.order], kind="stable", ignore_index=True)
+        valid = x["vector"].notna().to_numpy()
+        if self.model is None:
+            before = self.held.get()
+            held = np.minimum(self.size, (before[0] if before else 0) + np.cumsum(valid))
+            p = [None] * len(x)
+            self.held.update((int(held[-1]),))
+        else:
+            width = self.model.w_input.shape[1]
+            scorer = WindowScorer(self.model, self.size, np.array([list(v[0]) for v in self.recent.get()], float).reshape(-1, width))
+            held, found = scorer.score(np.array(x["vector"][valid].tolist(), float).reshape(-1, width), valid)
+            p = [None if v is None else v.tolist() for v in found]
+            if len(scorer.recent):
+                self.recent.put([(v.tolist(),) for v in scorer.recent])
+        if self.forget_ms is not None and x["ms"].notna().any():
             for timer in self.handle.listTimers():
                 self.handle.deleteTimer(timer)
-            if last is not None:
-                self.handle.registerTimer(last + self.forget_ms)
+            self.handle.registerTimer(int(x["ms"].max()) + self.forget_ms)
+        out = {"windowKey": [key[0]] * len(x), **{c: x[c] for c in [*CARRIED, *self.order]}, "windowBuffered": held.astype(np.int32), "_p": p}
+        if self.clocked:
+            # The clock of later operators: the sample's time, or the watermark for samples behind it.
+            behind = np.maximum(timerValues.getCurrentWatermarkInMs() - x["ms"].to_numpy(np.int64), 0)
+            out[CLOCK] = x["capturedAt"] + pd.to_timedelta(behind, unit="ms")
+        yield pd.DataFrame(out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.recent.clear()
+        self.held.clear()
         return iter(())
 
     def close(self) -> None:
@@ -57,21 +84,31 @@ class WindowProcessor(StatefulProcessor):
 
 
 def score_stream(samples: DataFrame, model: SequenceModel | None = None, *, size: int = WINDOW_SIZE,
-                 forget_seconds: float | None = None, delay: str = "1 minute") -> DataFrame:
+                 forget_seconds: float | None = None, delay: str = "1 minute", clocked: bool = False) -> DataFrame:
     """Summary samples with ``seq`` to scored samples, in the columns of the batch query.
 
     Windows are kept for ever, as in the batch query, unless ``forget_seconds`` is given: then a
-    session silent that long (by the watermark, ``delay`` behind the newest sample) starts afresh.
+    session silent that long (by the watermark, ``delay`` behind the newest sample) starts afresh. With ``clocked`` the
+    output carries an event time (``_clock``) that is never behind the watermark, so another stateful operator can follow;
+    samples without a time are then left out, since that operator cannot place them.
     """
     use_state_store(samples.sparkSession)
-    if forget_seconds is not None:
+    timed = clocked or forget_seconds is not None
+    if clocked:
+        samples = samples.where(F.col("capturedAt").isNotNull())
+    if timed:
         samples = samples.withWatermark("capturedAt", delay)
+    order = OrderColumns(samples)
+    # The order, like every other column here, is derived: rows behind the watermark are not dropped before the state.
     keyed = samples.select(
-        F.coalesce(F.nullif("sessionId", F.lit("")), F.lit(UNKNOWN_SESSION)).alias("windowKey"),
-        *CARRIED, F.unix_millis("capturedAt").alias("ms"),
-        numeric_vector(width_of(model)).alias("vector"))
-    processor = WindowProcessor(size, None if forget_seconds is None else to_ms(forget_seconds))
-    x = keyed.groupBy("windowKey").transformWithState(
-        processor, WINDOWED, "Append", "None" if forget_seconds is None else "EventTime")
-    x = x.withColumns({"windowBuffered": F.size("window"), "windowSize": F.lit(size)})
-    return choose_label(x, model, size)
+        window_key().alias("windowKey"), *[F.col(c) if c != "capturedAt" else F.timestamp_micros(F.unix_micros(c)).alias(c) for c in CARRIED],
+        F.unix_micros("capturedAt").alias("us"), F.unix_millis("capturedAt").alias("ms"), *order.flat, numeric_vector(width_of(model)).alias("vector"))
+    kinds = {f.name: f.dataType.simpleString() for f in keyed.schema}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ["windowKey", *CARRIED, *order.names]) + ", windowBuffered int, _p array<double>"
+    processor = WindowProcessor(model, size, order.names, None if forget_seconds is None else to_ms(forget_seconds), clocked)
+    grouped = keyed.groupBy("windowKey")
+    if clocked:
+        x = grouped.transformWithStateInPandas(processor, f"{schema}, {CLOCK} timestamp", "Append", "EventTime", eventTimeColumnName=CLOCK)
+    else:
+        x = grouped.transformWithStateInPandas(processor, schema, "Append", "EventTime" if timed else "None")
+    return choose_label(x.select("*", order.whole), model, size, [CLOCK] if clocked else [])
