@@ -173,14 +173,14 @@ lg AS (SELECT date_trunc('hour', ts) AS h, event_type, CASE WHEN value >= 10 THE
 
 
 def two_unit_model(steps: int = 10) -> str:
-    """CTEs from ``full`` (seq and the lists x0, x1, x2 of its window) to ``pr``: class probabilities of a recurrent model of two units."""
+    """CTEs from ``fw`` (seq and the lists x0, x1, x2 of its window) to ``pr``: class probabilities of a recurrent model of two units."""
     m = fixed_model(2)
 
     def gate(row: int, step: int) -> str:
         terms = [f"({float(w)!r}::DOUBLE) * x{i}[{step}]" for i, w in enumerate(m.w_input[row])]
         return " + ".join([*terms, *(f"({float(w)!r}::DOUBLE) * h{i}" for i, w in enumerate(m.w_hidden[row])), f"({float(m.bias[row])!r}::DOUBLE)"])
 
-    out, before = [], "(SELECT *, 0.0::DOUBLE AS h0, 0.0::DOUBLE AS h1, 0.0::DOUBLE AS c0, 0.0::DOUBLE AS c1 FROM full)"
+    out, before = [], "(SELECT *, 0.0::DOUBLE AS h0, 0.0::DOUBLE AS h1, 0.0::DOUBLE AS c0, 0.0::DOUBLE AS c1 FROM fw)"
     for step in range(1, steps + 1):
         # Rows of the weights: input, forget, cell and output gates of both units.
         cells = ", ".join(f"c{u} / (1 + exp(-({gate(2 + u, step)}))) + tanh({gate(4 + u, step)}) / (1 + exp(-({gate(u, step)}))) AS n{u}, {gate(6 + u, step)} AS o{u}" for u in (0, 1))
@@ -309,7 +309,7 @@ SELECT seq, {scored}, uid AS "userId", rule AS "receivedRuleStatus", score AS "d
     parts = ", ".join(f"list(CASE WHEN empty THEN 0.0::DOUBLE ELSE {f} END) OVER w AS x{i}" for i, f in enumerate(("f0", "k / 100", "f2")))
     q["model_scored_samples"] = w + f""",
 wd AS (SELECT seq, {parts} FROM cnt WHERE ok WINDOW w AS (PARTITION BY sid ORDER BY ts, seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
-full AS (SELECT * FROM wd WHERE len(x0) = 10),
+fw AS (SELECT * FROM wd WHERE len(x0) = 10),
 {two_unit_model()}
 SELECT cnt.seq, sid AS "sessionId", CASE WHEN a IS NULL THEN {LABEL} WHEN a >= b AND a >= c_ THEN 'NORMAL' WHEN b >= c_ THEN 'WARNING' ELSE 'BAD' END AS "inferredStatus",
        CASE WHEN a IS NULL THEN 'rule-based-skeleton-v0' ELSE 'fixed-lstm' END AS model, CASE WHEN a IS NULL THEN CAST(least(10, cnt.c) AS INT) END AS "windowBuffered",
