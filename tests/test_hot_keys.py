@@ -125,3 +125,43 @@ def test_exact_percentiles(spark, n):
             assert got[k] == pytest.approx(want[k], rel=1e-12)
     only = marts.exact_percentiles(df.where("k is null"), [], "v", ps, 0).first().percentiles
     assert list(only) == pytest.approx(want[None], rel=1e-12)
+
+
+def test_one_key_in_twenty_thousand_parts(spark):
+    rng = random.Random(7)
+    data = [("hot", "W" if rng.random() < 0.5 else "N", i * 0.9) for i in range(40_000)] + [("cold", "W", 1.0)]
+    df = frame(spark, data)
+    x = E.judged(df)
+    split = plan_split(x, "session", ("us", "seq"), 2)
+    parts = split.assign(x).groupBy("session", "_part").count()
+    assert parts.where("session = 'hot'").agg(F.count("*"), F.max("count")).first() == (20_000, 2)
+    p = EpisodeParams(2, 2, 5, 30)
+    assert rows(E.sample_gaps(df, 2)) == rows(E.sample_gaps(df))
+    assert rows(E.label_runs(df, p, 2)) == rows(E.label_runs(df, p))
+
+
+def test_alerts_of_one_episode_over_many_parts(spark):
+    """An alert of every second sample, in 200 parts that each hold some, and with parts shorter than the interval."""
+    n = 40_000
+    df = frame(spark, [("s", "W", i) for i in range(n)] + [("t", "W", 0), ("t", "W", 2)])
+    for params, limit in ((EpisodeParams(1, 1, 2, 10**6), n // 200), (EpisodeParams(1, 1, 1500, 10**6), 400), (EpisodeParams(1, 1, 0, 10**6), 5000)):
+        got = E.episodes(df, params, rows_per_part=limit).where("sessionId = 's'").first()
+        want = fold_session([(BASE_MS + i * 1000, True, None) for i in range(n)], params, 0)[1][0]
+        assert (got.alertCount, int((got.lastAlertAt - got.startedAt).total_seconds())) == (want["alerts"], (want["last_alert"] - want["start"]) // 1000)
+
+
+def test_composed_tables_equal_the_walk():
+    from tidewatch.operators import alerts
+    import numpy as np
+    rng = random.Random(6)
+    for _ in range(400):
+        times = sorted(rng.sample(range(200), rng.randint(2, 60)))
+        interval = rng.choice([0, 1, 3, 10, 40, 150])
+        cut = rng.randint(1, len(times) - 1)
+        parts = [[np.asarray(c) for c in alerts._chain_table(np.asarray(t), interval)] for t in (times[:cut], times[cut:])]
+        starts, ends, counts = alerts._composed(*parts, interval)
+        for last in range(times[0] - interval - 3, times[0]):
+            found = alerts._walk(times, last, interval) if interval else [t for t in times if t >= last]
+            i = int(np.searchsorted(starts, last + interval))
+            assert (i < len(starts)) == bool(found)
+            assert not found or (ends[i], counts[i]) == (found[-1], len(found))

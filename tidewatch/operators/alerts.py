@@ -2,9 +2,11 @@
 
 Each alert moves the clock of the next, so the alerts of an episode are a fold over its bad samples
 in time order. An episode of an uncut session folds in one array inside the JVM. For a cut session
-the array holds one part of the episode; what a part needs is the last alert before it, which is
-passed from part to part through a small table: for every sample that could be a part's first alert,
-the last alert the part would then end with.
+the array holds one part of the episode; what a part needs is the last alert before it. Every part
+has a small table: for each sample that could be its first alert, the last alert the part would then
+end with. Two neighbouring tables compose to the table of both, so tables go up a binary tree over the
+parts, and the last alerts come down it: no task sees more than two tables of an episode at once, and
+the number of rounds is the logarithm of the number of parts.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.plans.ordered import PART
+from tidewatch.session import durable
 
 
 def later_bad() -> Column:
@@ -75,25 +78,10 @@ def _with_last_alert(spans: DataFrame, interval: int) -> DataFrame:
         return pd.DataFrame([_chain_table(np.asarray(t, dtype=np.int64), interval) for t in times],
                             columns=["starts", "ends", "counts"])
 
-    tables = cut.select("session", "e", PART, ends_with("bad_ms").alias("t"))
-
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(PART)
-        last, count, rows = pdf["confirm_ms"].iloc[0], 0, []
-        for part, t in zip(pdf[PART], pdf["t"]):
-            rows.append((part, last, count))
-            i = np.searchsorted(t["starts"], last + interval)
-            if i < len(t["starts"]):
-                last, count = t["ends"][i], count + t["counts"][i]
-        return pd.DataFrame(rows, columns=[PART, "alert_before_ms", "alerts_before"]).assign(
-            session=pdf["session"].iloc[0], us=pdf["us"].iloc[0], seq=pdf["n"].iloc[0])
-
-    # One group holds a row per part of one episode, each with at most one interval of candidates.
-    passed = tables.select("session", F.col("e.us").alias("us"), F.col("e.seq").alias("n"),
-                           F.col("e.confirm_ms").alias("confirm_ms"), PART, "t").groupBy(
-        "session", "us", "n").applyInPandas(
-        follow, f"session string, us bigint, seq bigint, {PART} int, "
-                "alert_before_ms bigint, alerts_before bigint")
+    named = cut.where(F.size("bad_ms") > 0).select(
+        "session", F.col("e.us").alias("us"), F.col("e.seq").alias("n"), F.col("e.confirm_ms").alias("confirm_ms"), PART, ends_with("bad_ms").alias("t"))
+    tables = durable(named.select("session", "us", "n", "confirm_ms", PART, "t.*"))
+    passed = _alerts_before(tables, interval).withColumnRenamed("n", "seq")
     joined = spans.withColumns({"us": F.col("e.us"), "seq": F.col("e.seq")}).join(
         passed, ["session", "us", "seq", PART], "left")
     return (joined.withColumn("alert_before_ms", F.coalesce("alert_before_ms", "e.confirm_ms"))
@@ -101,6 +89,58 @@ def _with_last_alert(spans: DataFrame, interval: int) -> DataFrame:
                   .drop("us", "seq"))
 
 
+EPISODE = ["session", "us", "n"]
+
+
+def _alerts_before(tables: DataFrame, interval: int) -> DataFrame:
+    """Of each part the last alert before it and how many re-alerts there were: session, us, n, part, alert_before_ms, alerts_before."""
+    up = F.shiftright(PART, 1).alias("_up")
+
+    def both(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(PART, ignore_index=True)
+        out = pdf.iloc[:1].assign(**{PART: pdf[PART].iloc[0] >> 1})
+        if len(pdf) == 2:
+            starts, ends, counts = _composed(*([np.asarray(pdf[c][i]) for c in ("starts", "ends", "counts")] for i in (0, 1)), interval)
+            out = out.assign(starts=[starts], ends=[ends], counts=[counts])
+        return out
+
+    levels, most = [tables], tables.agg(F.max(PART)).first()[0] or 0
+    for _ in range(most.bit_length()):
+        levels.append(durable(levels[-1].groupBy(*EPISODE, up).applyInPandas(both, tables.schema)))
+    known = levels[-1].select(*EPISODE, PART, F.col("confirm_ms").alias("alert_before_ms"), F.lit(0).cast("long").alias("alerts_before"))
+    schema = known.schema
+
+    def down(below: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+        below = below.sort_values(PART, ignore_index=True)
+        last, count = above["alert_before_ms"].iloc[0], above["alerts_before"].iloc[0]
+        out = below[[*EPISODE, PART]].assign(alert_before_ms=last, alerts_before=count)
+        if len(below) == 2:
+            i = np.searchsorted(below["starts"][0], last + interval)
+            if i < len(below["starts"][0]):
+                out.loc[1, ["alert_before_ms", "alerts_before"]] = below["ends"][0][i], count + below["counts"][0][i]
+        return out
+
+    for level in levels[-2::-1]:
+        known = durable(level.groupBy(*EPISODE, up).cogroup(known.groupBy(*EPISODE, PART)).applyInPandas(down, schema))
+    return known
+
+
+def _composed(a, b, interval: int):
+    """The table of two neighbouring stretches of an episode from their tables (starts, ends, counts).
+
+    A first alert in the earlier one leads to its last one, and from there the later one goes on. The later one's own first
+    alerts count where the earlier one is too short to hold a sample an interval after its beginning.
+    """
+    at = np.searchsorted(b[0], a[1] + interval)
+    on = at < len(b[0])
+    at = np.minimum(at, len(b[0]) - 1)
+    ends, counts = np.where(on, b[1][at], a[1]), a[2] + np.where(on, b[2][at], 0)
+    more = 0
+    if interval > 0 and a[0][-1] < a[0][0] + interval:
+        more = min(len(b[0]), int(np.searchsorted(b[0], a[0][0] + interval)) + 1)
+    return tuple(np.concatenate([x, y[:more]]).tolist() for x, y in zip((a[0], ends, counts), b, strict=True))
+
+
 def _chain_table(times: np.ndarray, interval: int):
     """For each possible first alert of a part: the last alert and how many the part then raises.
 

@@ -40,7 +40,7 @@ def _moments(samples: DataFrame, params: EpisodeParams, rows_per_part: int) -> D
     """
     pieces = ep.run_pieces(samples, params, rows_per_part)
     part = [PART] if pieces.split.hot else []
-    episode_type = "struct<us:bigint,seq:bigint,start_ms:bigint,confirm_ms:bigint,user:string>"
+    episode_type = pieces.df.schema["episode"].dataType
     before = F.when(~F.col("segment_start"), F.col("episode_before"))
     starts_run = (F.col("run.us") == F.col("first_us")) & (F.col("run.seq") == F.col("first_seq"))
     at_start = F.struct(

@@ -2,19 +2,20 @@
 
 A window partitioned by session puts a whole session into one task. That is the right plan while
 every session is of ordinary size, and the wrong one when a single key holds a large share of the
-table. ``plan_split`` counts rows per key once (a map-side combined count over the key column). When
-no key is larger than ``rows_per_part`` nothing changes: windows partition by the key alone and need
-one exchange. Otherwise each large key is cut into consecutive ranges of its order (*parts*), windows
-run per (key, part), and the little each part has to know about the earlier ones is carried over
-from a one-row-per-part summary.
-
-The cut points come from a hash sample of the large keys, so they only decide how evenly the work is
-spread; every row is kept and results do not depend on where the cuts fall.
+table. ``plan_split`` looks at the size of the largest key (a map-side combined count over the key column). When
+it is no larger than ``rows_per_part`` nothing changes: windows partition by the key alone and need
+one exchange. Otherwise the rows go through one range exchange on (key, order), which spreads every key over as many tasks
+as it needs, and get their position in their key by prefix sums over one row per task and key. Positions cut each large key
+into *parts* of exactly ``rows_per_part`` rows. Windows run per (key, part), and what a part has to know about the
+earlier ones is the last value of some column before it: an associative summary, one row per part, scanned over the parts.
+
+Nothing depends on where the range exchange cuts, and no list of cut points is sent to any row; results do not depend on
+where the parts end.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -24,7 +25,6 @@ from tidewatch.session import durable
 PART = "_part"
 
 ROWS_PER_PART = 2_000_000
-SAMPLES_PER_PART = 32
 BROADCAST_ROWS = 100_000   # rows of a written summary that a join may broadcast; others are shuffled
 
 
@@ -34,8 +34,7 @@ class Split:
 
     key: str
     order: tuple[str, ...]
-    bounds: DataFrame | None = field(default=None, compare=False)
-    most_cuts: int = 0
+    rows_per_part: int | None = None    # None: no key has to be cut
 
     def ordered_by(self, *order: str) -> Split:
         """The same parts for a frame derived from the first one, with order columns of its own."""
@@ -43,7 +42,7 @@ class Split:
 
     @property
     def hot(self) -> bool:
-        return self.bounds is not None
+        return self.rows_per_part is not None
 
     @property
     def keys(self) -> list[str]:
@@ -53,19 +52,24 @@ class Split:
         return Window.partitionBy(*self.keys).orderBy(*self.order)
 
     def assign(self, df: DataFrame) -> DataFrame:
-        """Add the part number of every row of a large key (null for all other keys)."""
+        """Add the part number of every row of a large key (null for all other keys); written once."""
         if not self.hot:
             return df
-        position = F.struct(*self.order)
-        steps = F.array(*[F.lit(1 << b) for b in range(self.most_cuts.bit_length() - 1, -1, -1)])
-        # Binary search: the number of cut points at or before this row.
-        part = F.aggregate(
-            steps, F.lit(0),
-            lambda found, step: F.when(
-                F.get("_bounds", found + step - 1) <= position, found + step).otherwise(found))
-        return (df.join(self.bounds, self.key, "left")
-                  .withColumn(PART, F.when(F.col("_bounds").isNotNull(), part))
-                  .drop("_bounds"))
+        order = [self.key, *self.order]
+        # After the sort the id counts the rows of a task from the task's number on.
+        rows = durable(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+        tasks = rows.groupBy(F.col(self.key).alias("_key"), F.shiftright("_id", 33).alias("_task")).agg(
+            F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_here"))
+        of_key = Window.partitionBy("_key")
+        before = F.sum("_here").over(of_key.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
+        tasks = tasks.withColumns({"_before": F.coalesce(before, F.lit(0).cast("long")), "_all": F.sum("_here").over(of_key)})
+        # One row per task of a large key.
+        large = durable(tasks.where(F.col("_all") > self.rows_per_part).drop("_here", "_all"))
+        same = F.col(self.key).eqNullSafe(F.col("_key")) & (F.shiftright("_id", 33) == F.col("_task"))
+        position = F.col("_before") + F.col("_id") - F.col("_first")
+        return (rows.join(checked(large), same, "left")
+                    .withColumn(PART, F.floor(position / self.rows_per_part).cast("int"))
+                    .drop("_id", "_key", "_task", "_first", "_before"))
 
     def last_before(self, df: DataFrame, out: str, value: Column, *,
                     inclusive: bool = False) -> DataFrame:
@@ -141,22 +145,9 @@ class Split:
 
 def plan_split(df: DataFrame, key: str, order: tuple[str, ...],
                rows_per_part: int = ROWS_PER_PART) -> Split:
-    """Measure the keys of ``df`` and decide whether any has to be cut."""
-    hot = durable(df.groupBy(key).count().where(F.col("count") > rows_per_part).select(key))
-    if hot.isEmpty():
-        return Split(key, order)
-    every = max(1, rows_per_part // SAMPLES_PER_PART)
-    sampled = (df.join(checked(hot), key)
-                 .where(F.pmod(F.xxhash64(key, *order), F.lit(every)) == 0)
-                 .select(key, F.struct(*order).alias("_at")).distinct())
-    w = Window.partitionBy(key).orderBy("_at")
-    cuts = durable(sampled.withColumn("_n", F.row_number().over(w))
-                          .where(F.col("_n") % SAMPLES_PER_PART == 0)
-                          .groupBy(key).agg(F.sort_array(F.collect_list("_at")).alias("_bounds")))
-    most, total = cuts.agg(F.max(F.size("_bounds")), F.sum(F.size("_bounds"))).first()
-    if not most:
-        return Split(key, order)
-    return Split(key, order, F.broadcast(cuts) if total <= BROADCAST_ROWS else cuts, most)
+    """Decide by the size of the largest key of ``df`` whether keys have to be cut."""
+    most = df.groupBy(key).count().agg(F.max("count")).first()[0]
+    return Split(key, order, rows_per_part if most and most > rows_per_part else None)
 
 
 def checked(df: DataFrame) -> DataFrame:
