@@ -118,15 +118,33 @@ def test_exact_percentiles(spark, n):
     ps = [0.5, 0.95, 0.99]
     cuts = statistics.quantiles(values, n=100, method="inclusive") if n > 1 else [values[0]] * 99
     want = {None: [cuts[49], cuts[94], cuts[98]], "b": [1.5, 1.95, 1.99]}
-    for limit in (10**9, 0):
-        got = {r.k: list(r.percentiles) for r in marts.exact_percentiles(df, ["k"], "v", ps, limit).collect()}
-        assert got.keys() == want.keys()
-        for k in want:
-            assert got[k] == pytest.approx(want[k], rel=1e-12)
-    only = marts.exact_percentiles(df.where("k is null"), [], "v", ps, 0).first().percentiles
+    got = {r.k: list(r.percentiles) for r in marts.exact_percentiles(df, ["k"], "v", ps).collect()}
+    assert got.keys() == want.keys()
+    for k in want:
+        assert got[k] == pytest.approx(want[k], rel=1e-12)
+    only = marts.exact_percentiles(df.where("k is null"), [], "v", ps).first().percentiles
     assert list(only) == pytest.approx(want[None], rel=1e-12)
 
 
+def test_percentiles_of_many_tasks_ties_and_small_groups(spark):
+    """A group over all tasks, one value that is half of it, groups of one row, and nulls."""
+    rng = random.Random(2)
+    values = [7.0] * 6000 + [round(rng.uniform(0, 14), 2) for _ in range(6000)]
+    data = [("hot", v) for v in values] + [(f"s{i}", float(i)) for i in range(300)] + [("none", None), ("hot", None)]
+    df = spark.createDataFrame(data, "k string, v double")
+    kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        got = {r.k: list(r.percentiles) for r in marts.exact_percentiles(df, ["k"], "v", [0.0, 0.1, 0.5, 0.999, 1.0]).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    import numpy as np
+    assert len(got) == 301 and all(got[f"s{i}"] == [float(i)] * 5 for i in range(300))
+    assert got["hot"] == pytest.approx(np.percentile(values, [0, 10, 50, 99.9, 100]).tolist(), rel=1e-12)
+
+
 def test_one_key_in_twenty_thousand_parts(spark):
     rng = random.Random(7)
     data = [("hot", "W" if rng.random() < 0.5 else "N", i * 0.9) for i in range(40_000)] + [("cold", "W", 1.0)]

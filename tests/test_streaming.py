@@ -12,7 +12,7 @@ from tidewatch.operators import scoring, sessions
 from tidewatch.schemas import EpisodeParams
 from tidewatch.sources import tables, topics
 from tidewatch.streaming.episodes_stream import outcome_stream
-from tidewatch.streaming.landing import land
+from tidewatch.streaming.landing import land, land_all, land_batch, landed, rejected
 from tidewatch.streaming.scoring_stream import score_stream
 
 
@@ -163,25 +163,66 @@ def test_sessions_table_by_batches(spark, tmp_path):
     assert state()[0] == want[0] and state()[2] == want[2]
 
 
-def test_a_batch_between_read_and_commit_is_not_lost(spark, tmp_path):
+def test_writers_side_by_side_late_batches_and_folds(spark, tmp_path):
     path = str(tmp_path / "sessions")
     one, two = tables.sessions_table(spark, path), tables.sessions_table(spark, path)
     tables.record_samples(one)(frame(spark, [("a", "N", 0)]), 0)
-    turns = []
-
-    def slow(old):
-        if not turns:    # another writer commits while this one works on the old snapshot
-            tables.record_samples(two, "other")(frame(spark, [("a", "N", 5), ("b", "N", 6)]), 0)
-        turns.append(1)
-        return sessions.upsert_sessions(old, frame(spark, [("a", "N", 9)]))
-
-    one.update("samples", 1, slow)
-    assert len(turns) == 2
-    assert {r.session_id: r.sample_count for r in one.read().collect()} == {"a": 3, "b": 1}
-    for i in range(2, 7):
+    tables.record_samples(two, "other")(frame(spark, [("a", "N", 5), ("b", "N", 6)]), 0)
+    tables.record_samples(one)(frame(spark, [("a", "N", 9)]), 1)
+
+    def counts():
+        return {r.session_id: (r.sample_count, sec(r.last_seen_at), r.status) for r in one.read().collect()}
+
+    assert counts() == {"a": (3, 9, "ACTIVE"), "b": (1, 6, "ACTIVE")}
+    assert one.fold("samples") == 1 and one.fold("nobody") is None
+    assert counts() == {"a": (3, 9, "ACTIVE"), "b": (1, 6, "ACTIVE")}
+    for i in range(2, 5):
         tables.record_samples(one)(frame(spark, [("a", "N", 10 + i)]), i)
-    assert one.read().where("session_id = 'a'").first().sample_count == 8
-    assert len(list((tmp_path / "sessions" / "snapshots").iterdir())) == 2
+    tables.record_expiry(two, two.read().where("session_id = 'b'"), 0)
+    tables.record_expiry(two, spark.createDataFrame([("ghost",)], "session_id string"), 1)
+    assert one.fold("samples") == 4 and one.fold("samples") == 4
+    tables.record_samples(one)(frame(spark, [("a", "N", 14)]), 4)    # retried after it has been folded
+    tables.record_samples(two, "other")(frame(spark, [("b", "N", 2)]), 1)    # an old sample that comes late
+    assert counts() == {"a": (6, 14, "ACTIVE"), "b": (2, 2, "ENDED")}
+
+
+def test_episode_batches_in_any_order(spark, tmp_path):
+    rows = [("s", "W", 0), ("s", "W", 4), ("s", "W", 70), ("s", "N", 71), ("s", "N", 75), ("t", "W", 0), ("t", "W", 5)]
+    log = E.episode_outcomes(frame(spark, rows)).cache()
+    want = sorted(map(str, sessions.last_outcomes(log).collect()))
+    assert log.count() == 4
+    parts = [log.where("type = 'EVENT_STARTED'"), log.where("type = 'RE_ALERT'"), log.where("type = 'EVENT_ENDED'")]
+    for k, order in enumerate(([0, 1, 2], [2, 0, 1], [1, 2, 0])):
+        table = tables.episodes_table(spark, str(tmp_path / f"e{k}"))
+        for i, part in enumerate(order):
+            tables.record_outcomes(table)(parts[part], i)
+            tables.record_outcomes(table)(parts[part], i)
+            table.fold("outcomes") if i == 1 else None
+        names = sessions.last_outcomes(log).columns
+        assert sorted(map(str, table.read().select(*names).collect())) == want
+    log.unpersist()
+
+
+def test_landing_keeps_rejects(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    good = {"sessionId": "s", "userId": "u", "capturedAt": "2026-01-02T00:00:00Z", "featureVector": [1], "deviationScore": 0.1, "ruleStatus": "NORMAL"}
+
+    def add(k, lines):
+        (tmp_path / "in" / f"{k}.txt").write_text("\n".join(lines))
+        os.utime(tmp_path / "in" / f"{k}.txt", (1_700_000_000 + k,) * 2)
+
+    def run():
+        stream = topics.read_message_files(spark, str(tmp_path / "in"), 1)
+        land_all(stream, str(tmp_path / "out"), str(tmp_path / "bad"), str(tmp_path / "checkpoint"), every=None).awaitTermination()
+        return landed(spark, str(tmp_path / "out")).count(), sorted(r.value for r in rejected(spark, str(tmp_path / "bad")).collect())
+
+    add(0, [json.dumps(good), "{broken", json.dumps(good)])
+    add(1, [json.dumps(good | {"capturedAt": None})])
+    assert run() == (3, ["{broken"])
+    add(2, ["[1]", json.dumps(good), "text"])
+    assert run() == (4, ["[1]", "text", "{broken"])    # after a restart
+    land_batch(str(tmp_path / "out"), str(tmp_path / "bad"))(spark.createDataFrame([("oops",), (json.dumps(good),)], "value string"), 2)
+    assert run() == (4, ["oops", "{broken"])    # a retried batch replaces its folders
 
 
 def test_expiry_is_strict_in_the_table(spark):

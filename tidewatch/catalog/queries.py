@@ -15,7 +15,7 @@ from tidewatch.operators import ingest, marts, pilot, scoring, sessions, state_v
 from tidewatch.session import scratch_path
 from tidewatch.sources import files, tables
 from tidewatch.streaming.episodes_stream import outcome_stream
-from tidewatch.streaming.landing import land
+from tidewatch.streaming.landing import land, land_all, landed, rejected
 from tidewatch.streaming.live import live_outcomes
 from tidewatch.streaming.scoring_stream import score_stream
 
@@ -499,6 +499,16 @@ def stream_parquet_sink(spark, sf):
         F.count("deviationScore").alias("scores"))
 
 
+@query
+def landing_rejects(spark, sf):
+    """Messages landed by one stream with two outputs: per day those that decode, and those that do not."""
+    path = scratch_path(spark, "rejects")
+    land_all(A.messages(stream_of_events(spark, sf)), path + "/rows", path + "/bad", path + "/checkpoint", every=None).awaitTermination()
+    good = landed(spark, path + "/rows").groupBy("eventDate").agg(F.count(F.lit(1)).alias("rows"))
+    bad = rejected(spark, path + "/bad").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(None).cast("date").alias("eventDate"), "rows")
+    return good.unionByName(bad)
+
+
 @query
 def episodes_stream(spark, sf):
     labelled = scoring.label_by_rule(stream_of_events(spark, sf))

@@ -2,86 +2,63 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import instants
 from tidewatch.operators import episodes as ep
-from tidewatch.plans.ordered import ROWS_PER_PART
+from tidewatch.plans.ordered import ROWS_PER_PART, checked
 from tidewatch.schemas import EpisodeParams
 from tidewatch.session import durable
 
-ACCURACY = 10_000
-BROADCAST_GROUPS = 10_000
-
 
-def exact_percentiles(df: DataFrame, keys: list[str], value: str, ps: list[float],
-                      group_rows: int = ROWS_PER_PART) -> DataFrame:
-    """``keys`` plus ``percentiles``: exact values with linear interpolation between neighbours.
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, ps: list[float]) -> DataFrame:
+    """``keys`` plus ``percentiles``: exact values with linear interpolation between neighbours; nulls do not count.
 
-    Groups of ordinary size use the built-in exact aggregate. When a group is larger than
-    ``group_rows`` a sketch brackets each percentile first, and only the values inside the brackets,
-    counted per distinct value, are ordered.
+    Distinct values with their counts go through one range exchange on (keys, value), so a large group is spread over as many
+    tasks as it needs and a frequent value is one row. Sums over one row per task and group tell which task holds each wanted
+    rank, and only there are values counted one by one. The same path serves groups of every size.
     """
-    df = df.where(F.col(value).isNotNull())
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    if sizes.where(F.col("n") > group_rows).isEmpty():
-        return df.groupBy(*keys).agg(F.percentile(value, F.array(*map(F.lit, ps))).alias("percentiles"))
-    return _bracketed(df, keys, value, ps)
-
-
-def _bracketed(df: DataFrame, keys: list[str], value: str, ps: list[float]) -> DataFrame:
-    slack = 3.0 / ACCURACY
-    low = F.percentile_approx(value, [max(0.0, p - slack) for p in ps], ACCURACY)
-    high = F.percentile_approx(value, [min(1.0, p + slack) for p in ps], ACCURACY)
-    stats = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min(value).alias("lo0"), F.max(value).alias("hi0"),
-        low.alias("low"), high.alias("high"))
-    # The sketch may be off by n / ACCURACY ranks; a group no larger than that is bracketed whole.
-    whole = F.col("n") <= ACCURACY
-    brackets = F.array(*[F.struct(
-        F.lit(i).alias("i"),
-        F.when(whole, F.col("lo0")).otherwise(F.col("low")[i]).alias("lo"),
-        F.when(whole, F.col("hi0")).otherwise(F.col("high")[i]).alias("hi"),
-        (F.lit(p) * (F.col("n") - 1)).alias("rank")) for i, p in enumerate(ps)])
-    stats = stats.select(*keys, brackets.alias("brackets"))
-    x = df.select(*keys, F.col(value).alias("v"))
-    if keys:
-        few = stats.limit(BROADCAST_GROUPS + 1).collect()
-        if len(few) <= BROADCAST_GROUPS:
-            stats = F.broadcast(df.sparkSession.createDataFrame(few, stats.schema))
-        same = [F.col(f"x.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
-        x = x.alias("x").join(stats.alias("s"), same).select(*[F.col(f"x.{k}") for k in keys], "v", "brackets")
-    else:
-        x = x.withColumn("brackets", stats.scalar())
-    x = x.select(*keys, "v", F.explode(F.filter("brackets", lambda b: F.col("v") <= b["hi"])).alias("b"))
-    # One row per distinct value inside a bracket; everything below it is one row with v null.
-    inside = F.when(F.col("v") >= F.col("b.lo"), F.col("v"))
-    counted = (x.groupBy(*keys, F.col("b.i").alias("i"), F.col("b.rank").alias("rank"), inside.alias("v"))
-                .agg(F.count(F.lit(1)).alias("c")))
-    w = Window.partitionBy(*keys, "i").orderBy(F.col("v").asc_nulls_first()).rowsBetween(
-        Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("upto", F.sum("c").over(w))
+    key = keys or ["_every"]
+    rows = df.where(F.col(value).isNotNull())
+    if not keys:
+        rows = rows.withColumn("_every", F.lit(0))
+    counted = rows.groupBy(*key, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    ordered = counted.repartitionByRange(*key, "_v").sortWithinPartitions(*key, "_v")
+    rows = durable(ordered.withColumn("_task", F.spark_partition_id()))
+    here = [F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]
+    own = [f"_k{i}" for i in range(len(key))]
+    of_group = Window.partitionBy(*own)
+    tasks = rows.groupBy(*here, F.col("_task").alias("_t")).agg(F.sum("_c").alias("_here"))
+    before = F.coalesce(F.sum("_here").over(of_group.orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    tasks = tasks.select(*own, "_t", "_here", before.alias("_before"), F.sum("_here").over(of_group).alias("_n"))
+    ranks = [F.lit(float(p)) * (F.col("_n") - 1) for p in ps]
+    wanted = [side(r) for r in ranks for side in (F.floor, F.ceil)]
+    inside = functools.reduce(operator.or_, ((w >= F.col("_before")) & (w < F.col("_before") + F.col("_here")) for w in wanted))
+    # At most two rows per percentile and group, each with the task that holds the rank.
+    tasks = durable(tasks.where(inside).drop("_here"))
+    same = functools.reduce(operator.and_, (F.col(k).eqNullSafe(F.col(o)) for k, o in zip(key, own, strict=True)), F.col("_task") == F.col("_t"))
+    near = rows.join(checked(tasks), same)
+    in_task = Window.partitionBy(*key, "_task").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    near = near.withColumn("_upto", F.col("_before") + F.sum("_c").over(in_task))
+
     def at(rank: Column) -> Column:
-        return F.min(F.when((F.col("upto") > rank) & F.col("v").isNotNull(), F.col("v")))
-    missed = F.max(F.when(F.col("v").isNull(), F.col("c"))) > F.first(F.floor("rank"))
-    found = ranked.groupBy(*keys, "i", "rank").agg(
-        at(F.floor("rank")).alias("a"), at(F.ceil("rank")).alias("b"), missed.alias("missed"))
-    part = F.col("rank") - F.floor("rank")
-    outside = F.coalesce("missed", F.lit(False)) | F.col("a").isNull() | F.col("b").isNull()
-    result = F.when(outside, F.raise_error(F.lit("percentile outside its bracket"))
-                    .cast("double")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * part)
-    entries = F.sort_array(F.collect_list(F.struct("i", result.alias("q"))))    # one per percentile
-    return found.groupBy(*keys).agg(F.transform(entries, lambda e: e["q"]).alias("percentiles"))
-
-
-def latency_summary(df: DataFrame, value: str, by: list[str], seconds: float | None = None,
-                    group_rows: int = ROWS_PER_PART) -> DataFrame:
+        return F.max(F.when((F.col("_upto") > rank) & (F.col("_upto") - F.col("_c") <= rank), F.col("_v")))
+
+    found = near.groupBy(*key).agg(F.max("_n").alias("_n"), *(at(w).alias(f"_w{i}") for i, w in enumerate(wanted)))
+    values = [F.col(f"_w{2 * i}") + (F.col(f"_w{2 * i + 1}") - F.col(f"_w{2 * i}")) * (r - F.floor(r)) for i, r in enumerate(ranks)]
+    return found.select(*keys, F.array(*values).alias("percentiles"))
+
+
+def latency_summary(df: DataFrame, value: str, by: list[str], seconds: float | None = None) -> DataFrame:
     """n, mean, p50, p95, p99 and maximum per group; with ``seconds`` also the rate per second."""
     basic = df.where(F.col(value).isNotNull()).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.max(value).alias("max"))
-    ps = exact_percentiles(df, by, value, [0.5, 0.95, 0.99], group_rows)
-    out = basic.join(ps, by) if by else basic.withColumn("percentiles", ps.scalar())
+    ps = exact_percentiles(df, by, value, [0.5, 0.95, 0.99])
+    out = _same_keys(basic, ps, by, "left") if by else basic.withColumn("percentiles", ps.scalar())
     out = out.select(*by, "n", "mean", *[F.col("percentiles")[i].alias(name) for i, name in
                                         enumerate(("p50", "p95", "p99"))], "max")
     return out if seconds is None else out.withColumn("perSecond", F.col("n") / F.lit(float(seconds)))
@@ -143,14 +120,9 @@ def period_stats(samples: DataFrame, params: EpisodeParams = EpisodeParams(), *,
     totals = [F.count(F.lit(1)).alias("n"), F.count("endedAt").alias("ended"),
               F.sum(F.unix_millis("endedAt") - F.unix_millis("startedAt")).alias("endedMs")]
     keys = ["userId", "periodStart"]
-    # An episode has at least two samples, so users of ordinary size have ordinary groups.
-    if rows.groupBy("user").count().where(F.col("count") > rows_per_part).isEmpty():
-        started = eps.groupBy(*keys).agg(*totals, F.median("durationSeconds").alias("median"))
-    else:
-        eps = durable(eps)
-        started = _same_keys(eps.groupBy(*keys).agg(*totals), exact_percentiles(
-            eps, keys, "durationSeconds", [0.5], rows_per_part), keys, "left").withColumn(
-            "median", F.col("percentiles")[0])
+    eps = durable(eps)
+    medians = exact_percentiles(eps, keys, "durationSeconds", [0.5])
+    started = _same_keys(eps.groupBy(*keys).agg(*totals), medians, keys, "left").withColumn("median", F.col("percentiles")[0])
     j = _same_keys(watched, started, keys, "full_outer").withColumns({
         "validMs": F.coalesce("validMs", F.lit(0).cast("long")), "n": F.coalesce("n", F.lit(0).cast("long"))})
     valid = F.col("validMs") / F.lit(1000.0)

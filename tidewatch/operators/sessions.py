@@ -8,18 +8,19 @@ from pyspark.sql import functions as F
 from tidewatch.schemas import ACTIVE, ENDED
 
 
-def sessions_rollup(samples: DataFrame) -> DataFrame:
+def sessions_rollup(samples: DataFrame, order: bool = False) -> DataFrame:
     """Sessions table of a set of samples: first time and user, last-arrived time, sample count.
 
     First and last go by arrival (``seq``), not by event time. Samples without a session or without
-    a time leave no trace.
+    a time leave no trace. With ``order`` also first_seq and last_seq, by which roll-ups can be put together.
     """
+    more = [F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")] if order else []
     return (samples.where(F.col("sessionId").isNotNull() & F.col("capturedAt").isNotNull())
             .groupBy(F.col("sessionId").alias("session_id"))
             .agg(F.min_by("userId", "seq").alias("user_id"),
                  F.min_by("capturedAt", "seq").alias("started_at"),
                  F.max_by("capturedAt", "seq").alias("last_seen_at"),
-                 F.count(F.lit(1)).alias("sample_count"))
+                 F.count(F.lit(1)).alias("sample_count"), *more)
             .withColumn("status", F.lit(ACTIVE)))
 
 
