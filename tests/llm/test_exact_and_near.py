@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from tests.llm.fixtures import awkward, clashing, frame, prose
-from tidewatch.llm import exact_dedup, near_dedup, substring_dedup
+from tidewatch.llm import exact_dedup, near_dedup, shingles, substring_dedup
 
 SPACE = re.compile("[\x20\x09-\x0d]")
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -105,15 +105,40 @@ def test_link_of_a_member_that_matches_no_pivot():
     sig = [row.astype("<u2").tobytes() + (100).to_bytes(4, "little") for row in copies]
     for node in range(40):
         batch = pa.RecordBatch.from_arrays([pa.array(np.full(122, node)), pa.array(np.arange(122)), pa.array(sig, pa.binary())], ["node", "c", "sig"])
-        first = pa.Table.from_batches(near_dedup.compare(iter([batch]), 80, split=True, last=False, seed=node)).to_pylist()
+        first = pa.Table.from_batches(near_dedup.compare(iter([batch]), 80, split=True, seed=node)).to_pylist()
         pairs = {(x["a"], x["b"]) for x in first if x["b"] is not None}
         members = sorted((x["node"], x["a"], x["sig"]) for x in first if x["b"] is None)
         # The links to the copies are likely ones that the whole sets do not confirm, so u and v stay alone.
         comp = [x[1] if x[1] in (u, v) else 0 for x in members]
-        again = pa.RecordBatch.from_arrays([*map(pa.array, zip(*members, strict=True)), pa.array(comp)], ["node", "c", "sig", "comp"])
-        for x in near_dedup.compare(iter([again]), 80, split=False, last=True, seed=1):
-            pairs |= {(a, b) for a, b, *_ in zip(*x.to_pydict().values(), strict=True)}
-        assert (u, v) in pairs, node
+        sets = [np.arange(1000 if x[1] in (u, v) else 0, 1100 if x[1] in (u, v) else 100, dtype=np.uint64).tobytes() for x in members]
+        for given in (sets, [None] * len(sets)):
+            again = pa.RecordBatch.from_arrays([*map(pa.array, zip(*members, strict=True)), pa.array(comp), pa.array(given, pa.binary())], ["node", "c", "sig", "comp", "set"])
+            last = [x for b in near_dedup.settle(iter([again]), 80) for x in b.to_pylist()]
+            links = {(x["a"], x["b"]) for x in last if x["sure"]}
+            assert links == ({(u, v)} if given is sets else set()), node
+            assert given is sets or (u, v) in pairs | {(x["a"], x["b"]) for x in last}, node
+
+
+def test_settled_links_equal_all_pairs():
+    """A node of sets around the threshold: the components that its links form are those of all similar pairs."""
+    r = np.random.default_rng(9)
+    base = r.integers(0, 1 << 60, 400, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[r.random(400) < keep], r.integers(0, 1 << 60, 30, dtype=np.uint64)])) for keep in r.uniform(0.8, 1.0, 90)]
+    starts = np.cumsum([0, *map(len, sets)])
+    sig = np.concatenate([shingles.signatures(np.concatenate(sets), starts), np.array([[len(x), 0] for x in sets], np.uint16)], axis=1)
+    comp = np.arange(90) // 3 * 3    # some are united already
+    sure, unsure = near_dedup.settled_node(sig, comp, pa.array([x.tobytes() for x in sets], pa.binary()), 80)
+    assert unsure == [] and 0 < len(sure) < 30
+    got, want = near_dedup.Forest(comp), near_dedup.Forest(comp)
+    for a, b in sure:
+        assert near_dedup.similar(sets[a], sets[b], 80)
+        got.join(a, b)
+    for a in range(90):
+        for b in range(a):
+            same = len(np.intersect1d(sets[a], sets[b]))
+            if comp[a] != comp[b] and 100 * same >= 80 * (len(sets[a]) + len(sets[b]) - same):
+                want.join(a, b)
+    assert [got.top(i) for i in range(90)] == [want.top(i) for i in range(90)]
 
 
 def test_near_filter_keeps_one_of_a_group(spark):

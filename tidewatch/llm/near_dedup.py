@@ -10,7 +10,8 @@
    that share a few pivots, so it has no largest size.
 4. Of a node only a spanning forest of likely links is given out (by the estimate of the minwise values, best first), never
    all pairs. Links are confirmed on the full sets, made again from both whole texts. Then components are formed, and what is
-   left to compare in a node are members of different components; those pairs are confirmed in a last round.
+   left to compare in a node are members of different components; in a last round these bring their full sets into the node,
+   where each likely pair is settled at once, and only links that unite components leave it.
 
 Members outside a dense node's largest component are compared with all its chunks, so no link is lost to chunking. A node over
 LEAF that does not part gives all its members to the later rounds, also those that match no pivot, and the last round compares
@@ -42,6 +43,8 @@ TREES, CHOICES, LEVELS = 4, 2, 4
 NODE, LEAF = 4096, 96
 PIVOTS = 16
 FOREST_ROUNDS = 2
+#: Sets up to this size go with their members into the last round (at most 128 MB in a node); pairs of larger ones are confirmed by a join.
+SET_BYTES = 1 << 15
 N = shingles.COORDINATES
 
 
@@ -208,17 +211,63 @@ def likely_forest(sig: np.ndarray, comp: np.ndarray, per_cent: int, seed: int) -
     return np.array(out, np.int64).reshape(-1, 2)
 
 
-def open_pairs(sig: np.ndarray, comp: np.ndarray, per_cent: int) -> Iterator[np.ndarray]:
-    """All likely links between members of different components, in parts; one member at least is outside the largest one."""
+def similar(a: np.ndarray, b: np.ndarray, per_cent: int) -> bool:
+    """Whether two sorted sets are similar."""
+    if min(len(a), len(b)) * 100 < per_cent * max(len(a), len(b)):
+        return False
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")    # merges the two runs
+    same = int((both[1:] == both[:-1]).sum())
+    return 100 * same >= per_cent * (len(both) - same)
+
+
+def settled_node(sig: np.ndarray, comp: np.ndarray, sets: pa.Array, per_cent: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Links between members of different components: those found on the full sets (a spanning forest of them), and the likely
+    pairs of members that came without their set. Every likely pair with a member outside the largest component is looked at,
+    unless links have united its two sides before."""
     names, counts = np.unique(comp, return_counts=True)
-    if len(names) < 2:
-        return
+    forest, sure, unsure = Forest(comp), [], []
+    known: dict[int, np.ndarray | None] = {}
+
+    def whole(i: int) -> np.ndarray | None:
+        if i not in known:
+            known[i] = np.frombuffer(sets[i].as_buffer(), np.uint64) if sets[i].is_valid else None
+        return known[i]
+
     rest = np.flatnonzero(comp != names[np.argmax(counts)])
     for start in range(0, len(rest), 256):
         part = rest[start:start + 256]
         est = matches(sig[part], sig, per_cent)
         i, j = np.nonzero((est >= least_matches(per_cent)) & (comp[part][:, None] != comp[None]))
-        yield np.stack([part[i], j], 1)
+        order = np.argsort(-est[i, j], kind="stable")
+        for u, v in zip(part[i[order]].tolist(), j[order].tolist(), strict=True):
+            if forest.top(u) == forest.top(v):
+                continue
+            x, y = whole(u), whole(v)
+            if x is None or y is None:
+                unsure.append((u, v))
+            elif similar(x, y, per_cent):
+                forest.join(u, v)
+                sure.append((u, v))
+    return sure, unsure
+
+
+SETTLED = "a long, b long, sure boolean"
+
+
+def settle(batches: Iterator[pa.RecordBatch], per_cent: int) -> Iterator[pa.RecordBatch]:
+    """The last round over members (node, c, sig, comp, set) of nodes: links (sure), and pairs still to be confirmed."""
+    for _, at, table in nodes_of(batches):
+        rows = table.slice(at[0], len(at))
+        own, first = np.unique(rows.column("c").to_numpy(), return_index=True)
+        comp = rows.column("comp").to_numpy()[first]
+        if (comp == comp[0]).all():
+            continue
+        found = settled_node(signature_rows(rows.column("sig"))[first], comp, rows.column("set").take(pa.array(first)), per_cent)
+        for pairs, sure in zip(found, (True, False), strict=True):
+            if pairs:
+                both = np.sort(own[np.array(pairs)], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array([sure] * len(both))], ["a", "b", "sure"])
 
 
 def small_nodes(node: int, sig: np.ndarray, at: np.ndarray, depth: int = 0) -> Iterator[np.ndarray]:
@@ -281,7 +330,7 @@ def member_rows(c: np.ndarray, node: int, sig: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c), pa.nulls(len(c), pa.int64()), pa.array(np.full(len(c), node)), pa.array([x.tobytes() for x in sig], pa.binary())], schema=_PAIRS)
 
 
-def compare(batches: Iterator[pa.RecordBatch], per_cent: int, split: bool, last: bool, seed: int) -> Iterator[pa.RecordBatch]:
+def compare(batches: Iterator[pa.RecordBatch], per_cent: int, split: bool, seed: int) -> Iterator[pa.RecordBatch]:
     """Likely links (a, b) of the nodes in a partition; with ``split`` also the members (a, node, sig) of nodes that may hold more."""
     held, n = [], 0
     for node, at, table in nodes_of(batches):
@@ -294,20 +343,19 @@ def compare(batches: Iterator[pa.RecordBatch], per_cent: int, split: bool, last:
         name, every = np.uint64(node % (1 << 64)), np.arange(len(at))
         for number, part in enumerate(small_nodes(name, sig, every) if split else [every]):
             part = part[np.unique(own[part], return_index=True)[1]]
-            found = open_pairs(sig[part], comp[part], per_cent) if last else [likely_forest(sig[part], comp[part], per_cent, seed)]
-            for pairs in found:
-                # A component of three may hold links that the forest leaves out; of a part compared only with pivots, any two members may.
-                if split and (len(part) > LEAF or len(pairs) > 1):
-                    more = part if len(part) > LEAF else part[np.unique(pairs)]
-                    inner = int(shingles.mix(np.array([name + np.uint64(number)], np.uint64)).view(np.int64)[0])
-                    yield member_rows(own[more], inner, sig[more])
-                if not len(pairs):
-                    continue
-                held.append(own[part][pairs])
-                n += len(pairs)
-                if n > 50_000:
-                    yield pair_rows(held)
-                    held, n = [], 0
+            pairs = likely_forest(sig[part], comp[part], per_cent, seed)
+            # A component of three may hold links that the forest leaves out; of a part compared only with pivots, any two members may.
+            if split and (len(part) > LEAF or len(pairs) > 1):
+                more = part if len(part) > LEAF else part[np.unique(pairs)]
+                inner = int(shingles.mix(np.array([name + np.uint64(number)], np.uint64)).view(np.int64)[0])
+                yield member_rows(own[more], inner, sig[more])
+            if not len(pairs):
+                continue
+            held.append(own[part][pairs])
+            n += len(pairs)
+            if n > 50_000:
+                yield pair_rows(held)
+                held, n = [], 0
     if held:
         yield pair_rows(held)
 
@@ -318,14 +366,30 @@ def dealt(members: DataFrame) -> DataFrame:
 
 # --- confirmation -----------------------------------------------------------------------------------
 
+def class_texts(named: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The whole text of the first document of the classes in ``named`` (c): c, text."""
+    wanted = durable(classes.join(named, "c").select("c", F.col("__id").alias("i"), F.col("__raw").alias("r")))
+    body = pick(docs, id=doc_id, text=text)
+    body = body.select(*row_key(F.col("id"), F.col("text")), "text")
+    return body.join(checked(wanted), F.col("__id").eqNullSafe(F.col("i")) & (F.col("__raw") == F.col("r"))).select("c", "text")
+
+
+def class_sets(named: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
+    """The full shingle set of each of these classes (c, set); null where it takes more than SET_BYTES. Written once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, most_bytes=4 << 20):
+            found = [x.tobytes() if x.nbytes <= SET_BYTES else None for x in shingles.sets(texts(batch), k)]
+            yield pa.RecordBatch.from_arrays([batch.column("c"), pa.array(found, pa.binary())], ["c", "set"])
+
+    # Rows that repeat a class's id and text have the same set.
+    return durable(class_texts(named, classes, docs, doc_id, text).dropDuplicates(["c"]).mapInArrow(run, "c long, set binary"))
+
+
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, per_cent: int) -> DataFrame:
     """The pairs (a, b) of classes whose full shingle sets are similar, each set made from the whole text of one document."""
     pairs = durable(pairs.distinct())
     ends = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
-    wanted = durable(classes.join(ends, "c").select("c", F.col("__id").alias("i"), F.col("__raw").alias("r")))
-    body = pick(docs, id=doc_id, text=text)
-    body = body.select(*row_key(F.col("id"), F.col("text")), "text")
-    body = body.join(checked(wanted), F.col("__id").eqNullSafe(F.col("i")) & (F.col("__raw") == F.col("r"))).select("c", "text")
+    body = class_texts(ends, classes, docs, doc_id, text)
     both = pairs.join(body.select(F.col("c").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(body.select(F.col("c").alias("b"), F.col("text").alias("text_b")), "b")
 
@@ -351,7 +415,7 @@ def links(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, k: int, p
     if dense is not None:  # round 1: the chunks of a dense node share a few pivots
         pivots = dense.groupBy("node", F.pmod(F.xxhash64("c"), F.lit(PIVOTS))).agg(F.min("c").alias("c")).select("node", "c")
         members = members.unionByName(chunked(dense, pivots))
-    first = durable(dealt(members).mapInArrow(partial(compare, per_cent=per_cent, split=True, last=False, seed=0), PAIRS))
+    first = durable(dealt(members).mapInArrow(partial(compare, per_cent=per_cent, split=True, seed=0), PAIRS))
     tried = first.filter("b is not null").select("a", "b")
     found = confirmed(tried, classes, docs, doc_id, text, k, per_cent)
     rest = first.filter("b is null").select("node", F.col("a").alias("c"), "sig")
@@ -367,12 +431,20 @@ def links(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, k: int, p
             outside = own.join(main, "node").filter("comp <> main").select("node", "c")
             parts = chunked(own, outside).join(own.select("c", "comp").distinct(), "c").select("node", "c", "sig", "comp")
             members = members.unionByName(parts)
-        last = turn == FOREST_ROUNDS
-        more = durable(dealt(members).mapInArrow(partial(compare, per_cent=per_cent, split=False, last=last, seed=turn), PAIRS).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-        if more.isEmpty():
+        if turn < FOREST_ROUNDS:
+            more = dealt(members).mapInArrow(partial(compare, per_cent=per_cent, split=False, seed=turn), PAIRS).select("a", "b").distinct()
+            more, sure = durable(more.join(tried, ["a", "b"], "left_anti")), None
+        else:
+            # What is left is settled where the members meet, on their full sets, so no list of pairs is made.
+            members = durable(members)
+            sets = class_sets(members.select("c").distinct(), classes, docs, doc_id, text, k)
+            last = durable(dealt(members.join(sets, "c")).mapInArrow(partial(settle, per_cent=per_cent), SETTLED))
+            more, sure = durable(last.filter("not sure").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")), last.filter("sure").select("a", "b").distinct()
+        if more.isEmpty() and (sure is None or sure.isEmpty()):
             continue
         tried = tried.unionByName(more)
         new = confirmed(more, classes, docs, doc_id, text, k, per_cent)
+        new = new if sure is None else new.unionByName(sure)
         found = found.unionByName(new)
         # What is known of components stands for the links that formed them.
         comps = components(comps.select(F.col("c").alias("a"), F.col("root").alias("b")).unionByName(new))
