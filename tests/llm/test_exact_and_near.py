@@ -161,23 +161,62 @@ def test_repeated_passages_are_found_whatever_stands_before(spark):
     assert {s.id for s in spans if not s.removed} == {1}
 
 
+def plain_spans(rows, raws, min_chars=80):
+    """(id, start, end, n_chars, first_id, removed) of each document by counting chunks of bytes."""
+    docs = sorted({(doc_id is None, doc_id or 0, raws[text], doc_id, text) for doc_id, text in rows if text}, key=lambda x: x[:3])
+    places = defaultdict(list)
+    for k, (*_, text) in enumerate(docs):
+        raw = text.encode()
+        ends = substring_dedup.cuts(np.frombuffer(raw, np.uint8)).tolist()
+        for a, b in zip([0, *ends], ends, strict=False):
+            places[raw[a:b]].append((k, len(raw[:a].decode()), len(raw[:b].decode())))
+    hits = defaultdict(list)
+    for found in places.values():
+        if len(found) > 1:    # the first document keeps it, at its first place
+            seen = set()
+            for k, a, b in found:
+                hits[k].append((a, b, docs[found[0][0]][3], k != found[0][0] or k in seen))
+                seen.add(k)
+    out = []
+    for k, own in hits.items():
+        runs = []
+        for hit in sorted(own):
+            if runs and runs[-1][-1][1] == hit[0]:
+                runs[-1].append(hit)
+            else:
+                runs.append([hit])
+        for run in runs:
+            start, end = run[0][0], run[-1][1]
+            if end - start >= min_chars:
+                firsts = [x[2] for x in run if x[2] is not None]
+                out.append((docs[k][3], start, end, end - start, min(firsts) if firsts else None, 2 * sum(b - a for a, b, _, gone in run if gone) > end - start))
+    return sorted(out, key=repr)
+
+
 def test_spans_equal_a_plain_count(spark):
-    import numpy as np
-    seen = defaultdict(list)
-    pieces = {}
-    for doc_id, text, *_ in awkward():
-        raw = (text or "").encode()
-        ends = substring_dedup.cuts(np.frombuffer(raw, np.uint8)).tolist() if raw else []
-        pieces.setdefault(doc_id, []).append([raw[a:b] for a, b in zip([0, *ends], ends, strict=False)])
-        for c in pieces[doc_id][-1]:
-            seen[c].append(doc_id)
-        assert b"".join(pieces[doc_id][-1]) == raw
-    spans = substring_dedup.repeated_spans(frame(spark)).collect()
-    found = {s.id for s in spans}
-    assert {1, 2, 14, 15} <= found and not found & {5, 6, 7, 8}
-    whole = [s for s in spans if s.id == 14]
-    assert sum(s.n_chars for s in whole) == len(prose(5, 200)) and not any(s.removed for s in whole)
-    assert all(s.removed for s in spans if s.id == 15)
+    from pyspark.sql import functions as F
+    shared = prose(91, 60)
+    rows = [r[:2] for r in awkward()]
+    rows += [(7, f"{prose(i, 20)} {shared} {prose(i + 50, 15)} é{shared}") for i in (200, 201)] + [(None, f"{shared} {prose(5, 200)}"), (None, prose(5, 200)), (None, None), (7, None)]
+    rows += [(300, prose(92, 300))] * 3 + [(301, prose(93, 40) + prose(92, 300))] + [(302, prose(94, 200))] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    raws = {r.text: r.raw for r in df.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("raw")).collect()}
+    want = plain_spans(rows, raws)
+    got = sorted((tuple(r) for r in substring_dedup.repeated_spans(df).drop("raw").collect()), key=repr)
+    assert len(want) > 10 and got == want
+    assert not any(r[0] == 302 for r in got)    # a row given twice is no repeat of itself
+
+
+def test_cut_text_of_repeated_and_missing_ids(spark):
+    unique, passage = prose(95, 200), prose(96, 150)
+    rows = [(1, passage), (7, unique), (7, passage), (7, None), (None, passage), (None, unique[::-1]), (2, ""), (2, "")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, __cut string")
+    out = substring_dedup.without_repeats(df)
+    assert out.columns == df.columns
+    texts = Counter((r[0], r[1]) for r in out.collect())
+    assert texts[1, passage] == texts[7, unique] == texts[None, unique[::-1]] == texts[7, None] == 1 and texts[2, ""] == 2
+    assert sum(len(t or "") for _, t in texts.elements()) < sum(len(t or "") for _, t in rows) - 1.5 * len(passage)
+    assert substring_dedup.without_repeats(spark.createDataFrame([], df.schema)).count() == 0
 
 
 def test_cut_text(spark):
