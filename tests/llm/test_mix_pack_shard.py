@@ -73,6 +73,17 @@ def test_mixed_documents_are_whole(spark):
     assert mixing.mixed_documents(frame(spark, [])).count() == 0
 
 
+def test_mixed_documents_keep_their_source(spark):
+    """One id and text in two sources of different targets: each source gives its own row as often as its own target takes it."""
+    rows = [(1, prose(1, 50), "en", "a", 1), (1, prose(1, 50), "en", "b", 1), (2, prose(2, 50), "en", None, 1), (2, prose(2, 50), "en", "b", 1), (3, prose(3, 50), "en", "b", 1)]
+    df = frame(spark, [r[:5] if len(r) == 5 else r for r in rows])
+    taken = Counter()
+    for x in mixing.mix(df, cut="whole").collect():
+        taken[x["__id"], x["__source"]] += x.taken // x.size
+    got = Counter((r.doc_id, r.source) for r in mixing.mixed_documents(df).collect())
+    assert got == Counter({k: n for k, n in taken.items() if n}) and got[1, "a"] == 2
+
+
 @pytest.fixture(scope="module")
 def path():
     return tokens.vocabulary_path(packing.VOCABULARY)

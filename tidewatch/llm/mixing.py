@@ -59,7 +59,7 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = WEIGHTS,
         share: float = SHARE, most_epochs: int = MOST_EPOCHS, cut: str = "exact", rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
-    """One row per document: __id, __raw (hash of the text), size, source_size, target, taken (words, repeats counted)."""
+    """One row per document: __id, __raw (hash of the text), __source, size, source_size, target, taken (words, repeats counted)."""
     body = pick(docs, id=doc_id, text=text, source=source)
     rows = body.select(F.col("id").alias("__id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__raw"), "source", n_words(F.col("text")).alias("size"),
                        F.md5(F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit(""))))).alias("key"))
@@ -90,25 +90,27 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         more = F.when(2 * left >= F.col("size"), F.col("size")).otherwise(F.lit(0))
     else:
         raise ValueError(f"cut must be exact or whole, not {cut!r}")
-    return rows.select("__id", "__raw", "size", "source_size", "target", (epochs * F.col("size") + more).cast("long").alias("taken"))
+    return rows.select("__id", "__raw", F.when(~F.col("no_s"), F.col("s")).alias("__source"), "size", "source_size", "target", (epochs * F.col("size") + more).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """The mix itself: each document as many times as it is taken (0, 1, 2, ...), whole, with all its columns."""
     taken = mix(docs, doc_id, text, source, cut="whole", **how).filter("size > 0")
-    times = taken.select(F.col("__id").alias("__mix_id"), F.col("__raw").alias("__mix_raw"), (F.col("taken") / F.col("size")).cast("int").alias("__times"))
+    times = taken.select(F.col("__id").alias("__mix_id"), F.col("__raw").alias("__mix_raw"), F.col("__source").alias("__mix_source"), (F.col("taken") / F.col("size")).cast("int").alias("__times"))
     names = docs.columns
     inner = [f"__c{i}" for i in range(len(names))]
     body = docs.toDF(*inner)
-    i, t = inner[names.index(doc_id)], inner[names.index(text)]
-    # Rows that repeat id and text share a key: their counts are added up and dealt out evenly over them.
-    times = times.groupBy("__mix_id", "__mix_raw").agg(F.sum("__times").alias("__times"), F.count(F.lit(1)).alias("__rows"))
+    i, t, o = inner[names.index(doc_id)], inner[names.index(text)], inner[names.index(source)]
+    # Rows that repeat id, text and source share a key: their counts are added up and given to one of them.
+    named = ["__mix_id", "__mix_raw", "__mix_source"]
+    times = times.groupBy(*named).agg(F.sum("__times").alias("__times"), F.count(F.lit(1)).alias("__rows"))
     times = durable(times.filter("__times > 0"))
     plain, rare = times.filter("__rows = 1"), times.filter("__rows > 1")
-    key = F.col(i).eqNullSafe(F.col("__mix_id")) & (F.xxhash64(F.coalesce(F.col(t), F.lit(""))) == F.col("__mix_raw"))
+    key = (F.col(i).eqNullSafe(F.col("__mix_id")) & (F.xxhash64(F.coalesce(F.col(t), F.lit(""))) == F.col("__mix_raw"))
+           & F.col(o).eqNullSafe(F.col("__mix_source")))
     if times.count() <= BROADCAST_ROWS:
         plain = F.broadcast(plain)
     out = body.join(plain, key).select(*inner, "__times")
     if not rare.isEmpty():
-        out = out.unionByName(body.join(rare, key).dropDuplicates(["__mix_id", "__mix_raw"]).select(*inner, "__times"))
+        out = out.unionByName(body.join(rare, key).dropDuplicates(named).select(*inner, "__times"))
     return out.withColumn("__n", F.explode(F.array_repeat(F.lit(1), F.col("__times").cast("int")))).select(*inner).toDF(*names)
