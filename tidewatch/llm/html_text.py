@@ -5,7 +5,9 @@ headers, footers, sidebars, notices, adverts, forms and reader comments are bad,
 long blocks are good when enough of their words are stop words, and bad when too few are; blocks of middling length or density
 are near-good; short blocks stay open. Stop words are those of English, German, French and Spanish: a page whose longer blocks hold
 few of them is taken to be in another language, and its blocks are judged by length and links alone. If a page
-marks its article (<article> or <main>), blocks outside it are bad, and long blocks inside need no stop words. Pass two
+marks its article (<article> or <main>), blocks outside it are bad, and long blocks inside need no stop words. What holds the
+first <main>, or else the first <article>, is never bad, nor is a form, or an element with a bad word in a compound name, that holds
+more than half of the page's text. On a page without good or near-good blocks the open ones that are no headings are good. Pass two
 makes near-good blocks bad between two bad ones, but keeps them all on a page without a good block, and then
 gives each open block the label of the nearest decided block (a heading: of the next one); in a marked article without a
 decided block the open ones are good.
@@ -27,7 +29,7 @@ from tidewatch.llm.common import pick, small_batches
 
 # Element names of HTML by their role on a page.
 RAW = "script style noscript template textarea title iframe"
-BAD_TAGS = frozenset("nav footer aside form menu dialog button fieldset select svg math object canvas audio video".split())
+BAD_TAGS = frozenset("nav footer aside form menu dialog button fieldset select svg object canvas audio video".split())
 CONTAINERS = BAD_TAGS | frozenset("div section article main header hgroup ul ol dl table figure details center body".split())
 BREAKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th caption thead tbody tfoot blockquote pre address figcaption summary hr html option legend".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -74,10 +76,46 @@ class Block:
         self.label, self.near, self.text = None, False, ""
 
 
-def marked_bad(attrs: str) -> bool:
+def marked_bad(attrs: str) -> tuple[bool, bool]:
+    """Whether the attributes mark what is not the article: hidden or by a name of its own, and by a part of a compound name."""
     if "=" not in attrs and "hidden" not in attrs:
-        return False
-    return bool(_HIDDEN.search(attrs)) or any(part in BAD_NAMES for m in _MARKS.finditer(attrs) for part in _PARTS.split((m[1] or m[2] or m[3] or "").lower()))
+        return False, False
+    names = {name for m in _MARKS.finditer(attrs) for name in (m[1] or m[2] or m[3] or "").lower().split()}
+    whole = bool(_HIDDEN.search(attrs)) or not names.isdisjoint(BAD_NAMES)
+    return whole, not whole and any(part in BAD_NAMES for name in names for part in _PARTS.split(name))
+
+
+def wrappers(found: list[re.Match], page: str) -> tuple[set[int], set[int]]:
+    """Places in ``found`` of the containers that hold the main article's beginning, and of those that hold most of the text."""
+    open_, sizes, holds, most, total, at = [], {}, set(), set(), 0, 0
+    wanted = "main" if any(m["name"] and not m["end"] and m["name"].lower() == "main" for m in found) else "article"
+    seen = False
+
+    def close(first: int) -> None:
+        for place, _, before, _ in open_[first:]:
+            sizes[place] = total - before
+        del open_[first:]
+
+    for i, m in enumerate(found):
+        total += len(page[at:m.start()].strip())
+        at = m.end()
+        name = (m["name"] or "").lower()
+        if name not in CONTAINERS:
+            continue
+        if m["end"]:
+            at_open = next((k for k in range(len(open_) - 1, -1, -1) if open_[k][1] == name), None)
+            if at_open is not None:
+                close(at_open)
+            continue
+        whole = marked_bad(m["attrs"])[0] or name in ("aside", "footer", "menu")
+        # An article inside an element that is bad by its own name (a reader's comment, a teaser) is not the page's.
+        if name == wanted and not seen and (name == "main" or not (whole or any(x[3] for x in open_))):
+            seen = True
+            holds = {x[0] for x in open_}
+        open_.append((i, name, total, whole))
+    total += len(page[at:].strip())
+    close(0)
+    return holds, {place for place, size in sizes.items() if 2 * size > total}
 
 
 def blocks(page: str) -> Iterator[Block]:
@@ -92,7 +130,9 @@ def blocks(page: str) -> Iterator[Block]:
         done.text = " ".join(html.unescape("".join(done.pieces)).split())
         return done if done.text else None
 
-    for m in _TOKEN.finditer(page):
+    found = list(_TOKEN.finditer(page))
+    holds, most = wrappers(found, page)
+    for i, m in enumerate(found):
         if m.start() > at:
             piece = page[at:m.start()]
             block.pieces.append(piece)
@@ -119,11 +159,13 @@ def blocks(page: str) -> Iterator[Block]:
                     del open_tags[at_open:]
             else:
                 inside = main or name in ("article", "main")
-                own = name in BAD_TAGS or (name == "header" and not main) or (name not in ("body", "article", "main") and marked_bad(m["attrs"]))
+                whole, part = marked_bad(m["attrs"]) if name not in ("body", "article", "main") else (False, False)
+                part = (part or name == "form") and i not in most
+                own = i not in holds and (whole or part or (name in BAD_TAGS and name != "form") or (name == "header" and not main))
                 open_tags.append((name, bad or own, inside))
             _, bad, main = open_tags[-1] if open_tags else ("", False, False)
             linked = False
-        own = bad or (name not in CONTAINERS and not m["end"] and marked_bad(m["attrs"]))
+        own = bad or (name not in CONTAINERS and not m["end"] and any(marked_bad(m["attrs"])))
         if done := cut(own, name in HEADINGS and not m["end"]):
             yield done
     if at < len(page):
@@ -203,6 +245,9 @@ def main_text(page: str | None) -> str:
     for b in found:
         decide(b, marked, by_words)
     settle(found)
+    if not marked and not any(b.label for b in found):
+        for b in found:
+            b.label = True if b.label is None and not b.heading else b.label
     inherit(found, marked)
     return " ".join(b.text for b in found if b.text and b.label is not False)
 
