@@ -19,7 +19,7 @@ LONG = "The cat sat on the mat and the dog was in the house with all of its frie
 
 
 @pytest.mark.parametrize("page, want", [
-    (None, ""), ("", ""), ("plain &amp; short", ""),
+    (None, ""), ("", ""), ("plain &amp; short", "plain & short"),
     (f"<nav><a href=x>Home</a></nav><article><h1>Title</h1><p>{LONG}<p>Short.</article><footer>&copy; x</footer>", f"Title {LONG} Short."),
     (f"<article><p>{LONG}</p><div class='ad'>Buy</div><ul class=\"share-links\"><li>Tweet</ul><section id=comments><p>{LONG} No!</p></section></article>", LONG),
     (f"<article><p>a&lt;b&#233; {LONG}<br>x<script>var a='</p><p>no</p>'</script></p><!-- <p>no</p> --></article>", f"a<bé {LONG} x"),
@@ -46,6 +46,44 @@ def test_main_text_of_unmarked_pages(paragraph):
         assert text == f"Title {paragraph.strip()} {paragraph.strip()} Short."
 
 
+ARTICLE = " ".join(f"<p>{LONG}</p>" for _ in range(5))
+
+
+@pytest.mark.parametrize("page", [
+    *(f"<body><nav><a href=x>Home</a></nav><div class='{name}'>{{}}</div></body>" for name in
+      ("wrap has-sidebar", "container no-sidebar", "layout-with-nav", "post social-share-enabled", "page nav-open cookie-bar-shown")),
+    "<section class='form-wide'>{}</section>", "<form id=aspnetForm action=x><div>{}</div></form>", "<nav><a href=x>Home</a><li>More{}"])
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_wrappers_do_not_spoil_the_article(page, tag):
+    if tag == "div" and page.startswith("<nav>"):
+        return    # nothing says where the menu ends
+    body = f"<{tag}>{ARTICLE}</{tag}><div class=comments><p>{LONG} No!</p></div><div class='share-links'>Tweet</div>"
+    assert html_text.main_text(page.format(body)) == " ".join([LONG] * 5)
+
+
+def test_generated_pages(spark):
+    """Articles of known text between known chrome, with marked and unmarked articles and wrapped in odd names."""
+    r = random.Random(12)
+    rows, want = [], {}
+    for i in range(120):
+        paragraphs = [" ".join([LONG] * r.randint(1, 3)) + f" {i}." for _ in range(r.randint(2, 6))]
+        tag = r.choice(["article", "main", "div class=post", "div class='entry no-sidebar'"])
+        inner = "".join(f"<p>{p}</p>" for p in paragraphs)
+        extra = [f"<aside><p>{LONG} Aside.</p></aside>", f"<div id=comments><article><p>{LONG} Comment.</p></article></div>", "<div class='newsletter-box'><p>Join us</p></div>",
+                 f"<footer><p>{LONG} Footer.</p></footer>", f"<div class='cookie-banner'>{LONG}</div>", "<form><label>Name</label><input></form>"]
+        after = "".join(r.sample(extra, r.randint(0, 4)))
+        wrap = r.choice(["", "wrapper has-nav", "site with-ads"])
+        rows.append((i, f"u{i}", f"<html><body><header><a href=/>Site</a></header><nav><a href=x>A</a><a href=y>B</a></nav><div class='{wrap}'><{tag}>{inner}</{tag.split()[0]}>{after}</div></body></html>"))
+        want[i] = " ".join(paragraphs)
+    got = {x.page_id: x.text for x in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+def test_formulas_stay_in_their_paragraph():
+    page = f"<article><p>{LONG} Here <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p></article>"
+    assert html_text.main_text(page) == f"{LONG} Here x=1 holds."
+
+
 def test_near_good_blocks_between_bad_ones_are_dropped():
     page = f"<p>{LONG} {LONG}</p><p>{LONG}</p><div class=ad>x</div><p>{LONG} No!</p><div class=ad>y</div>"
     assert html_text.main_text(page) == f"{LONG} {LONG} {LONG}"
@@ -210,3 +248,15 @@ def test_licenses_by_other_wrapping_wording_and_longer_texts(spark):
     got = {r["__id"]: (r.license, r.notices) for r in licenses.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
     for i, _, name, notices in rows:
         assert got[i][0] == name and notices in (None, got[i][1]), (i, got[i])
+
+
+def test_labels_of_other_scripts_do_not_choose_the_band():
+    pieces = quality.tokens.piece_words(quality.tokens.vocabulary_path(quality.VOCABULARY))
+    r = random.Random(3)
+    junk = [" ".join("".join(r.choices(string.ascii_lowercase, k=8)) for _ in range(80)), base64.b64encode(r.randbytes(900)).decode().replace("A", " "),
+            " ".join("".join(r.choices(string.punctuation, k=6)) for _ in range(80))]
+    for text in junk:
+        assert {quality.judge([text], [lang], pieces)[0][6] for lang in (None, "en", "other", "han", "cyrillic", "xx")} == {False}
+    russian = "Когда комитет снова собрался весной, большинство его членов уже решили, что старый мост придётся заменить. " * 2
+    assert {quality.judge([russian + str(i)], [lang], pieces)[0][-1] for i, lang in enumerate(("en", "ru", None))} == {"cyrillic"}
+    assert quality.judge([LONG], ["fr"], pieces)[0][-1] == "fr"

@@ -2,7 +2,8 @@
 
 A public SentencePiece vocabulary with byte fallback is held against each text: characters per token, the share of tokens
 that are single fallback bytes, and the entropy of the token distribution in bits. Each language (or, where the language has
-no band of its own, the script that most letters belong to) has a band for the three; a text outside is rejected. Short
+no band of its own, or the text is not in its script, the script that most letters belong to) has a band for the three; a text
+outside is rejected. A label that is no known language says nothing. Short
 texts are not judged by entropy, which a few tokens cannot reach.
 
 The base counts are exact and of the whole text. A null or empty text has no words and fails. Each row is judged alone, so
@@ -45,11 +46,13 @@ class Band(NamedTuple):
 #: common prose (en 4.1, de, fr, es, it 2.6 to 2.7, ru, uk 2.1, vi 1.1, zh, ja, ko 0.7 to 0.8; bytes at most 0.19, am 0.84).
 #: Words of random letters have 1.44 to 1.74 characters per token (1.60 at most from 40 words on), consonants up to 1.53, base64 1.27,
 #: punctuation 1.42 and random Cyrillic 1.12; the floors of these scripts lie between them and prose.
-BANDS = {
+LANGUAGES = {
     "en": Band(1.75, 6.0, 0.05, 4.0, 11.0),
     "de": Band(1.75, 5.0, 0.05, 4.0, 11.0),
     "fr": Band(1.65, 5.0, 0.05, 4.0, 11.0),
     "es": Band(1.59, 5.0, 0.05, 4.0, 11.0),
+}
+SCRIPTS = {
     "latin": Band(1.65, 6.0, 0.10, 4.0, 11.5),
     "accented": Band(0.90, 5.0, 0.20, 3.5, 11.5),
     "greek": Band(0.6, 4.0, 0.15, 3.0, 11.5),
@@ -57,6 +60,7 @@ BANDS = {
     "han": Band(0.4, 3.0, 0.50, 3.5, 12.0),
     "other": Band(0.3, 5.0, 0.90, 3.0, 12.0),
 }
+LATIN = ("latin", "accented")  # the scripts that the languages above are written in
 ACCENTED = 10  # per cent of a text's Latin letters, from which on it is written in syllables of its own (Vietnamese, Yoruba)
 # First code points of Unicode ranges, with the script of what follows.
 SCRIPT_STARTS = ((0x00, "other"), (0x41, "latin"), (0x5B, "other"), (0x61, "latin"), (0x7B, "other"), (0xC0, "latin"), (0x250, "other"),
@@ -130,8 +134,10 @@ def judge(texts: list[str], langs: list[str | None], pieces: tokens.PieceWords)
     for text, lang, first, last, repeated in zip(texts, langs, words.offsets[:-1].tolist(), words.offsets[1:].tolist(), repeated_words(words).tolist(), strict=True):
         n, word_chars = last - first, len(text) - sum(map(text.count, _SPACES))
         failed = n < MIN_WORDS or 100 * repeated > MAX_REPEATED * n
-        name = lang if lang in BANDS else script(text)
-        band = BANDS[name]
+        name = script(text)
+        if lang in LANGUAGES and name in LATIN:
+            name = lang
+        band = LANGUAGES.get(name) or SCRIPTS[name]
         own = ids[ends[first]:ends[last]]
         chars, share, entropy = fertility(own, word_chars, pieces.byte_ids)
         inside = (band.least_chars_per_token <= chars <= band.most_chars_per_token and share <= band.most_byte_share and entropy <= band.most_entropy
