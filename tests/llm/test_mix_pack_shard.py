@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.fixtures import awkward, clashing, frame
+from tests.llm.fixtures import awkward, clashing, frame, prose
 from tidewatch.llm import mixing, packing, sharding, tokens
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -76,7 +76,7 @@ def test_mixed_documents_are_whole(spark):
 def test_mixed_documents_keep_their_source(spark):
     """One id and text in two sources of different targets: each source gives its own row as often as its own target takes it."""
     rows = [(1, prose(1, 50), "en", "a", 1), (1, prose(1, 50), "en", "b", 1), (2, prose(2, 50), "en", None, 1), (2, prose(2, 50), "en", "b", 1), (3, prose(3, 50), "en", "b", 1)]
-    df = frame(spark, [r[:5] if len(r) == 5 else r for r in rows])
+    df = frame(spark, rows)
     taken = Counter()
     for x in mixing.mix(df, cut="whole").collect():
         taken[x["__id"], x["__source"]] += x.taken // x.size
