@@ -278,6 +278,14 @@ SELECT seq, capture_id AS "sessionId", participant_code AS "userId", {at('(epoch
     q["capture_episodes"] = captured + EPISODE_ROWS
     q["orphan_samples"] = """SELECT 'u' || user_id AS capture_id, count(*) AS rows FROM events
 WHERE user_id NOT IN (SELECT s_suppkey FROM supplier) GROUP BY user_id"""
+    q["load_report"] = c + """,
+st AS (SELECT 'participants' AS step, count(DISTINCT participant_code) AS rows FROM c UNION ALL
+       SELECT 'sessions', count(DISTINCT capture_id) FROM c UNION ALL SELECT 'samples', count(*) FROM c)
+SELECT step, rows, true AS timed, true AS rated FROM st UNION ALL SELECT 'total', CAST(sum(rows) AS BIGINT), true, true FROM st"""
+    q["run_metrics"] = ep + f""" SELECT (SELECT count(*) FROM events) AS rows, count(*) FILTER (type = 'EVENT_STARTED') AS started,
+count(*) FILTER (type = 'EVENT_ENDED' AND recovered) AS recovered, count(*) FILTER (type = 'EVENT_ENDED' AND NOT recovered) AS "finalisedEpisodes"
+FROM ({OUTCOME_ROWS})"""
+    q["orphan_splits"] = """SELECT DISTINCT 'u' || user_id AS "captureId", 1::BIGINT AS rows FROM events WHERE user_id NOT IN (SELECT s_suppkey FROM supplier)"""
     q["orphan_captures"] = c + """ SELECT participant_code, count(DISTINCT capture_id) AS rows FROM c
 WHERE participant_code NOT IN (SELECT 'P' || n_nationkey FROM nation WHERE n_regionkey <> 1) GROUP BY participant_code"""
     q["pilot_sessions_upsert"] = c + """, n AS (

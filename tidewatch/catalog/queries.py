@@ -13,7 +13,7 @@ from tidewatch.functions import instants
 from tidewatch.operators import episodes as E
 from tidewatch.operators import ingest, marts, pilot, scoring, sessions, state_view, timeshift
 from tidewatch.session import scratch_path
-from tidewatch.sources import files, tables
+from tidewatch.sources import files, loads, tables
 from tidewatch.streaming.episodes_stream import outcome_stream
 from tidewatch.streaming.landing import land, land_all, landed, rejected
 from tidewatch.streaming.live import live_outcomes
@@ -173,6 +173,39 @@ def orphan_samples(spark, sf):
     return sessions.orphans(pilot.pilot_samples(A.captures(spark, sf)), known, "capture_id")
 
 
+@query
+def load_report(spark, sf):
+    """Rows of each step of a capture load; times differ from run to run, so only their being there is shown."""
+    path = scratch_path(spark, "load")
+    report = loads.load_captures(A.captures(spark, sf), lambda name, df: df.write.parquet(f"{path}/{name}"))
+    return report.select("step", "rows", (F.col("seconds") > 0).alias("timed"), (F.col("rowsPerSecond") > 0).alias("rated"))
+
+
+@query
+def run_metrics(spark, sf):
+    """Totals of a stream's run, counted per micro-batch while its outcomes are written."""
+    path, seen = scratch_path(spark, "metrics"), loads.RunMetrics()
+    spark.streams.addListener(seen)
+    try:
+        out = loads.with_outcome_totals(outcome_stream(scoring.label_by_rule(stream_of_events(spark, sf)), PARAMS, delay="0 seconds"))
+        run = (out.writeStream.format("parquet").option("path", path + "/rows").option("checkpointLocation", path + "/checkpoint")
+               .trigger(availableNow=True).start())
+        run.awaitTermination()
+        seen.wait_for(run.runId)
+        table = seen.table(spark).where(F.col("query") == str(run.id))
+    finally:
+        spark.streams.removeListener(seen)
+    return table.agg(*[F.sum(c).alias(c) for c in ("rows", "started", "recovered", "finalisedEpisodes")])
+
+
+@query
+def orphan_splits(spark, sf):
+    """Captures that were dealt to a data set but are not in the list of captures, here the suppliers' numbers."""
+    splits = scoring.dataset_splits(A.captures(spark, sf), "capture_id")
+    known = A.table(spark, sf, "supplier").select(F.concat(F.lit("u"), F.col("s_suppkey")).alias("captureId"))
+    return sessions.orphans(splits, known, "captureId")
+
+
 @query
 def orphan_captures(spark, sf):
     """Captures whose participant is not on the list, here one of the nations outside region 1."""

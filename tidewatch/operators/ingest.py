@@ -13,6 +13,7 @@ from tidewatch.schemas import COLLAPSED, INFERENCE_VIEW, NORMAL, SUMMARY_MESSAGE
 # The schema version written to every event, and the answer to an accepted sample.
 SCHEMA_VERSION = 1
 ACCEPTED = "ACCEPTED"
+BROKEN = "_broken"
 
 
 def decode(messages: DataFrame, schema: T.StructType) -> DataFrame:
@@ -22,10 +23,12 @@ def decode(messages: DataFrame, schema: T.StructType) -> DataFrame:
     caller can count or divert them.
     """
     text = F.col("value").cast("string")
-    parsed = messages.withColumn("_text", text).withColumn("_m", F.from_json("_text", schema))
-    decoded = F.json_object_keys("_text").isNotNull()
+    whole = T.StructType([*schema.fields, T.StructField(BROKEN, T.StringType())])
+    parsed = messages.withColumn("_text", text).withColumn("_m", F.from_json("_text", whole, {"columnNameOfCorruptRecord": BROKEN, "allowNonNumericNumbers": "false"}))
+    # One parse; only texts that it could not read in full are looked at again.
+    decoded = F.when(F.col(f"_m.{BROKEN}").isNotNull() | ~F.startswith(F.ltrim("_text"), F.lit("{")), F.json_object_keys("_text").isNotNull()).otherwise(F.col("_m").isNotNull())
     rest = [c for c in messages.columns if c != "value"]
-    return parsed.select(*rest, F.col("_text").alias("value"), decoded.alias("decoded"), "_m.*")
+    return parsed.select(*rest, F.col("_text").alias("value"), F.coalesce(decoded, F.lit(False)).alias("decoded"), *(F.col(f"_m.{f.name}") for f in schema.fields))
 
 
 def decode_events(messages: DataFrame) -> DataFrame:
