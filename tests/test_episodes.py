@@ -31,6 +31,7 @@ def outcomes(spark, rows, as_of=None, params=EpisodeParams()):
             for r in out.orderBy("at", F.col("type") == "EVENT_ENDED").collect()]
 
 
+# Marks of samples (label and second) and the outcomes that the rules must give for them.
 SCENARIOS = [
     ("s1 W0 W1 W2", None, []),
     ("s1 W0 W3.5", None, [("s1", "EVENT_STARTED", 0, 3.5, 1, False)]),

@@ -6,12 +6,12 @@ from datetime import timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tests.test_episodes import BASE, COLUMNS, SCENARIOS, frame, parse, sec
+from tests.test_episodes import BASE, BASE_MS, COLUMNS, SCENARIOS, frame, parse, sec
 from tidewatch.operators import episodes as E
-from tidewatch.operators import scoring, sessions
+from tidewatch.operators import scoring, sessions, state_view
 from tidewatch.schemas import EpisodeParams
 from tidewatch.sources import tables, topics
-from tidewatch.streaming.episodes_stream import outcome_stream
+from tidewatch.streaming.episodes_stream import outcome_stream, state_rows, stored_state
 from tidewatch.streaming.landing import land, land_all, land_batch, landed, rejected
 from tidewatch.streaming.scoring_stream import score_stream
 
@@ -23,6 +23,7 @@ class Feed:
         self.spark, self.path, self.params, self.delay = spark, str(path), params, delay
         os.makedirs(self.path + "/in")
         self.count = self.seq = 0
+        self.initial = None
 
     def add(self, rows):
         """rows: (session, label, offset seconds)"""
@@ -39,7 +40,7 @@ class Feed:
     def run(self):
         """Take all new files and stop; a second call starts from the checkpoint."""
         raw = (self.spark.readStream.schema(COLUMNS).option("maxFilesPerTrigger", 1).json(self.path + "/in"))
-        out = outcome_stream(raw, self.params, delay=self.delay)
+        out = outcome_stream(raw, self.params, delay=self.delay, initial=self.initial)
         (out.writeStream.format("parquet").option("path", self.path + "/out")
          .option("checkpointLocation", self.path + "/checkpoint").trigger(availableNow=True).start().awaitTermination())
         got = self.spark.read.schema(out.schema).parquet(self.path + "/out").collect()
@@ -76,6 +77,32 @@ def test_restart_continues(spark, tmp_path):
     assert feed.run()[2] == ("s1", "EVENT_ENDED", 0, 67.5, 2, True)
 
 
+def test_a_stored_snapshot_starts_a_new_stream(spark, tmp_path):
+    """Each session is stopped in another state; the outcomes of both streams are those of one."""
+    before = [("suspect", "W", 100), ("bad", "W", 60), ("bad", "W", 64), ("relapse", "W", 60), ("relapse", "W", 64), ("relapse", "N", 65), ("relapse", "W", 66),
+              ("back", "W", 60), ("back", "W", 64), ("back", "N", 100), ("good", "N", 100), ("gone", "W", 90), ("gone", "W", 95)]
+    after = [("suspect", "W", 103), ("bad", "W", 125), ("bad", "N", 126), ("bad", "N", 130), ("relapse", "W", 124), ("back", "N", 103), ("good", "W", 104), ("good", "W", 108),
+             ("clock", "N", 800)]
+    states = state_view.session_states(frame(spark, before), EpisodeParams())
+    assert {r.sessionId for r in states.collect()} == {"suspect", "bad", "relapse", "back", "gone"}
+    first = Feed(spark, tmp_path / "first")
+    first.add(before)
+    told = first.run()
+    stored = stored_state(spark, str(tmp_path / "first" / "checkpoint"))
+    assert {(r.session, r.last_ms - BASE_MS, r.alerts) for r in stored.collect()} == {
+        ("suspect", 100_000, 0), ("bad", 64_000, 1), ("relapse", 66_000, 1), ("back", 100_000, 1), ("good", 100_000, 0), ("gone", 95_000, 1)}
+    want = Feed(spark, tmp_path / "whole")
+    want.add(before)
+    want.add(after)
+    expected = want.run()
+    for name, initial in (("store", stored), ("snapshot", state_rows(states))):
+        second = Feed(spark, tmp_path / name)
+        second.initial = initial
+        second.seq = len(before)
+        second.add(after)
+        assert sorted(told + second.run()) == sorted(expected)
+
+
 def test_silence_found_by_the_next_sample(spark, tmp_path):
     """The same batch brings the sample after the silence, before any timer can fire."""
     feed = Feed(spark, tmp_path, delay="1 hour")

@@ -446,7 +446,7 @@ FROM c, (SELECT unnest([0, 1, 2]) AS copy)"""
     q["stream_parquet_sink"] = """SELECT CAST(ts AS DATE) AS "eventDate", count(*) AS rows, count(*) FILTER (event_type <> 'view') AS "numericVectors",
        count(*) FILTER (event_type <> 'error') AS scores FROM events WHERE event_type <> 'signup' GROUP BY 1"""
     q["landing_rejects"] = """SELECT CASE WHEN event_type <> 'signup' THEN CAST(ts AS DATE) END AS "eventDate", count(*) AS rows FROM events GROUP BY 1"""
-    q["episodes_stream"] = q["episode_outcomes"]
+    q["episodes_stream"] = q["state_handover"] = q["episode_outcomes"]
     q["tables_stream"] = q["episodes_upsert"]
     # Signups do not decode, and errors have no number as score, so their status is the label.
     arrived = episodes_cte("WHERE event_type <> 'signup'", MAX_MS.replace("FROM events", "FROM events WHERE event_type <> 'signup'"))

@@ -14,7 +14,7 @@ from tidewatch.operators import episodes as E
 from tidewatch.operators import ingest, marts, pilot, scoring, sessions, state_view, timeshift
 from tidewatch.session import scratch_path
 from tidewatch.sources import files, loads, tables
-from tidewatch.streaming.episodes_stream import outcome_stream
+from tidewatch.streaming.episodes_stream import outcome_stream, stored_state
 from tidewatch.streaming.landing import land, land_all, landed, rejected
 from tidewatch.streaming.live import live_outcomes
 from tidewatch.streaming.scoring_stream import score_stream
@@ -562,6 +562,19 @@ def live_path(spark, sf):
     return spark.read.schema(out.schema).parquet(path + "/rows")
 
 
+@query
+def state_handover(spark, sf):
+    """Outcomes of two streams: the second takes over the state that the first has left in its store half-way."""
+    path, outcomes = scratch_path(spark, "handover"), []
+    for part, half in (("first", F.col("capturedAt") < mid()), ("second", F.col("capturedAt") >= mid())):
+        initial = stored_state(spark, path + "/checkpoint-first") if part == "second" else None
+        out = outcome_stream(scoring.label_by_rule(stream_of_events(spark, sf)).where(half), PARAMS, delay="0 seconds", initial=initial)
+        (out.writeStream.format("parquet").option("path", f"{path}/rows-{part}").option("checkpointLocation", f"{path}/checkpoint-{part}")
+         .trigger(availableNow=True).start().awaitTermination())
+        outcomes.append(spark.read.schema(out.schema).parquet(f"{path}/rows-{part}"))
+    return outcomes[0].unionByName(outcomes[1])
+
+
 @query
 def scored_stream(spark, sf):
     x = score_stream(stream_of_events(spark, sf).withColumn("featureVector", F.col("featureVector").cast("array<string>")))

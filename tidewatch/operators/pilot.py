@@ -8,44 +8,41 @@ from pyspark.sql import functions as F
 from tidewatch.functions import instants
 from tidewatch.schemas import COLLAPSED, NORMAL
 
-# The columns of a capture file, by the table they belong to.
-SESSION_COLUMNS = """
-capture_id participant_code schema_version started_at pose_model feature_version
-calibration_seconds target_sample_hz task_id activity requested_head_direction requested_posture
-requested_presence repetition planned_seconds camera_view camera_height distance_cm desk_layout
-stop_reason calibration_id width height delegate review_status pose_training_eligible
-""".split()
-SAMPLE_COLUMNS = """
-capture_id sample_index elapsed_ms video_time_ms gap_ms segment_id manual_label label_source
-measurement_quality head_gap lateral_offset shoulder_tilt visibility baseline_head_gap
-baseline_offset baseline_tilt delta_head_gap delta_offset delta_tilt rule_score rule_prediction
-threshold hold_seconds realert_seconds recover_seconds inference_ms pose_detected landmark_count
-landmarks_json world_landmarks_json
-""".split()
-FLAGS = {"pose_training_eligible", "pose_detected"}
-INTEGERS = {"repetition", "width", "height", "landmark_count", "sample_index"}
-DOUBLES = set("""
-calibration_seconds target_sample_hz planned_seconds distance_cm elapsed_ms video_time_ms gap_ms
-head_gap lateral_offset shoulder_tilt visibility baseline_head_gap baseline_offset baseline_tilt
-delta_head_gap delta_offset delta_tilt rule_score threshold hold_seconds realert_seconds
-recover_seconds inference_ms
-""".split())
-ALL_COLUMNS = [*SESSION_COLUMNS, *[c for c in SAMPLE_COLUMNS if c not in SESSION_COLUMNS]]
+# The columns of a capture file: name, the table it belongs to (samples also have capture_id), type.
+COLUMNS = (
+    ("capture_id", "session", "text"), ("participant_code", "session", "text"), ("schema_version", "session", "text"),
+    ("started_at", "session", "instant"), ("pose_model", "session", "text"), ("feature_version", "session", "text"),
+    ("calibration_seconds", "session", "double"), ("target_sample_hz", "session", "double"), ("task_id", "session", "text"),
+    ("activity", "session", "text"), ("requested_head_direction", "session", "text"), ("requested_posture", "session", "text"),
+    ("requested_presence", "session", "text"), ("repetition", "session", "int"), ("planned_seconds", "session", "double"),
+    ("camera_view", "session", "text"), ("camera_height", "session", "text"), ("distance_cm", "session", "double"),
+    ("desk_layout", "session", "text"), ("stop_reason", "session", "text"), ("calibration_id", "session", "text"),
+    ("width", "session", "int"), ("height", "session", "int"), ("delegate", "session", "text"),
+    ("review_status", "session", "text"), ("pose_training_eligible", "session", "flag"), ("sample_index", "sample", "int"),
+    ("elapsed_ms", "sample", "double"), ("video_time_ms", "sample", "double"), ("gap_ms", "sample", "double"),
+    ("segment_id", "sample", "text"), ("manual_label", "sample", "text"), ("label_source", "sample", "text"),
+    ("measurement_quality", "sample", "text"), ("head_gap", "sample", "double"), ("lateral_offset", "sample", "double"),
+    ("shoulder_tilt", "sample", "double"), ("visibility", "sample", "double"), ("baseline_head_gap", "sample", "double"),
+    ("baseline_offset", "sample", "double"), ("baseline_tilt", "sample", "double"), ("delta_head_gap", "sample", "double"),
+    ("delta_offset", "sample", "double"), ("delta_tilt", "sample", "double"), ("rule_score", "sample", "double"),
+    ("rule_prediction", "sample", "text"), ("threshold", "sample", "double"), ("hold_seconds", "sample", "double"),
+    ("realert_seconds", "sample", "double"), ("recover_seconds", "sample", "double"), ("inference_ms", "sample", "double"),
+    ("pose_detected", "sample", "flag"), ("landmark_count", "sample", "int"), ("landmarks_json", "sample", "text"),
+    ("world_landmarks_json", "sample", "text"),
+)
+KINDS = {name: kind for name, _, kind in COLUMNS}
+ALL_COLUMNS = list(KINDS)
+SESSION_COLUMNS = [name for name, table, _ in COLUMNS if table == "session"]
+SAMPLE_COLUMNS = ["capture_id", *(name for name, table, _ in COLUMNS if table == "sample")]
 DEFAULT_HZ = 10.0
 
 
 def typed(name: str) -> Column:
     """A text column as its declared type; empty text is null, whole numbers may be written 3.0."""
     raw = F.nullif(F.col(name), F.lit(""))
-    if name in FLAGS:
-        return F.when(raw.isNotNull(), F.trim(raw) == "1").alias(name)
-    if name in INTEGERS:
-        return raw.try_cast("double").cast("int").alias(name)
-    if name in DOUBLES:
-        return raw.try_cast("double").alias(name)
-    if name == "started_at":
-        return instants.parse_lenient(raw).alias(name)
-    return raw.alias(name)
+    read = {"flag": F.when(raw.isNotNull(), F.trim(raw) == "1"), "int": raw.try_cast("double").cast("int"), "double": raw.try_cast("double"),
+            "instant": instants.parse_lenient(raw), "text": raw}
+    return read[KINDS[name]].alias(name)
 
 
 def type_rows(rows: DataFrame) -> DataFrame:

@@ -10,18 +10,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidewatch.functions import instants
 from tidewatch.operators.episodes import judged
 from tidewatch.schemas import EVENT_ENDED, EVENT_STARTED, RE_ALERT, EpisodeParams
-from tidewatch.session import use_state_store
+from tidewatch.session import durable, use_state_store
 from tidewatch.streaming.scoring_stream import CLOCK, OrderColumns
 
 STATE = ("run_bad boolean, run_ms long, last_ms long, start_ms long, alert_ms long, alerts int, "
          "user string")
+STATE_NAMES = [field.split()[0] for field in STATE.split(", ")]
 OUTCOME = ("session string, type string, user string, start_ms long, at_ms long, alerts int, "
            "alert_ms long, recovered boolean")
 
@@ -84,6 +85,10 @@ class EpisodeProcessor(StatefulProcessor):
             yield Row(session=key[0], type=event[0], user=event[1], start_ms=event[2], at_ms=event[3],
                       alerts=event[4], alert_ms=event[5], recovered=event[6])
 
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.judgment.update(tuple(initialState[name] for name in STATE_NAMES))
+        self.handle.registerTimer(initialState["last_ms"] + self.params.timeout_ms)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         judge = self._load()
         before = judge.last_ms
@@ -105,19 +110,43 @@ class EpisodeProcessor(StatefulProcessor):
         pass
 
 
+def state_rows(states: DataFrame) -> DataFrame:
+    """Snapshots of sessions (columns of ``state_view.session_states``) as the state that a stream starts from.
+
+    What a snapshot does not name is of no account: in an open episode after a relapse, when its run began.
+    """
+    def ms(c):
+        return F.unix_millis(c)
+    return states.select(
+        F.col("sessionId").alias("session"), F.col("recoverySince").isNull().alias("run_bad"),
+        F.coalesce(ms("recoverySince"), ms("candidateSince"), ms("episodeStartedAt")).alias("run_ms"), ms("lastSeen").alias("last_ms"),
+        ms("episodeStartedAt").alias("start_ms"), ms("lastAlertAt").alias("alert_ms"), F.col("alertCount").cast("int").alias("alerts"),
+        F.when(F.col("episodeStartedAt").isNotNull(), F.col("userId")).alias("user"))
+
+
+def stored_state(spark: SparkSession, checkpoint: str, operator: int = 0) -> DataFrame:
+    """The state that a stopped outcome stream has left in its checkpoint, one row per session."""
+    kept = spark.read.format("statestore").option("operatorId", operator).option("stateVarName", "judgment").load(checkpoint)
+    return kept.select("key.session", *(F.col(f"value.{name}").alias(name) for name in STATE_NAMES))
+
+
 def outcome_stream(samples: DataFrame, params: EpisodeParams = EpisodeParams(), *,
-                   delay: str = "1 minute") -> DataFrame:
+                   delay: str = "1 minute", initial: DataFrame | None = None) -> DataFrame:
     """Labelled samples (sessionId, userId, capturedAt, seq, inferredStatus) to outcomes.
 
     ``delay`` is how far the clock of the silence timers trails the newest sample. It drops nothing:
     the rows no longer carry the watermark column when they reach the state, so a late sample is
     judged when it arrives, by the time it carries. Samples of ``score_stream(clocked=True)`` bring their clock with them.
+
+    ``initial`` (``state_rows`` of snapshots, or the ``stored_state`` of a stream that has ended) is what a new stream
+    starts from; it is written down first, and read in the first micro-batch only.
     """
     use_state_store(samples.sparkSession)
     rows = judged(samples if CLOCK in samples.columns else samples.withWatermark("capturedAt", delay))
     order = OrderColumns(rows)
     x = rows.select("session", "user", "us", "ms", "bad", *order.flat).groupBy("session").transformWithState(
-        EpisodeProcessor(params, order.names), OUTCOME, "Append", "EventTime")
+        EpisodeProcessor(params, order.names), OUTCOME, "Append", "EventTime",
+        initialState=None if initial is None else durable(initial.select("session", *STATE_NAMES)).groupBy("session"))
     ended = F.col("type") == EVENT_ENDED
     return x.select(
         "type", F.col("session").alias("sessionId"), F.col("user").alias("userId"),
