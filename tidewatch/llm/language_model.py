@@ -41,7 +41,7 @@ from tidewatch.llm.tokens import words
 from tidewatch.session import durable
 
 BLOCK_TOKENS = 1 << 20
-SHARD_TOKENS = 1 << 22
+SHARD_TOKENS = 1 << 21
 DISCOUNT = 0.75
 ADDED = 0.1
 END = np.uint64(0x6E5A1C0F3B7D2941)  # stands for the end of a text among word hashes
@@ -51,12 +51,15 @@ SUCCESSOR_BITS = 32
 
 # --- blocks -----------------------------------------------------------------------------------------
 
-def packed(index: np.ndarray) -> bytes:
-    """Indices below 2^24 in three bytes each."""
-    return np.ascontiguousarray(index.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]).tobytes()
+def packed(index: np.ndarray, n_words: int) -> bytes:
+    """Indices into so many words in three bytes each, or in four where a text has more distinct words than those can tell apart."""
+    data = np.ascontiguousarray(index.astype("<u4"))
+    return data.tobytes() if n_words > 1 << 24 else np.ascontiguousarray(data.view(np.uint8).reshape(-1, 4)[:, :3]).tobytes()
 
 
-def unpacked(data: bytes) -> np.ndarray:
+def unpacked(data: bytes, n_words: int) -> np.ndarray:
+    if n_words > 1 << 24:
+        return np.frombuffer(data, "<u4").astype(np.int64)
     out = np.zeros((len(data) // 3, 4), np.uint8)
     out[:, :3] = np.frombuffer(data, np.uint8).reshape(-1, 3)
     return out.view("<u4").ravel().astype(np.int64)
@@ -77,7 +80,7 @@ def blocks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         one = lambda data, kind: pa.array([data], kind)
         return pa.RecordBatch.from_arrays(
             [one((TaskContext.get().partitionId() << 32) + number, pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(all_ids)], pa.int32()), all_ids),
-             one(all_held.tobytes(), pa.binary()), one(all_lengths.astype("<i4").tobytes(), pa.binary()), one(packed(index), pa.binary()),
+             one(all_held.tobytes(), pa.binary()), one(all_lengths.astype("<i4").tobytes(), pa.binary()), one(packed(index, len(names_)), pa.binary()),
              one(names_.tobytes(), pa.binary()), one(n_train, pa.int64())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +118,7 @@ class Block(NamedTuple):
     @classmethod
     def read(cls, words: bytes, tokens: bytes, held_out: bytes, lengths: bytes) -> Block:
         n = np.frombuffer(lengths, "<i4").astype(np.int64)
-        return cls(np.frombuffer(words, np.uint64), unpacked(tokens), np.repeat(~np.frombuffer(held_out, bool), n), np.cumsum(n) - n)
+        return cls(np.frombuffer(words, np.uint64), unpacked(tokens, len(words) // 8), np.repeat(~np.frombuffer(held_out, bool), n), np.cumsum(n) - n)
 
     def bigrams(self) -> tuple[np.ndarray, np.ndarray]:
         """Every token's (context, word) as one number; a first word's context is the number of words."""
