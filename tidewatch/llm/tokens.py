@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import itertools
 import json
@@ -12,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Units kept per worker; later ones are encoded each time (about 150 bytes a unit).
-CACHE_UNITS = 600_000
+#: Units kept per task; later ones are encoded each time (about 150 bytes a unit).
+CACHE_UNITS = 400_000
 #: Units longer than this go to the tokenizers library, whose merge does not slow down with length.
 LONG_UNIT = 2_000
 
@@ -91,6 +93,14 @@ class Units(dict):
         return Ragged(np.frombuffer(b"".join(found), self.kind), np.concatenate([[0], np.cumsum(list(map(len, found)), dtype=np.int64) // width]))
 
 
+    def forget(self) -> None:
+        """At the end of a task: workers are used again for other stages, which should find their memory free."""
+        self.clear()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):    # only the GNU library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(data: np.ndarray, ends: np.ndarray) -> list[bytes]:
     """The pieces of an array that end at ``ends``, as bytes."""
     raw, width = data.tobytes(), data.itemsize
