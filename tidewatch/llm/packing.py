@@ -68,7 +68,8 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(index, pa.int64())),
                                               *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
-        bpe.forget()
+        del bpe
+        tokens.forget()
 
     kind = dict(rows.dtypes)["doc_id"]
     return durable(rows.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, task int, rank long"))

@@ -165,7 +165,8 @@ def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
             out = judge(texts(batch), langs, pieces)
             arrays = [pa.array(c, kind) for c, (_, kind) in zip(zip(*out, strict=True), fields, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", *(name for name, _ in fields)])
-        pieces.forget()
+        del pieces
+        tokens.forget()
 
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, {COLUMNS}")
 
@@ -184,6 +185,7 @@ def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
             langs = batch.column(lang_at).to_pylist() if lang_at else [None] * batch.num_rows
             keep = [row[6] for row in judge(texts(batch, t), langs, pieces)]
             yield batch.filter(pa.array(keep, pa.bool_()))
-        pieces.forget()
+        del pieces
+        tokens.forget()
 
     return body.mapInArrow(run, body.schema).select(*map(F.col, inner)).toDF(*names)

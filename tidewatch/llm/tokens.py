@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import gc
 import itertools
 import json
 import re
@@ -93,14 +94,6 @@ class Units(dict):
         return Ragged(np.frombuffer(b"".join(found), self.kind), np.concatenate([[0], np.cumsum(list(map(len, found)), dtype=np.int64) // width]))
 
 
-    def forget(self) -> None:
-        """At the end of a task: workers are used again for other stages, which should find their memory free."""
-        self.clear()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):    # only the GNU library has it
-            ctypes.CDLL(None).malloc_trim(0)
-
-
 def slices(data: np.ndarray, ends: np.ndarray) -> list[bytes]:
     """The pieces of an array that end at ``ends``, as bytes."""
     raw, width = data.tobytes(), data.itemsize
@@ -121,9 +114,9 @@ class ByteBpe(Units):
     def __init__(self, path: str):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         super().__init__()
+        self.path = path
         with open(path, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
         back = byte_of_char()
@@ -133,8 +126,15 @@ class ByteBpe(Units):
         for token, i in ranks.items():
             self.n_bytes[i] = len(token)
         self.quick = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
+
+    @functools.cached_property
+    def slow(self):
+        """The tokenizers library's form of the vocabulary, read when a long unit needs it."""
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path)
+        found.encode_special_tokens = True
+        return found
 
     def unit(self, text: str) -> bytes:
         ids = self.slow.encode(text, add_special_tokens=False).ids if len(text) > LONG_UNIT else self.quick.encode_ordinary(text)
@@ -176,7 +176,7 @@ class ByteBpe(Units):
 
 @functools.cache
 def byte_bpe(path: str) -> ByteBpe:
-    """One per Python worker."""
+    """One per Python worker, until ``forget``."""
     return ByteBpe(path)
 
 
@@ -210,5 +210,16 @@ class PieceWords(Units):
 
 @functools.cache
 def piece_words(path: str) -> PieceWords:
-    """One per Python worker."""
+    """One per Python worker, until ``forget``."""
     return PieceWords(path)
+
+
+def forget() -> None:
+    """At the end of a task: workers are used again for other stages, which should find their memory free. A vocabulary is read
+    again by the next task that needs it."""
+    byte_bpe.cache_clear()
+    piece_words.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):    # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
