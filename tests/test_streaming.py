@@ -268,3 +268,17 @@ def test_late_samples(spark, tmp_path):
     assert ("u", "EVENT_STARTED", 995, 999, 1, False) in got
     # Far behind the clock: still judged, and closed at once because the session counts as silent.
     assert [r[1:] for r in got if r[0] == "t"] == [("EVENT_STARTED", 5, 9, 1, False), ("EVENT_ENDED", 5, 9, 1, False)]
+
+
+def test_scored_sessions_share_keyed_state(spark, tmp_path):
+    from tidewatch.streaming import buckets
+    rows = spark.range(3000).select(
+        F.concat(F.lit("s"), F.col("id") % 1500).alias("sessionId"), F.lit("u").alias("userId"), F.col("id").alias("seq"), F.lit(BASE).cast("timestamp").alias("capturedAt"),
+        F.lit(BASE).cast("timestamp").alias("serverReceivedAt"), F.array(F.lit("1")).alias("featureVector"), F.lit(0.5).alias("deviationScore"), F.lit("NORMAL").alias("ruleStatus"))
+    rows.write.parquet(str(tmp_path / "in"))
+    out = score_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))).select("seq", "windowBuffered")
+    (out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "checkpoint"))
+     .trigger(availableNow=True).start().awaitTermination())
+    kept = spark.read.format("statestore").option("stateVarName", "held").load(str(tmp_path / "checkpoint"))
+    assert kept.count() <= buckets.BUCKETS < 1500
+    assert {(r.seq < 1500, r.windowBuffered) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(True, 1), (False, 2)}

@@ -1,4 +1,4 @@
-"""Scoring on a stream: the last vectors of each session in keyed state, a session's batch scored at once."""
+"""Scoring on a stream: the last vectors of each session in keyed state, a bucket of sessions at a time."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tidewatch.operators.scoring import WINDOW_SIZE, SequenceModel, WindowScorer, choose_label, numeric_vector, width_of, window_key
 from tidewatch.schemas import to_ms
 from tidewatch.session import use_state_store
+from tidewatch.streaming.buckets import Entries, bucket_of, move_timer, rung_at
 
 CARRIED = ["sessionId", "userId", "capturedAt", "serverReceivedAt", "deviationScore", "ruleStatus"]
 CLOCK = "_clock"
@@ -34,8 +35,8 @@ class OrderColumns:
 class WindowProcessor(StatefulProcessor):
     """Adds to each sample how many vectors its session's window holds and, with a model, its class probabilities.
 
-    Without a model the state is one number per session. Rows of a micro-batch come as pandas frames; how many there can be is
-    the source's limit per trigger.
+    Without a model the state is one number per session, with ``forget_ms`` also when it is due to be forgotten. Rows of a
+    micro-batch come as pandas frames, those of a bucket's sessions together; how many there can be is the source's limit per trigger.
     """
 
     def __init__(self, model: SequenceModel | None, size: int, order: list[str], forget_ms: int | None, clocked: bool):
@@ -43,40 +44,57 @@ class WindowProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("held", "n int")
-        self.recent = handle.getListState("recent", "vector array<double>")
+        held, recent = Entries(handle, "held", "n int, due long"), Entries(handle, "recent", "vectors array<array<double>>, due long")
+        self.kept = held if self.model is None else recent
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         x = pd.concat(list(rows), ignore_index=True)
         # Samples without a time come first, as in the batch query.
-        x = x.assign(_timed=x["ms"].notna()).sort_values(["_timed", "us", *self.order], kind="stable", ignore_index=True)
-        valid = x["vector"].notna().to_numpy()
+        x = x.assign(_timed=x["ms"].notna()).sort_values(["windowKey", "_timed", "us", *self.order], kind="stable", ignore_index=True)
+        valid, names = x["vector"].notna().to_numpy(), x["windowKey"].to_numpy(object)
+        starts = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
+        ends, sessions = np.append(starts[1:], len(x)), names[starts].tolist()
+        entries = self.kept.read()
+        waiting, known = self._waiting(entries), [entries.get(s) for s in sessions]
+        due = self._due(x["ms"], starts, known)
         if self.model is None:
-            before = self.held.get()
-            held = np.minimum(self.size, (before[0] if before else 0) + np.cumsum(valid))
+            count = np.cumsum(valid)
+            earlier = np.array([k[0] if k else 0 for k in known]) - (count[starts] - valid[starts])
+            held = np.minimum(self.size, count + np.repeat(earlier, ends - starts))
             p = [None] * len(x)
-            self.held.update((int(held[-1]),))
+            entries |= zip(sessions, zip(held[ends - 1].tolist(), due, strict=True), strict=True)
         else:
-            width = self.model.w_input.shape[1]
-            scorer = WindowScorer(self.model, self.size, np.array([list(v[0]) for v in self.recent.get()], float).reshape(-1, width))
-            held, found = scorer.score(np.array(x["vector"][valid].tolist(), float).reshape(-1, width), valid)
-            p = [None if v is None else v.tolist() for v in found]
-            if len(scorer.recent):
-                self.recent.put([(v.tolist(),) for v in scorer.recent])
-        if self.forget_ms is not None and x["ms"].notna().any():
-            for timer in self.handle.listTimers():
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(int(x["ms"].max()) + self.forget_ms)
-        out = {"windowKey": [key[0]] * len(x), **{c: x[c] for c in [*CARRIED, *self.order]}, "windowBuffered": held.astype(np.int32), "_p": p}
+            width, held, p = self.model.w_input.shape[1], np.zeros(len(x), np.int64), []
+            for session, k, at, a, b in zip(sessions, known, due, starts, ends, strict=True):
+                scorer = WindowScorer(self.model, self.size, np.array(k[0] if k else [], float).reshape(-1, width))
+                held[a:b], found = scorer.score(np.array(x["vector"][a:b][valid[a:b]].tolist(), float).reshape(-1, width), valid[a:b])
+                p += [None if v is None else v.tolist() for v in found]
+                entries[session] = scorer.recent.tolist(), at
+        move_timer(self.handle, waiting, self._waiting(entries))
+        self.kept.write(entries)
+        out = {"windowKey": x["windowKey"], **{c: x[c] for c in [*CARRIED, *self.order]}, "windowBuffered": held.astype(np.int32), "_p": p}
         if self.clocked:
             # The clock of later operators: the sample's time, or the watermark for samples behind it.
             behind = np.maximum(timerValues.getCurrentWatermarkInMs() - x["ms"].to_numpy(np.int64), 0)
             out[CLOCK] = x["capturedAt"] + pd.to_timedelta(behind, unit="ms")
         yield pd.DataFrame(out)
 
+    @staticmethod
+    def _waiting(entries: dict[str, tuple]) -> list[int]:
+        return [due for _, due in entries.values() if due is not None]
+
+    def _due(self, ms: pd.Series, starts: np.ndarray, known: list[tuple | None]) -> list[int | None]:
+        """When each session is forgotten: some time after the newest of its samples in this micro-batch."""
+        if self.forget_ms is None:
+            return [None] * len(starts)
+        newest = np.fmax.reduceat(ms.to_numpy(float, na_value=np.nan), starts).tolist()
+        return [int(m) + self.forget_ms if m == m else k and k[1] for m, k in zip(newest, known, strict=True)]
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.recent.clear()
-        self.held.clear()
+        entries, now = self.kept.read(), rung_at(timerValues, expiredTimerInfo)
+        left = {session: entry for session, entry in entries.items() if entry[1] is None or entry[1] > now}
+        move_timer(self.handle, self._waiting(entries), self._waiting(left), rung=True)
+        self.kept.write(left)
         return iter(())
 
     def close(self) -> None:
@@ -101,12 +119,12 @@ def score_stream(samples: DataFrame, model: SequenceModel | None = None, *, size
     order = OrderColumns(samples)
     # The order, like every other column here, is derived: rows behind the watermark are not dropped before the state.
     keyed = samples.select(
-        window_key().alias("windowKey"), *[F.col(c) if c != "capturedAt" else F.timestamp_micros(F.unix_micros(c)).alias(c) for c in CARRIED],
+        bucket_of(window_key()).alias("bucket"), window_key().alias("windowKey"), *[F.col(c) if c != "capturedAt" else F.timestamp_micros(F.unix_micros(c)).alias(c) for c in CARRIED],
         F.unix_micros("capturedAt").alias("us"), F.unix_millis("capturedAt").alias("ms"), *order.flat, numeric_vector(width_of(model)).alias("vector"))
     kinds = {f.name: f.dataType.simpleString() for f in keyed.schema}
     schema = ", ".join(f"{c} {kinds[c]}" for c in ["windowKey", *CARRIED, *order.names]) + ", windowBuffered int, _p array<double>"
     processor = WindowProcessor(model, size, order.names, None if forget_seconds is None else to_ms(forget_seconds), clocked)
-    grouped = keyed.groupBy("windowKey")
+    grouped = keyed.groupBy("bucket")
     if clocked:
         x = grouped.transformWithStateInPandas(processor, f"{schema}, {CLOCK} timestamp", "Append", "EventTime", eventTimeColumnName=CLOCK)
     else:
