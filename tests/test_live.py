@@ -16,6 +16,8 @@ from tidewatch.operators import episodes as E
 from tidewatch.operators import ingest, pilot, scoring
 from tidewatch.schemas import EpisodeParams
 from tidewatch.sources import topics
+from tidewatch.streaming import buckets
+from tidewatch.streaming.episodes_stream import outcome_stream, stored_state
 from tidewatch.streaming.live import live_outcomes
 
 PARAMS = EpisodeParams(3, 3, 10, 60)
@@ -127,3 +129,30 @@ def test_pieces_of_a_session_score_as_the_whole():
     for i in np.flatnonzero(valid):
         own = vectors[:i + 1][valid[:i + 1]][-10:]
         assert (whole[1][i] is None) if len(own) < 10 else np.allclose(whole[1][i], model.probabilities(own[None])[0])
+
+
+def test_sessions_share_keyed_state(spark, tmp_path):
+    """A key costs calls between Spark and Python, so their number may not grow with the sessions."""
+    rows = spark.range(1500).select(F.concat(F.lit("s"), "id").alias("sessionId"), F.lit("u").alias("userId"), F.col("id").alias("seq"),
+                                    F.lit(BASE).cast("timestamp").alias("capturedAt"), F.lit("WARNING").alias("inferredStatus"))
+    rows.write.parquet(str(tmp_path / "in"))
+    out = outcome_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), PARAMS, delay="1 hour")
+    (out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "checkpoint"))
+     .trigger(availableNow=True).start().awaitTermination())
+    kept = spark.read.format("statestore").option("operatorId", 0).option("stateVarName", "judgment").load(str(tmp_path / "checkpoint"))
+    assert kept.count() <= buckets.BUCKETS < 1500
+    assert stored_state(spark, str(tmp_path / "checkpoint")).select("session").distinct().count() == 1500
+
+
+@pytest.mark.parametrize("model", [None, fixed_model(3)], ids=["rule", "model"])
+def test_all_sessions_in_one_bucket(spark, tmp_path, monkeypatch, model):
+    monkeypatch.setattr(buckets, "BUCKETS", 1)
+    test_five_micro_batches_equal_the_batch(spark, tmp_path, model)
+
+
+def test_timers_of_sessions_in_one_bucket(spark, tmp_path, monkeypatch):
+    from tests import test_streaming
+    monkeypatch.setattr(buckets, "BUCKETS", 1)
+    test_late_samples_pass_both_states(spark, tmp_path / "late")
+    test_streaming.test_scenarios_over_micro_batches(spark, tmp_path / "scenarios")
+    test_streaming.test_a_stored_snapshot_starts_a_new_stream(spark, tmp_path / "stored")

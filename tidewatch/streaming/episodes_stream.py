@@ -1,14 +1,15 @@
-"""Episodes on a stream: one keyed state per session and an event-time timer for silence.
+"""Episodes on a stream: a state entry per session, in buckets of sessions, and an event-time timer for silence.
 
-The state holds the current run (bad or good, and since when), the last sample, and the open
+The entry holds the current run (bad or good, and since when), the last sample, and the open
 episode. Samples of a micro-batch are taken in (capturedAt, seq) order. A silence is noticed in two
-ways: by the timer, once the watermark has passed last-seen plus the timeout, or by the next sample
+ways: by the bucket's timer, once the watermark has passed last-seen plus the timeout, or by the next sample
 of the session if that arrives first. Both end the episode at the last sample.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -18,11 +19,13 @@ from tidewatch.functions import instants
 from tidewatch.operators.episodes import judged
 from tidewatch.schemas import EVENT_ENDED, EVENT_STARTED, RE_ALERT, EpisodeParams
 from tidewatch.session import durable, use_state_store
+from tidewatch.streaming.buckets import Entries, bucket_of, move_timer, rung_at
 from tidewatch.streaming.scoring_stream import CLOCK, OrderColumns
 
 STATE = ("run_bad boolean, run_ms long, last_ms long, start_ms long, alert_ms long, alerts int, "
          "user string")
 STATE_NAMES = [field.split()[0] for field in STATE.split(", ")]
+LAST = STATE_NAMES.index("last_ms")
 OUTCOME = ("session string, type string, user string, start_ms long, at_ms long, alerts int, "
            "alert_ms long, recovered boolean")
 
@@ -73,38 +76,42 @@ class EpisodeProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.judgment = handle.getValueState("judgment", STATE)
-
-    def _load(self) -> SessionJudge:
-        state = self.judgment.get()
-        return SessionJudge(self.params, tuple(state) if state else None)
+        self.judgment = Entries(handle, "judgment", STATE)
 
     @staticmethod
-    def _rows(key, events) -> Iterator[Row]:
+    def _rows(session, events) -> Iterator[Row]:
         for event in events:
-            yield Row(session=key[0], type=event[0], user=event[1], start_ms=event[2], at_ms=event[3],
+            yield Row(session=session, type=event[0], user=event[1], start_ms=event[2], at_ms=event[3],
                       alerts=event[4], alert_ms=event[5], recovered=event[6])
 
+    def _silent_at(self, states: dict[str, tuple]) -> list[int]:
+        return [state[LAST] + self.params.timeout_ms for state in states.values()]
+
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        self.judgment.update(tuple(initialState[name] for name in STATE_NAMES))
-        self.handle.registerTimer(initialState["last_ms"] + self.params.timeout_ms)
+        states = dict(zip(initialState["session"], zip(*(initialState[name] for name in STATE_NAMES), strict=True), strict=True))
+        self.judgment.write(states)
+        move_timer(self.handle, [], self._silent_at(states))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        judge = self._load()
-        before = judge.last_ms
-        for r in sorted(rows, key=lambda r: (r.us, *(r[c] for c in self.order))):
-            yield from self._rows(key, judge.sample(r.ms, r.bad, r.user))
-        # The only timer of a session stands at its last sample plus the timeout.
-        if before != judge.last_ms:
-            if before is not None:
-                self.handle.deleteTimer(before + self.params.timeout_ms)
-            self.handle.registerTimer(judge.last_ms + self.params.timeout_ms)
-        self.judgment.update(judge.state())
+        states = self.judgment.read()
+        before = self._silent_at(states)
+        ordered = sorted(rows, key=lambda r: (r.session, r.us, *(r[c] for c in self.order)))
+        for session, own in groupby(ordered, key=lambda r: r.session):
+            judge = SessionJudge(self.params, states.get(session))
+            for r in own:
+                yield from self._rows(session, judge.sample(r.ms, r.bad, r.user))
+            states[session] = judge.state()
+        move_timer(self.handle, before, self._silent_at(states))
+        self.judgment.write(states)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        judge = self._load()
-        yield from self._rows(key, judge.silence())
-        self.judgment.clear()
+        states = self.judgment.read()
+        before, now = self._silent_at(states), rung_at(timerValues, expiredTimerInfo)
+        for session, state in list(states.items()):
+            if state[LAST] + self.params.timeout_ms <= now:
+                yield from self._rows(session, SessionJudge(self.params, states.pop(session)).silence())
+        move_timer(self.handle, before, self._silent_at(states), rung=True)
+        self.judgment.write(states)
 
     def close(self) -> None:
         pass
@@ -127,7 +134,7 @@ def state_rows(states: DataFrame) -> DataFrame:
 def stored_state(spark: SparkSession, checkpoint: str, operator: int = 0) -> DataFrame:
     """The state that a stopped outcome stream has left in its checkpoint, one row per session."""
     kept = spark.read.format("statestore").option("operatorId", operator).option("stateVarName", "judgment").load(checkpoint)
-    return kept.select("key.session", *(F.col(f"value.{name}").alias(name) for name in STATE_NAMES))
+    return kept.select(F.inline(F.arrays_zip(*(f"value.{name}" for name in ("session", *STATE_NAMES)))))
 
 
 def outcome_stream(samples: DataFrame, params: EpisodeParams = EpisodeParams(), *,
@@ -144,9 +151,12 @@ def outcome_stream(samples: DataFrame, params: EpisodeParams = EpisodeParams(),
     use_state_store(samples.sparkSession)
     rows = judged(samples if CLOCK in samples.columns else samples.withWatermark("capturedAt", delay))
     order = OrderColumns(rows)
-    x = rows.select("session", "user", "us", "ms", "bad", *order.flat).groupBy("session").transformWithState(
-        EpisodeProcessor(params, order.names), OUTCOME, "Append", "EventTime",
-        initialState=None if initial is None else durable(initial.select("session", *STATE_NAMES)).groupBy("session"))
+    bucket, start = bucket_of(F.col("session")).alias("bucket"), None
+    if initial is not None:
+        of_bucket = initial.groupBy(bucket).agg(F.collect_list(F.struct("session", *STATE_NAMES)).alias("all"))
+        start = durable(of_bucket.select("bucket", *(F.col(f"all.{name}").alias(name) for name in ("session", *STATE_NAMES)))).groupBy("bucket")
+    x = rows.select(bucket, "session", "user", "us", "ms", "bad", *order.flat).groupBy("bucket").transformWithState(
+        EpisodeProcessor(params, order.names), OUTCOME, "Append", "EventTime", initialState=start)
     ended = F.col("type") == EVENT_ENDED
     return x.select(
         "type", F.col("session").alias("sessionId"), F.col("user").alias("userId"),
