@@ -282,3 +282,35 @@ def test_scored_sessions_share_keyed_state(spark, tmp_path):
     kept = spark.read.format("statestore").option("stateVarName", "held").load(str(tmp_path / "checkpoint"))
     assert kept.count() <= buckets.BUCKETS < 1500
     assert {(r.seq < 1500, r.windowBuffered) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(True, 1), (False, 2)}
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_scored_times_of_all_centuries(spark, tmp_path, zone):
+    """Times go through the scorer as numbers: none, of years that pandas does not know, and of an hour that comes twice."""
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        times = [None, "1500-01-01 00:00:00.000001Z", "2024-11-03 05:30:00Z", "2024-11-03 06:30:00Z", "2500-01-01 00:00:00.123457Z", "9999-12-30 00:00:00Z"]
+        rows = spark.createDataFrame([(s, at, at if s else None, seq, ["1"] if seq % 3 else ["x"]) for s in ("a", "", None) for seq, at in enumerate(times * 3)],
+                                     "sessionId string, captured string, received string, seq long, featureVector array<string>")
+        rows = rows.select("sessionId", F.lit("u").alias("userId"), "seq", F.col("captured").cast("timestamp").alias("capturedAt"),
+                           F.col("received").cast("timestamp").alias("serverReceivedAt"), "featureVector", F.lit(0.5).alias("deviationScore"), F.lit("NORMAL").alias("ruleStatus"))
+        rows = rows.withColumn("seq", F.col("seq") + F.when(F.col("sessionId") == "a", 0).when(F.col("sessionId") == "", 100).otherwise(200))
+        rows.write.parquet(str(tmp_path / "in"))
+        out = score_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
+        (out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "checkpoint"))
+         .trigger(availableNow=True).start().awaitTermination())
+        got, want = spark.read.schema(out.schema).parquet(str(tmp_path / "out")), scoring.score_samples(rows)
+        def shown(x):
+            return sorted(map(str, x.select("seq", "sessionId", "inferredStatus", "windowBuffered", F.unix_micros("capturedAt"), F.unix_micros("serverReceivedAt")).collect()))
+        assert got.count() == 54 and shown(got) == shown(want)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_vectors_reach_the_scorer_only_for_a_model(spark, tmp_path):
+    from tests.test_scoring import COLUMNS as SAMPLE
+    from tidewatch.catalog.queries import fixed_model
+    raw = spark.readStream.schema(SAMPLE).json(str(tmp_path))
+    for model in (None, fixed_model(2)):
+        plan = score_stream(raw, model)._jdf.queryExecution().analyzed().toString()
+        assert ("AS vector#" in plan) == (model is not None)

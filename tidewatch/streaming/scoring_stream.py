@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -16,8 +16,22 @@ from tidewatch.session import use_state_store
 from tidewatch.streaming.buckets import Entries, bucket_of, move_timer, rung_at
 
 CARRIED = ["sessionId", "userId", "capturedAt", "serverReceivedAt", "deviationScore", "ruleStatus"]
+TIMES = ["capturedAt", "serverReceivedAt"]
 CLOCK = "_clock"
 
+#: In place of a time that is missing; it sorts before all others.
+NO_TIME = -1 << 63
+
+
+def to_micros(c: str) -> Column:
+    """A time as a number. Spark makes an object of every value that a Python processor takes in, and those of times cost most;
+    pandas also has none after 2262."""
+    return F.coalesce(F.unix_micros(c), F.lit(NO_TIME)).alias(c)
+
+
+def from_micros(c: str) -> Column:
+    return F.timestamp_micros(F.nullif(F.col(c), F.lit(NO_TIME))).alias(c)
+
 
 class OrderColumns:
     """``seq`` as plain columns (seq0, ...) while rows are in keyed state: a number as it is, a struct by its fields."""
@@ -37,6 +51,7 @@ class WindowProcessor(StatefulProcessor):
 
     Without a model the state is one number per session, with ``forget_ms`` also when it is due to be forgotten. Rows of a
     micro-batch come as pandas frames, those of a bucket's sessions together; how many there can be is the source's limit per trigger.
+    Their vectors come only for a model, else whether there is one (``valid``); times come as microseconds.
     """
 
     def __init__(self, model: SequenceModel | None, size: int, order: list[str], forget_ms: int | None, clocked: bool):
@@ -50,13 +65,14 @@ class WindowProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         x = pd.concat(list(rows), ignore_index=True)
         # Samples without a time come first, as in the batch query.
-        x = x.assign(_timed=x["ms"].notna()).sort_values(["windowKey", "_timed", "us", *self.order], kind="stable", ignore_index=True)
-        valid, names = x["vector"].notna().to_numpy(), x["windowKey"].to_numpy(object)
+        x = x.sort_values(["windowKey", "capturedAt", *self.order], kind="stable", ignore_index=True)
+        valid = (x["valid"] if self.model is None else x["vector"].notna()).to_numpy(bool)
+        names, us = x["windowKey"].to_numpy(object), x["capturedAt"].to_numpy(np.int64)
         starts = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
         ends, sessions = np.append(starts[1:], len(x)), names[starts].tolist()
         entries = self.kept.read()
         waiting, known = self._waiting(entries), [entries.get(s) for s in sessions]
-        due = self._due(x["ms"], starts, known)
+        due = self._due(us, starts, known)
         if self.model is None:
             count = np.cumsum(valid)
             earlier = np.array([k[0] if k else 0 for k in known]) - (count[starts] - valid[starts])
@@ -75,20 +91,20 @@ class WindowProcessor(StatefulProcessor):
         out = {"windowKey": x["windowKey"], **{c: x[c] for c in [*CARRIED, *self.order]}, "windowBuffered": held.astype(np.int32), "_p": p}
         if self.clocked:
             # The clock of later operators: the sample's time, or the watermark for samples behind it.
-            behind = np.maximum(timerValues.getCurrentWatermarkInMs() - x["ms"].to_numpy(np.int64), 0)
-            out[CLOCK] = x["capturedAt"] + pd.to_timedelta(behind, unit="ms")
+            behind = np.maximum(timerValues.getCurrentWatermarkInMs() - us // 1000, 0)
+            out[CLOCK] = pd.Series((us + 1000 * behind).astype("datetime64[us]")).dt.tz_localize("UTC")
         yield pd.DataFrame(out)
 
     @staticmethod
     def _waiting(entries: dict[str, tuple]) -> list[int]:
         return [due for _, due in entries.values() if due is not None]
 
-    def _due(self, ms: pd.Series, starts: np.ndarray, known: list[tuple | None]) -> list[int | None]:
+    def _due(self, us: np.ndarray, starts: np.ndarray, known: list[tuple | None]) -> list[int | None]:
         """When each session is forgotten: some time after the newest of its samples in this micro-batch."""
         if self.forget_ms is None:
             return [None] * len(starts)
-        newest = np.fmax.reduceat(ms.to_numpy(float, na_value=np.nan), starts).tolist()
-        return [int(m) + self.forget_ms if m == m else k and k[1] for m, k in zip(newest, known, strict=True)]
+        newest = np.maximum.reduceat(us, starts).tolist()
+        return [k and k[1] if m == NO_TIME else m // 1000 + self.forget_ms for m, k in zip(newest, known, strict=True)]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         entries, now = self.kept.read(), rung_at(timerValues, expiredTimerInfo)
@@ -116,11 +132,11 @@ def score_stream(samples: DataFrame, model: SequenceModel | None = None, *, size
         samples = samples.where(F.col("capturedAt").isNotNull())
     if timed:
         samples = samples.withWatermark("capturedAt", delay)
-    order = OrderColumns(samples)
+    order, vector = OrderColumns(samples), numeric_vector(width_of(model))
     # The order, like every other column here, is derived: rows behind the watermark are not dropped before the state.
     keyed = samples.select(
-        bucket_of(window_key()).alias("bucket"), window_key().alias("windowKey"), *[F.col(c) if c != "capturedAt" else F.timestamp_micros(F.unix_micros(c)).alias(c) for c in CARRIED],
-        F.unix_micros("capturedAt").alias("us"), F.unix_millis("capturedAt").alias("ms"), *order.flat, numeric_vector(width_of(model)).alias("vector"))
+        bucket_of(window_key()).alias("bucket"), window_key().alias("windowKey"), *[to_micros(c) if c in TIMES else F.col(c) for c in CARRIED],
+        *order.flat, vector.isNotNull().alias("valid") if model is None else vector.alias("vector"))
     kinds = {f.name: f.dataType.simpleString() for f in keyed.schema}
     schema = ", ".join(f"{c} {kinds[c]}" for c in ["windowKey", *CARRIED, *order.names]) + ", windowBuffered int, _p array<double>"
     processor = WindowProcessor(model, size, order.names, None if forget_seconds is None else to_ms(forget_seconds), clocked)
@@ -129,4 +145,5 @@ def score_stream(samples: DataFrame, model: SequenceModel | None = None, *, size
         x = grouped.transformWithStateInPandas(processor, f"{schema}, {CLOCK} timestamp", "Append", "EventTime", eventTimeColumnName=CLOCK)
     else:
         x = grouped.transformWithStateInPandas(processor, schema, "Append", "EventTime" if timed else "None")
+    x = x.withColumns({c: from_micros(c) for c in TIMES})
     return choose_label(x.select("*", order.whole), model, size, [CLOCK] if clocked else [])
